@@ -8,8 +8,10 @@ Two rules are needed to match printed figures digit for digit:
 * ``half_up``: ``floor(x * 10**d + 0.5) / 10**d`` (what JavaScript's
   ``Math.round`` idiom does).
 
-Sums of readings go through integer units (``units``), so that their result does
-not depend on the order in which partitions are merged.
+Sums must not depend on the order in which partitions are merged, so they are taken over
+integers. ``exact_total`` adds up doubles as they are, without any error before the last
+rounding. ``units`` turns cleaned readings, which have three decimals at most, into whole
+numbers where one integer per value is enough (short frames, sums of squares).
 """
 
 from __future__ import annotations
@@ -65,6 +67,43 @@ def from_units(total: Column, count: Column | None = None, digits: int = READING
     return total.cast("double") / (scale if count is None else scale * count.cast("double"))
 
 
+_PART = 67108864.0  # 2**26
+
+
+def exact_parts(x: Column) -> tuple[Column, Column, Column]:
+    """A double as whole part and two 26-bit parts of the fraction, all bigint.
+
+    Sums of the parts are exact and stay in range for 10**11 rows of 10**7 each.
+    """
+    whole = F.floor(x)
+    scaled = (x - whole.cast("double")) * F.lit(_PART)
+    high = F.floor(scaled)
+    low = F.floor((scaled - high.cast("double")) * F.lit(_PART))
+    return whole.cast("bigint"), high.cast("bigint"), low.cast("bigint")
+
+
+def join_parts(whole: Column, high: Column, low: Column) -> Column:
+    """Sums of parts back to the double nearest to the exact total."""
+    high = high + F.shiftright(low, 26)
+    rest = low.bitwiseAND(F.lit((1 << 26) - 1))
+    whole = whole + F.shiftright(high, 26)
+    high = high.bitwiseAND(F.lit((1 << 26) - 1))
+    fraction = (high * F.lit(1 << 26) + rest).cast("double") / F.lit(_PART * _PART)
+    return whole.cast("double") + fraction
+
+
+def exact_total(x: Column, keep: Column | None = None) -> Column:
+    """Aggregate: sum of ``x`` (where ``keep``), null without rows."""
+    parts = exact_parts(x.cast("double"))
+    return join_parts(*[F.sum(p if keep is None else F.when(keep, p)) for p in parts])
+
+
+def exact_mean(x: Column, keep: Column | None = None) -> Column:
+    """Aggregate: exact total over count, one rounding each; null without rows."""
+    count = F.count(x if keep is None else F.when(keep, x))
+    return F.when(count > 0, exact_total(x, keep) / count.cast("double"))
+
+
 def truthy(x: Column) -> Column:
     """A reading that counts: neither null nor zero."""
     return x.isNotNull() & (x != 0)

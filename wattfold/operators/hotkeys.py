@@ -123,7 +123,7 @@ def row_position(
 ) -> DataFrame:
     """1-based position of a row within its key."""
     if not has_hot_keys(df, by, hot_rows):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
     cut = with_segments(df, by=by, ts=order[0], hot_rows=hot_rows)
     before = Window.partitionBy(*by).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

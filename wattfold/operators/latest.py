@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattfold.functions.energy import daily_estimates, status
 from wattfold.functions.names import strip_legacy
-from wattfold.functions.rounding import from_units, half_even, truthy, units
+from wattfold.functions.rounding import exact_total, half_even, truthy
 
 
 def latest(readings: DataFrame, *, by: Sequence[str], order: Sequence[str] = ("ts", "seq")) -> DataFrame:
@@ -75,12 +75,11 @@ def with_estimates(current: DataFrame, *, kw: str = "kw") -> DataFrame:
     return current.withColumns({"status": status(F.col(kw)), **daily_estimates(F.col(kw))})
 
 
-def campus_total(current: DataFrame, *, digits: int = 3) -> DataFrame:
+def campus_total(current: DataFrame) -> DataFrame:
     """One row: total load, counts, and the estimates from the rounded total."""
     kw = F.col("kw")
     totals = current.agg(
-        half_even(from_units(F.coalesce(F.sum(F.when(truthy(kw), units(kw, digits))), F.lit(0)), digits=digits), 1)
-        .alias("total_kw"),
+        half_even(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)), 1).alias("total_kw"),
         F.count(kw).alias("buildings_online"),
         F.count(F.lit(1)).alias("buildings_total"),
     )

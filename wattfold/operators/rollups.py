@@ -17,23 +17,16 @@ from wattfold.functions.energy import (
     efficiency_band,
     relative_band,
 )
-from wattfold.functions.rounding import READING_DIGITS, from_units, half_even, half_up, truthy, units
+from wattfold.functions.rounding import exact_mean, exact_parts, exact_total, half_even, half_up, join_parts, truthy
 from wattfold.operators.hotkeys import HOT_ROWS, row_position
 
 
-def _mean(value: Column, keep: Column, digits: int) -> Column:
-    total = F.sum(F.when(keep, units(value, digits)))
-    count = F.count(F.when(keep, value))
-    return F.when(count > 0, from_units(total, count, digits))
-
-
 def series_stats(
     readings: DataFrame,
     *,
     by: Sequence[str],
     value: str = "kw",
     order: Sequence[str] = ("ts", "seq"),
-    digits: int = READING_DIGITS,
 ) -> DataFrame:
     """current, min, max, avg, count and the time of the first maximum, nulls left out."""
     v = F.col(value)
@@ -45,19 +38,18 @@ def series_stats(
             F.max_by(v, at).alias("current"),
             half_even(F.min(v), 2).alias("min"),
             half_even(F.max(v), 2).alias("max"),
-            half_even(_mean(v, F.lit(True), digits), 2).alias("avg"),
+            half_even(exact_mean(v), 2).alias("avg"),
             F.count(v).alias("count"),
             F.min_by(order[0], F.struct(-v, *order)).alias("peak_time"),
         )
     )
 
 
-def interior_summary(latest_by_meter: DataFrame, meters: Sequence[str], *, digits: int = READING_DIGITS) -> DataFrame:
+def interior_summary(latest_by_meter: DataFrame, meters: Sequence[str]) -> DataFrame:
     """One row: total of the latest loads, meters with a load, and the load of each meter."""
     kw = F.col("kw")
-    total = F.coalesce(F.sum(F.when(truthy(kw), units(kw, digits))), F.lit(0))
     return latest_by_meter.agg(
-        half_even(from_units(total, digits=digits), 2).alias("total_kw_now"),
+        half_even(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)), 2).alias("total_kw_now"),
         F.count(F.when(truthy(kw), kw)).alias("meters_online"),
         *[F.max(F.when(F.col("meter") == m, kw)).alias(f"kw_{m}") for m in meters],
     )
@@ -67,8 +59,8 @@ def cross_meter_peak(stats: DataFrame, *, meter: str = "meter", ordinal: str = "
     """Sum of current and average loads, and the highest peak with its meter and time."""
     rank = F.struct(-F.col("max"), ordinal)
     return stats.agg(
-        half_up(from_units(F.sum(units(F.col("current")))), 0).alias("total_kw"),
-        half_up(from_units(F.sum(units(F.col("avg")))), 0).alias("total_avg_kw"),
+        half_up(exact_total(F.col("current")), 0).alias("total_kw"),
+        half_up(exact_total(F.col("avg")), 0).alias("total_avg_kw"),
         half_up(F.max("max"), 0).alias("peak_kw"),
         F.min_by(meter, rank).alias("peak_meter"),
         F.min_by("peak_time", rank).alias("peak_time"),
@@ -78,12 +70,11 @@ def cross_meter_peak(stats: DataFrame, *, meter: str = "meter", ordinal: str = "
 # --- days and weeks -------------------------------------------------------------------
 
 
-def campus_readings(building_readings: DataFrame, *, digits: int = READING_DIGITS) -> DataFrame:
+def campus_readings(building_readings: DataFrame) -> DataFrame:
     """Building loads of one cycle added up: ts, total_kw, online."""
     kw = F.col("kw")
     return building_readings.groupBy("ts").agg(
-        half_even(from_units(F.coalesce(F.sum(F.when(truthy(kw), units(kw, digits))), F.lit(0)), digits=digits), 1)
-        .alias("total_kw"),
+        half_even(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)), 1).alias("total_kw"),
         F.count(kw).alias("online"),
     )
 
@@ -94,7 +85,6 @@ def daily_summary(
     date: Column | None = None,
     time: Column | None = None,
     seq: Sequence[str] = (),
-    digits: int = READING_DIGITS,
 ) -> DataFrame:
     """Per day: average, peak with its first time, minimum, counts, and the estimates.
 
@@ -104,7 +94,7 @@ def daily_summary(
     kw, on = F.col("total_kw"), F.col("online")
     loaded = truthy(kw)
     out = readings.groupBy((F.to_date("ts") if date is None else date).alias("date")).agg(
-        F.coalesce(half_even(_mean(kw, loaded, digits), 1), F.lit(0.0)).alias("avg_kw"),
+        F.coalesce(half_even(exact_mean(kw, loaded), 1), F.lit(0.0)).alias("avg_kw"),
         F.coalesce(half_even(F.max(F.when(loaded, kw)), 1), F.lit(0.0)).alias("peak_kw"),
         F.coalesce(
             F.min_by(clock_label(F.col("ts")) if time is None else time,
@@ -125,7 +115,7 @@ def daily_summary(
     )
 
 
-def building_weekly(readings: DataFrame, *, by: Sequence[str] = ("bid",), digits: int = READING_DIGITS) -> DataFrame:
+def building_weekly(readings: DataFrame, *, by: Sequence[str] = ("bid",)) -> DataFrame:
     """Per building over positive loads; the week's figures use the unrounded average."""
     kw = F.col("kw")
     week = F.col("_avg") * 24.0 * 7.0
@@ -133,7 +123,7 @@ def building_weekly(readings: DataFrame, *, by: Sequence[str] = ("bid",), digits
         readings.filter(kw > 0)
         .groupBy(*by)
         .agg(
-            _mean(kw, F.lit(True), digits).alias("_avg"),
+            exact_mean(kw).alias("_avg"),
             half_even(F.max(kw), 1).alias("peak_kw"),
             half_even(F.min(kw), 1).alias("min_kw"),
             F.count(kw).alias("readings"),
@@ -183,7 +173,6 @@ def campus_week(
     as_of: str | None = None,
     days: int = 7,
     by: Sequence[Column] = (),
-    digits: int = READING_DIGITS,
 ) -> DataFrame:
     """Average over readings (not over days), period, and totals for the days that have data.
 
@@ -197,20 +186,23 @@ def campus_week(
     kw = F.col("total_kw")
     day = F.to_date("ts")
     # First per group and day, then per group: no distinct over raw rows.
+    loaded = truthy(kw)
+    parts = exact_parts(kw)
     per_day = readings.groupBy(*by, day.alias("_day")).agg(
-        F.sum(F.when(truthy(kw), units(kw, digits))).alias("_total"),
-        F.count(F.when(truthy(kw), kw)).alias("_count"),
-        F.max(F.when(truthy(kw), kw)).alias("_max"),
-        F.min(F.when(truthy(kw), kw)).alias("_min"),
+        *[F.sum(F.when(loaded, part)).alias(f"_p{i}") for i, part in enumerate(parts)],
+        F.count(F.when(loaded, kw)).alias("_count"),
+        F.max(F.when(loaded, kw)).alias("_max"),
+        F.min(F.when(loaded, kw)).alias("_min"),
     )
     groups = [c for c in per_day.columns if not c.startswith("_")]
+    total = join_parts(*[F.sum(f"_p{i}") for i in range(3)])
     out = per_day.groupBy(*groups).agg(
         F.min("_day").alias("period_start"),
         F.max("_day").alias("period_end"),
         F.count("_day").alias("days"),
         F.sum("_count").alias("total_readings"),
         F.coalesce(
-            half_even(F.when(F.sum("_count") > 0, from_units(F.sum("_total"), F.sum("_count"), digits)), 1), F.lit(0.0)
+            half_even(F.when(F.sum("_count") > 0, total / F.sum("_count").cast("double")), 1), F.lit(0.0)
         ).alias("avg_kw"),
         F.coalesce(half_even(F.max("_max"), 1), F.lit(0.0)).alias("peak_kw"),
         F.coalesce(half_even(F.min("_min"), 1), F.lit(0.0)).alias("min_kw"),
@@ -218,9 +210,9 @@ def campus_week(
     return with_week_figures(out)
 
 
-def week_over_week(readings: DataFrame, *, digits: int = READING_DIGITS) -> DataFrame:
+def week_over_week(readings: DataFrame) -> DataFrame:
     """Weekly average (weeks start on Monday) against the week before it in the data."""
-    weekly = campus_week(readings, by=[F.to_date(F.date_trunc("week", "ts")).alias("week")], digits=digits)
+    weekly = campus_week(readings, by=[F.to_date(F.date_trunc("week", "ts")).alias("week")])
     w = Window.orderBy("week")  # one row per calendar week
     return (
         weekly.select("week", "avg_kw")
@@ -241,24 +233,20 @@ def day_index(readings: DataFrame) -> DataFrame:
 # --- categories, efficiency, bands ----------------------------------------------------
 
 
-def category_rollup(current: DataFrame, categories: DataFrame, *, on: str = "bid", digits: int = READING_DIGITS) -> DataFrame:
+def category_rollup(current: DataFrame, categories: DataFrame, *, on: str = "bid") -> DataFrame:
     """Load per category (``Other`` when unknown), rounded, with its share of the campus load."""
     kw = F.col("kw")
     per = (
         current.join(categories.select(on, "category"), on, "left")
         .groupBy(F.coalesce("category", F.lit("Other")).alias("category"))
-        .agg(F.coalesce(F.sum(F.when(truthy(kw), units(kw, digits))), F.lit(0)).alias("_u"))
+        .agg(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)).alias("_kw"))
     )
     whole = Window.partitionBy()  # over one row per category
     return (
-        per.withColumn("_all", half_even(from_units(F.sum("_u").over(whole), digits=digits), 1))
-        .filter(F.col("_u") > 0)
-        .select(
-            "category",
-            half_up(from_units(F.col("_u"), digits=digits), 0).alias("kw"),
-            half_up(half_up(from_units(F.col("_u"), digits=digits), 0) / F.col("_all") * 100.0, 0)
-            .cast("bigint").alias("share_pct"),
-        )
+        per.withColumn("_all", half_even(F.sum("_kw").over(whole), 1))
+        .filter(F.col("_kw") > 0)
+        .withColumn("kw", half_up(F.col("_kw"), 0))
+        .select("category", "kw", half_up(F.col("kw") / F.col("_all") * 100.0, 0).cast("bigint").alias("share_pct"))
     )
 
 
@@ -276,10 +264,9 @@ def efficiency(current: DataFrame, attributes: DataFrame, *, on: str = "bid") ->
 
 def avg_efficiency(per_floor: DataFrame) -> DataFrame:
     """Mean of the rounded per-floor loads."""
-    total, count = F.sum(units(F.col("kw_per_floor"), 1)), F.count("kw_per_floor")
     return per_floor.agg(
-        F.coalesce(half_up(F.when(count > 0, from_units(total, count, 1)), 1), F.lit(0.0)).alias("avg_kw_per_floor"),
-        count.alias("buildings"),
+        F.coalesce(half_up(exact_mean(F.col("kw_per_floor")), 1), F.lit(0.0)).alias("avg_kw_per_floor"),
+        F.count("kw_per_floor").alias("buildings"),
     )
 
 
@@ -308,7 +295,6 @@ def load_timeline(
     by: str = "bid",
     order: Sequence[str] = ("ts", "seq"),
     clock_label_fold: bool = False,
-    digits: int = READING_DIGITS,
 ) -> DataFrame:
     """Campus load over time: latest load of each building per bucket, added up.
 
@@ -323,7 +309,7 @@ def load_timeline(
         per = readings.groupBy(by, F.window("ts", bucket)["start"].alias("bucket")).agg(
             F.max_by("kw", F.struct(*order)).alias("kw")
         )
-    total = from_units(F.coalesce(F.sum(units(F.col("kw"), digits)), F.lit(0)), digits=digits)
+    total = F.coalesce(exact_total(F.col("kw")), F.lit(0.0))
     return per.groupBy("bucket").agg(half_up(total, 0).alias("kw"), F.count("kw").alias("buildings"))
 
 
@@ -334,7 +320,6 @@ def combine(
     bucket: str = "15 minutes",
     meter: str = "meter",
     order: Sequence[str] = ("ts", "seq"),
-    digits: int = READING_DIGITS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Loads of several meters added up, by time bucket, or i-th with i-th when ``positional``."""
@@ -346,5 +331,5 @@ def combine(
             F.max_by("kw", F.struct(*order)).alias("kw")
         )
         key = "bucket"
-    total = from_units(F.coalesce(F.sum(units(F.col("kw"), digits)), F.lit(0)), digits=digits)
+    total = F.coalesce(exact_total(F.col("kw")), F.lit(0.0))
     return placed.groupBy(key).agg(total.alias("combined_kw"), F.count("kw").alias("meters"))

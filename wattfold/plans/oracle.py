@@ -43,6 +43,25 @@ def values(total: str, d: int = 3) -> str:
     return f"(CAST({total} AS DOUBLE) / {10**d}e0)"
 
 
+def total(x: str, where: str = "true") -> str:
+    """Sum of doubles without error before the last rounding."""
+    p = "67108864"
+    k = f"({x})"
+    whole = f"CAST(floor({k}) AS BIGINT)"
+    scaled = f"(({k} - floor({k})) * {p}e0)"
+    high = f"CAST(floor({scaled}) AS BIGINT)"
+    low = f"CAST(floor(({scaled} - floor({scaled})) * {p}e0) AS BIGINT)"
+    w, h, l = (f"CAST(sum({part}) FILTER ({where}) AS BIGINT)" for part in (whole, high, low))
+    h2 = f"({h} + {l} // {p})"
+    return (
+        f"(CAST({w} + {h2} // {p} AS DOUBLE) + CAST(({h2} % {p}) * {p} + {l} % {p} AS DOUBLE) / ({p}e0 * {p}e0))"
+    )
+
+
+def average(x: str, where: str = "true") -> str:
+    return f"({total(x, where)} / CAST(count({x}) FILTER ({where}) AS DOUBLE))"
+
+
 def listed(items) -> str:
     return ", ".join(f"'{i}'" for i in items)
 
@@ -234,12 +253,12 @@ WITH {CUR}, {BLD} SELECT bld.bid, bld.name, cur.kw,
   row_number() OVER (ORDER BY coalesce(cur.kw, 0e0) DESC, bld.bid) AS rank FROM bld LEFT JOIN cur USING (bid)"""
 ORACLE["positional_combine"] = f"""
 WITH {READ}, p AS (SELECT kw, row_number() OVER (PARTITION BY meter ORDER BY ts, seq) AS position FROM r)
-SELECT position, {values(f'sum({units("kw")})')} AS combined_kw, count(kw) AS meters FROM p GROUP BY position"""
+SELECT position, {total('kw')} AS combined_kw, count(kw) AS meters FROM p GROUP BY position"""
 BUCKET = "time_bucket(INTERVAL '15 minutes', ts)"
 ORACLE["bucket_combine"] = f"""
 WITH {READ}, p AS (SELECT meter, {BUCKET} AS bucket, kw FROM r
   QUALIFY row_number() OVER (PARTITION BY meter, {BUCKET} ORDER BY ts DESC, seq DESC) = 1)
-SELECT bucket, {values(f'sum({units("kw")})')} AS combined_kw, count(kw) AS meters FROM p GROUP BY bucket"""
+SELECT bucket, {total('kw')} AS combined_kw, count(kw) AS meters FROM p GROUP BY bucket"""
 
 # --- rollups --------------------------------------------------------------------------
 
@@ -247,7 +266,7 @@ SELECT bucket, {values(f'sum({units("kw")})')} AS combined_kw, count(kw) AS mete
 def stats(group: str) -> str:
     return f"""(SELECT {group}, current, {even('mn', 2)} AS min, {even('mx', 2)} AS max, {even('av', 2)} AS avg, count, peak_time
   FROM (SELECT {group}, arg_max(kw, ts) AS current, min(kw) AS mn, max(kw) AS mx,
-    {mean(f'sum({units("kw")})', 'count(kw)')} AS av, count(kw) AS count FROM r GROUP BY {group}) s
+    {average('kw')} AS av, count(kw) AS count FROM r GROUP BY {group}) s
   JOIN (SELECT {group}, ts AS peak_time FROM r QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY kw DESC, ts, seq) = 1) p
   USING ({group}))"""
 
@@ -257,7 +276,7 @@ ORACLE["shipment_stats"] = """
 SELECT l_suppkey AS bid, min(l_quantity) AS min, max(l_quantity) AS max, count(l_quantity) AS count, max(l_shipdate) AS last_ts
 FROM lineitem GROUP BY l_suppkey"""
 ORACLE["campus_total"] = f"""
-WITH {CUR}, t AS (SELECT {values(f'sum({units("kw")})')} AS s, count(kw) AS buildings_online, count(*) AS buildings_total FROM cur),
+WITH {CUR}, t AS (SELECT {total('kw')} AS s, count(kw) AS buildings_online, count(*) AS buildings_total FROM cur),
 k AS (SELECT {even('s', 1)} AS total_kw, buildings_online, buildings_total FROM t),
 e AS (SELECT *, total_kw * 24e0 AS a, total_kw * 24e0 * 0.15e0 AS b, total_kw * 24e0 * 0.21e0 AS c FROM k),
 f AS (SELECT total_kw, buildings_online, buildings_total, CAST({even('a')} AS BIGINT) AS total_daily_kwh,
@@ -265,20 +284,20 @@ f AS (SELECT total_kw, buildings_online, buildings_total, CAST({even('a')} AS BI
 SELECT *, {up('total_daily_kwh / 1000e0', 1)} AS daily_mwh, CAST({up('total_daily_kwh / 30e0')} AS BIGINT) AS homes FROM f"""
 ORACLE["meter_pivot_summary"] = f"""
 WITH {READ}, l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY meter ORDER BY ts DESC, seq DESC) = 1),
-s AS (SELECT {values(f'sum({units("kw")})')} AS t, count(CASE WHEN kw <> 0 THEN 1 END) AS meters_online,
+s AS (SELECT {total('kw')} AS t, count(CASE WHEN kw <> 0 THEN 1 END) AS meters_online,
   {', '.join(f"max(CASE WHEN meter = '{m}' THEN kw END) AS kw_{m}" for m in METERS)} FROM l)
 SELECT {even('t', 2)} AS total_kw_now, meters_online, {', '.join(f'kw_{m}' for m in METERS)} FROM s"""
 ORACLE["category_rollup"] = f"""
 WITH {CUR}, {BLD}, k AS (SELECT * FROM bld WHERE segment <> 'MACHINERY'),
-g AS (SELECT coalesce(category, 'Other') AS category, sum({units('kw')}) AS u FROM cur LEFT JOIN k USING (bid) GROUP BY 1),
-a AS (SELECT {values('sum(u)')} AS total FROM g), b AS (SELECT {even('total', 1)} AS total FROM a),
-h AS (SELECT category, {up(values('u'))} AS kw FROM g WHERE u > 0)
+g AS (SELECT coalesce(category, 'Other') AS category, {total('kw')} AS u FROM cur LEFT JOIN k USING (bid) GROUP BY 1),
+a AS (SELECT sum(u) AS total FROM g), b AS (SELECT {even('total', 1)} AS total FROM a),
+h AS (SELECT category, {up('u')} AS kw FROM g WHERE u > 0)
 SELECT category, kw, CAST({up('kw / (SELECT total FROM b) * 100e0')} AS BIGINT) AS share_pct FROM h"""
 ORACLE["kw_per_floor"] = f"""
 WITH {EFF} SELECT bid, kw, floors, kw_per_floor,
   CASE WHEN kw_per_floor > 50 THEN 'high' WHEN kw_per_floor > 20 THEN 'mid' ELSE 'low' END AS efficiency_band FROM eff"""
 ORACLE["avg_efficiency"] = f"""
-WITH {EFF} SELECT {up(mean(f'sum({units("kw_per_floor", 1)})', 'count(*)', 1), 1)} AS avg_kw_per_floor, count(*) AS buildings FROM eff"""
+WITH {EFF} SELECT {up(average('kw_per_floor'), 1)} AS avg_kw_per_floor, count(*) AS buildings FROM eff"""
 ORACLE["age_vs_energy"] = f"WITH {EFF} SELECT bid, year_built, kw, floors, kw_per_floor FROM eff WHERE year_built IS NOT NULL"
 ORACLE["load_band"] = """
 SELECT event_id AS seq, CASE WHEN value > 200 THEN 'high' WHEN value > 100 THEN 'mid' ELSE 'low' END AS load_band,
@@ -292,19 +311,18 @@ ORACLE["pf_normalize"] = "SELECT event_id AS seq, CASE WHEN abs(value) < 2 THEN
 ORACLE["load_timeline"] = f"""
 WITH {READ}, p AS (SELECT bid, {BUCKET} AS bucket, kw FROM r
   QUALIFY row_number() OVER (PARTITION BY bid, {BUCKET} ORDER BY ts DESC, seq DESC) = 1)
-SELECT bucket, {up(values(f'sum({units("kw")})'))} AS kw, count(kw) AS buildings FROM p GROUP BY bucket"""
+SELECT bucket, {up(total('kw'))} AS kw, count(kw) AS buildings FROM p GROUP BY bucket"""
 ORACLE["load_timeline_folded"] = f"""
-WITH {FOLD} SELECT label AS bucket, {up(values(f'sum({units("kw")})'))} AS kw, count(kw) AS buildings FROM fo GROUP BY label"""
+WITH {FOLD} SELECT label AS bucket, {up(total('kw'))} AS kw, count(kw) AS buildings FROM fo GROUP BY label"""
 
 
 def daily(source: str) -> str:
     return f"""
-WITH {source}, d AS (SELECT CAST(ts AS DATE) AS date, sum(CASE WHEN total_kw <> 0 THEN {units('total_kw')} END) AS t,
-    count(CASE WHEN total_kw <> 0 THEN 1 END) AS n, max(total_kw) AS mx, min(CASE WHEN total_kw <> 0 THEN total_kw END) AS mn,
+WITH {source}, d AS (SELECT CAST(ts AS DATE) AS date, {average('total_kw', 'total_kw <> 0')} AS av, max(total_kw) AS mx, min(CASE WHEN total_kw <> 0 THEN total_kw END) AS mn,
     count(*) AS readings_count, sum(online) FILTER (online <> 0) AS os, count(*) FILTER (online <> 0) AS oc FROM c GROUP BY 1),
 p AS (SELECT CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS peak_time FROM c WHERE total_kw <> 0
   QUALIFY row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY total_kw DESC, ts, seq) = 1),
-m AS (SELECT d.*, peak_time, {mean('t', 'n')} AS av, CAST(os AS DOUBLE) / CAST(oc AS DOUBLE) AS ao FROM d LEFT JOIN p USING (date)),
+m AS (SELECT d.*, peak_time, CAST(os AS DOUBLE) / CAST(oc AS DOUBLE) AS ao FROM d LEFT JOIN p USING (date)),
 k AS (SELECT *, {even('av', 1)} AS avg_kw FROM m), e AS (SELECT *, avg_kw * 24e0 AS x FROM k),
 f AS (SELECT *, {even('x')} AS est_kwh FROM e), g AS (SELECT *, est_kwh * 0.15e0 AS ec, est_kwh * 0.21e0 AS eo FROM f)
 SELECT date, avg_kw, {even('mx', 1)} AS peak_kw, peak_time, {even('mn', 1)} AS min_kw, readings_count,
@@ -315,7 +333,7 @@ FROM g"""
 ORACLE["daily_summary"] = daily(CYCLES)
 ORACLE["daily_summary_orders"] = daily(CAMPUS)
 ORACLE["building_weekly"] = f"""
-WITH {READ}, g AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, bid, {mean(f'sum({units("kw")})', 'count(kw)')} AS av,
+WITH {READ}, g AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, bid, {average('kw')} AS av,
   max(kw) AS mx, min(kw) AS mn, count(kw) AS readings FROM r WHERE kw > 0 GROUP BY 1, 2),
 e AS (SELECT *, av * 24e0 * 7e0 AS k, av * 24e0 * 7e0 * 0.15e0 AS c, av * 24e0 * 7e0 * 0.21e0 AS o FROM g)
 SELECT week, e.bid, {even('av', 1)} AS avg_kw, {even('mx', 1)} AS peak_kw, {even('mn', 1)} AS min_kw, readings,
@@ -328,7 +346,7 @@ def week(group: str = "", where: str = "") -> str:
     by = f"GROUP BY {group}" if group else ""
     return f"""{CAMPUS}, x AS (SELECT *, CAST(ts AS DATE) AS d, CAST(date_trunc('week', ts) AS DATE) AS week FROM c {where}),
 a AS (SELECT {lead}min(d) AS period_start, max(d) AS period_end, count(DISTINCT d) AS days, count(*) FILTER (total_kw <> 0) AS total_readings,
-  {mean(f'sum({units("total_kw")}) FILTER (total_kw <> 0)', 'count(*) FILTER (total_kw <> 0)')} AS av, max(total_kw) AS mx, min(total_kw) AS mn FROM x {by}),
+  {average('total_kw', 'total_kw <> 0')} AS av, max(total_kw) AS mx, min(total_kw) AS mn FROM x {by}),
 k AS (SELECT *, {even('av', 1)} AS avg_kw FROM a), e AS (SELECT *, avg_kw * 24e0 * days AS y FROM k),
 f AS (SELECT *, {even('y')} AS total_kwh FROM e),
 g AS (SELECT *, total_kwh * 0.15e0 AS c1, total_kwh * 0.21e0 AS c2, total_kwh * 0.21e0 / 1000e0 AS c3, total_kwh * 0.21e0 / 21.7e0 AS c4 FROM f),
@@ -350,7 +368,7 @@ SELECT week, avg_kw, prev_avg_kw, {even('a', 1)} AS change_kw, {even('b', 1)} AS
 ORACLE["cross_meter_peak"] = f"""
 WITH {READ}, s AS {stats('meter')}, o AS (SELECT *, list_position([{listed(METERS)}], meter) AS ord FROM s),
 t AS (SELECT * FROM o ORDER BY max DESC, ord LIMIT 1)
-SELECT {up(values(f'sum({units("current")})'))} AS total_kw, {up(values(f'sum({units("avg")})'))} AS total_avg_kw,
+SELECT {up(total('current'))} AS total_kw, {up(total('avg'))} AS total_avg_kw,
   {up('max(o.max)')} AS peak_kw, (SELECT meter FROM t) AS peak_meter, (SELECT peak_time FROM t) AS peak_time FROM o"""
 ORACLE["top10_kw"] = f"""
 WITH {CUR}, t AS (SELECT bid, kw, kw * 24e0 * 0.15e0 AS c FROM cur ORDER BY kw DESC, bid LIMIT 10)
@@ -470,6 +488,22 @@ SELECT conv_id, turn, substr(repeat(text, 3), 1, 2000) AS question, substr(repea
 FROM conversations WHERE role <> 'system' AND coalesce(text, '') <> ''"""
 
 
+# --- streams: the batch answers -------------------------------------------------------
+
+ORACLE["stream_verdicts"] = f"""
+WITH x AS ({ORACLE["anomaly_rolling"]}), y AS ({ORACLE["wma_forecast"]})
+SELECT x.bid, x.seq, x.kw, anomaly_type, avg_kw, ratio, predicted_kw FROM x JOIN y USING (seq)"""
+ORACLE["stream_day_totals"] = f"""
+WITH {READ}, d AS (SELECT strftime(ts, '%Y-%m-%d') AS day_start, bid, count(CASE WHEN kw <> 0 THEN 1 END) AS readings,
+  {average('kw', 'kw <> 0')} AS av, max(CASE WHEN kw <> 0 THEN kw END) AS peak_kw,
+  min(CASE WHEN kw <> 0 THEN kw END) AS min_kw FROM r GROUP BY 1, 2)
+SELECT day_start, bid, readings, {even('av', 1)} AS avg_kw, peak_kw, min_kw FROM d"""
+ORACLE["stream_vote_tally"] = f"""
+WITH {VOTE}, vs AS (SELECT building, vote, strftime(time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '15 minutes' * k, '%Y-%m-%d %H:%M') AS slot
+  FROM v, (SELECT unnest(range(8)) AS k)) SELECT * FROM {tally('slot, building', 'vs')}"""
+ORACLE["stream_cooldown"] = ORACLE["vote_cooldown"]
+
+
 def _dates_as_text(name: str, *cols: str) -> None:
     casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols)
     ORACLE[name] = f"SELECT * REPLACE ({casts}) FROM ({ORACLE[name]})"

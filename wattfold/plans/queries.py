@@ -12,6 +12,8 @@ from wattfold.functions import energy, names
 from wattfold.operators import baselines as base
 from wattfold.operators import chat, clean, dimensions, hotkeys, latest, rolling, rollups, votes
 from wattfold.sources import tables
+from wattfold.streaming import readings as streams
+from wattfold.streaming import votes as vote_streams
 from wattfold.sources.exports import MAIN_METER_HEADERS, PANEL_HEADERS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -649,3 +651,45 @@ def chat_clip(spark, sf):
         F.repeat("text", 6).alias("context"),
     )
     return chat.chat_clip(rows)
+
+
+# --- streams, run over all that has landed --------------------------------------------
+
+
+def _event_stream(spark, sf):
+    schema = tables.table(spark, sf, "events").schema
+    return streams.read_stream(spark, sf, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _reading_stream(spark, sf):
+    return _event_stream(spark, sf).select(
+        F.col("user_id").alias("bid"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("kw")
+    )
+
+
+def _vote_stream(spark, sf):
+    return tables.as_votes(_event_stream(spark, sf))
+
+
+@query
+def stream_verdicts(spark, sf):
+    out = streams.run_append(streams.stream_readings(_reading_stream(spark, sf)), "verdicts")
+    return out.filter(F.col("kw").isNotNull()).select("bid", "seq", "kw", "anomaly_type", "avg_kw", "ratio", "predicted_kw")
+
+
+@query
+def stream_day_totals(spark, sf):
+    out = streams.run_update(streams.stream_day_totals(_reading_stream(spark, sf)), "days", ["day_start", "bid"])
+    return out.withColumn("day_start", F.date_format("day_start", "yyyy-MM-dd"))
+
+
+@query
+def stream_vote_tally(spark, sf):
+    out = streams.run_update(vote_streams.stream_tally(_vote_stream(spark, sf)), "tally", ["slot", "building"])
+    return out.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm"))
+
+
+@query
+def stream_cooldown(spark, sf):
+    out = streams.run_append(vote_streams.stream_cooldown(_vote_stream(spark, sf), minutes=600), "cooldown")
+    return out.select("voter", "seq", "accepted")

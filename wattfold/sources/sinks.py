@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 DOCUMENT_ENTRIES = 10_000
 
 
-def as_map(rows: DataFrame, key: str, value: Column, name: str, *, limit: int = DOCUMENT_ENTRIES) -> DataFrame:
-    """All rows as one map in one row. Larger tables belong in ``write_rows``."""
+def as_map(
+    rows: DataFrame, key: str, value: Column, name: str, *, order: Column | None = None, limit: int = DOCUMENT_ENTRIES
+) -> DataFrame:
+    """All rows as one map in one row, entries by ``order`` (then key). Larger tables belong in ``write_rows``."""
     if not rows.offset(limit).isEmpty():
         raise ValueError(f"more than {limit} entries do not fit one document; use write_rows")
-    return rows.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), value)))).alias(name))
+    entry = F.struct(F.struct(F.lit(0) if order is None else order, F.col(key)).alias("o"), value.alias("v"))
+    ordered = F.array_sort(
+        F.collect_list(entry), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
+    )
+    pairs = F.transform(ordered, lambda e: F.struct(e["o"][key].alias("k"), e["v"].alias("v")))
+    return rows.agg(F.map_from_entries(pairs).alias(name))
 
 
 def write_rows(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:

@@ -46,22 +46,22 @@ def campus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    event = table(spark, sf_dir, "events")
+def as_votes(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     vote = F.coalesce(*[F.when(kind == k, v) for k, v in VOTES.items()])
-    return (
-        event.filter(kind.isin(*VOTES))
-        .select(
-            F.concat(F.lit("b"), F.from_json("props", "k INT")["k"].cast("string")).alias("building"),
-            F.col("user_id").alias("voter"),
-            "ts",
-            vote.alias("vote"),
-            F.col("event_id").alias("seq"),
-        )
+    return events.filter(kind.isin(*VOTES)).select(
+        F.concat(F.lit("b"), F.from_json("props", "k INT")["k"].cast("string")).alias("building"),
+        F.col("user_id").alias("voter"),
+        "ts",
+        vote.alias("vote"),
+        F.col("event_id").alias("seq"),
     )
 
 
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_votes(table(spark, sf_dir, "events"))
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as building dimension: bid, name, segment, nation, category (region)."""
     customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
