@@ -25,27 +25,20 @@ _WHOLE = 4503599627370496.0  # 2**52: doubles from here on have no fraction
 
 
 def half_even(x: Column, digits: int = 0) -> Column:
-    """Round to ``digits`` decimals, exact ties to even."""
-    scale = float(10**digits)
+    """Round to ``digits`` decimals, exact ties to even.
+
+    ``x`` appears several times in the result: give it a column, not a long expression.
+    """
+    scale = F.lit(float(10**digits))
     x = x.cast("double")
-    scaled = x * F.lit(scale)
-    low = F.floor(scaled).cast("double")
-    frac = scaled - low
-    # Error of the product x * scale; it decides only when frac looks like a tie.
-    part = x * F.lit(_SPLIT)
-    head = part - (part - x)
-    error = (head * F.lit(scale) - scaled) + (x - head) * F.lit(scale)
-    is_even = low - F.lit(2.0) * F.floor(low / F.lit(2.0)) == 0
-    up = low + F.lit(1.0)
-    nearest = (
-        F.when(frac < 0.5, low)
-        .when(frac > 0.5, up)
-        .when(error < 0, low)
-        .when(error > 0, up)
-        .when(is_even, low)
-        .otherwise(up)
-    )
-    return F.when(F.abs(scaled) < _WHOLE, nearest / F.lit(scale)).otherwise(x)
+    scaled = x * scale
+    # Error of the product x * scale (split into exact halves); it decides only where
+    # the rounded product looks like a tie.
+    head = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
+    error = (head * scale - scaled) + (x - head) * scale
+    near = F.rint(scaled)
+    nearest = F.when(F.abs(scaled - near) == 0.5, F.rint(scaled + F.signum(error) * 0.25)).otherwise(near)
+    return F.when(F.abs(scaled) < _WHOLE, nearest / scale).otherwise(x)
 
 
 def half_up(x: Column, digits: int = 0) -> Column:

@@ -72,7 +72,7 @@ def chat_history(
     order: str = "turn",
     n: int = HISTORY_TURNS,
     chars: int = TURN_CHARS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Last n turns per conversation; of those the non-empty user and assistant turns, clipped."""
     last = first_rows(turns, by=[by], order=[F.desc(order)], n=n, ts=order, hot_rows=hot_rows).drop("_rank")

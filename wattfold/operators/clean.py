@@ -12,22 +12,18 @@ from wattfold.functions.rounding import half_even
 # Accepted range of a load and of any other measure.
 KW_MIN, KW_MAX = 0.0, 50_000.0
 MEASURE_LIMIT = 1e8
-_NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_OTHER_LETTERS = "[a-df-zA-DF-Z]"  # a number has no letter but the e of its exponent
 
 
 def parse_number(text: Column) -> Column:
     """Text to double; anything that is not a plain number becomes null."""
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
-
-
-def bounded_number(text: Column, *, limit: float = MEASURE_LIMIT, digits: int = 3) -> Column:
-    value = parse_number(text)
-    return F.when(F.abs(value) <= limit, half_even(value, digits))
+    return F.when(~text.rlike(_OTHER_LETTERS), text.try_cast("double"))
 
 
 def safe_float(df: DataFrame, cols: Sequence[str], *, limit: float = MEASURE_LIMIT, digits: int = 3) -> DataFrame:
     """Parses ``cols``; unparsable and oversized values become null."""
-    return df.withColumns({c: bounded_number(F.col(c), limit=limit, digits=digits) for c in cols})
+    parsed = df.withColumns({c: parse_number(F.col(c)) for c in cols})
+    return parsed.withColumns({c: F.when(F.abs(F.col(c)) <= limit, half_even(F.col(c), digits)) for c in cols})
 
 
 def drop_error_rows(df: DataFrame, *, error: str = "error") -> DataFrame:
@@ -68,9 +64,9 @@ def normalize(
             text = F.col(f"`{source}`")
         else:
             text = F.lit(None).cast("string")
-        return bounded_number(text).alias(name)
+        return text.alias(name)
 
-    return df.select(*keep, *[measure(m) for m in measures])
+    return safe_float(df.select(*keep, *[measure(m) for m in measures]), measures)
 
 
 def _in_range(text: Column, lo: float, hi: float) -> Column:
@@ -98,8 +94,8 @@ def resolve_kw(
         named = [c for c in candidates if c in raw.columns]
         other = [c for c in raw.columns if "kW" in c and "kWh" not in c]
         tries = [_in_range(F.col(f"`{c}`"), lo, hi) for c in (*named, *other)]
-    kw = half_even(F.coalesce(*tries), 1) if tries else F.lit(None).cast("double")
-    return raw.withColumn(name, kw)
+    first = F.coalesce(*tries) if tries else F.lit(None).cast("double")
+    return raw.withColumn(name, first).withColumn(name, half_even(F.col(name), 1))
 
 
 def on_day(df: DataFrame, *, as_of: str, ts: str = "ts") -> DataFrame:

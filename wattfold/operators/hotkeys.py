@@ -10,7 +10,9 @@ combined, the answer is empty in the usual case) and only for the keys above
 * a running row number gets the row count of the earlier segments added;
 * a top-n per key is taken per segment first, then over the survivors.
 
-Results are the same with and without the cut, whatever the counts say.
+Results are the same with and without the cut, whatever the counts say. Pass
+``hot_rows=None`` where the input holds few rows per key by construction; then nothing
+is counted.
 """
 
 from __future__ import annotations
@@ -34,9 +36,11 @@ def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> Data
     return df.groupBy(*by).count().filter(F.col("count") > hot_rows).drop("count")
 
 
-def has_hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+def has_hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int | None = HOT_ROWS) -> bool:
     """Whether any key is hot. The answer only picks the plan, never the result,
     so it is kept per session for inputs that mean the same."""
+    if hot_rows is None:
+        return False
     keys = df.select(*by)
     token = (df.sparkSession.sparkContext.applicationId, keys.semanticHash(), hot_rows)
     if token not in _answers:
@@ -103,7 +107,7 @@ def over_last_rows(
     order: Sequence[str],
     n: int,
     add: Callable[[DataFrame, WindowSpec], DataFrame],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Applies ``add(frame, window)`` where the frame looks back at most n-1 rows."""
     if not has_hot_keys(df, by, hot_rows):
@@ -119,7 +123,7 @@ def row_position(
     by: Sequence[str],
     order: Sequence[str],
     name: str = "position",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of a row within its key."""
     if not has_hot_keys(df, by, hot_rows):
@@ -149,7 +153,7 @@ def first_rows(
     order: Sequence[Column],
     n: int,
     ts: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     name: str = "_rank",
 ) -> DataFrame:
     """First ``n`` rows per key. Spark cuts to n rows per key before the shuffle already;

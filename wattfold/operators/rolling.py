@@ -33,7 +33,7 @@ def rolling_anomaly(
     lo: float = ANOMALY_LOW,
     lo_floor: float = ANOMALY_LOW_FLOOR,
     digits: int = READING_DIGITS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Adds anomaly_type (high, low or null), avg_kw and ratio against the last n rows."""
     kw = F.col("kw")
@@ -76,7 +76,7 @@ def wma_forecast(
     n: int = FORECAST_ROWS,
     min_n: int = FORECAST_MIN,
     digits: int = READING_DIGITS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Adds predicted_kw: the last n rows without zeros, weighted 1, 2, ... oldest first."""
     kw = F.col("kw")
@@ -107,7 +107,7 @@ def last_n(
     order: Keys = ORDER,
     n: int = HISTORY_ROWS,
     value: str | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Latest n rows per key; with ``value``, nulls of it are dropped after the cut."""
     rows = first_rows(
@@ -122,7 +122,7 @@ def sparkline(
     by: Keys = BY,
     order: Keys = ORDER,
     n: int = SPARK_ROWS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Last n loads per key as an array, oldest first (n bounds the array)."""
     rows = last_n(readings.filter(F.col("kw").isNotNull()), by=by, order=order, n=n, hot_rows=hot_rows)

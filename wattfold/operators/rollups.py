@@ -320,7 +320,7 @@ def combine(
     bucket: str = "15 minutes",
     meter: str = "meter",
     order: Sequence[str] = ("ts", "seq"),
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Loads of several meters added up, by time bucket, or i-th with i-th when ``positional``."""
     if positional:

@@ -131,7 +131,7 @@ def cooldown(
     ts: str = "ts",
     seq: str = "seq",
     minutes: float = PAUSE_MINUTES,
-    hot_rows: int = FOLD_ROWS,
+    hot_rows: int | None = FOLD_ROWS,
 ) -> DataFrame:
     """Adds ``accepted``: true for the votes that count under the pause."""
     by = list(by)

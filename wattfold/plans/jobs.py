@@ -39,15 +39,16 @@ def extend_history(history: DataFrame, current: DataFrame, *, now: str, keep: in
     stamp = F.lit(now).cast(history.schema["ts"].dataType)
     nxt = history.select(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("seq")).scalar()
     fresh = current.filter(F.col("kw").isNotNull()).select("bid", stamp.alias("ts"), nxt.cast("bigint").alias("seq"), "kw")
-    return rolling.last_n(history.select("bid", "ts", "seq", "kw").unionByName(fresh), order=["ts", "seq"], n=keep)
+    return rolling.last_n(history.select("bid", "ts", "seq", "kw").unionByName(fresh), order=["ts", "seq"], n=keep, hot_rows=None)
 
 
 def judge_history(history: DataFrame) -> DataFrame:
     """Per building: last time, verdict on the last reading, forecast, sparkline.
 
-    Both rolling operators and the aggregate share the partitioning by building: one shuffle.
+    A history is short, and both rolling operators and the aggregate share the partitioning
+    by building: one shuffle.
     """
-    judged = rolling.wma_forecast(rolling.rolling_anomaly(history))
+    judged = rolling.wma_forecast(rolling.rolling_anomaly(history, hot_rows=None), hot_rows=None)
     at = F.struct("ts", "seq")
     points = F.array_sort(F.collect_list(F.struct("ts", "seq", "kw")))  # HISTORY_ROWS at most
     last = F.max_by(F.struct("ts", "kw", "anomaly_type", "avg_kw", "ratio", "predicted_kw"), at)

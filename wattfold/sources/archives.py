@@ -110,7 +110,7 @@ def source_files(snapshots: DataFrame) -> DataFrame:
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     """bid, ts (text), t, kw, pos; no rows when the file is missing or unreadable."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException:
         text = spark.range(0).select(F.lit("").alias("value"))
     doc = F.from_json("value", HISTORY_TYPE)

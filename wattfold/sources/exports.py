@@ -93,7 +93,7 @@ def read_payloads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     An export covers hours to days of one meter, so a file is small and read whole;
     that lets every file bring its own header.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return sniff_html(
         files.select(
             F.col("_metadata.file_path").alias("file"), _file_part(1).alias("mac"), _file_part(2).alias("meter"), "value"

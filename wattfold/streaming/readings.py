@@ -97,6 +97,7 @@ def stream_readings(
             tail = np.floor(np.array(loads[-rolling.FORECAST_ROWS :]) * scale + 0.5).astype(np.int64)
             since = pd.Timestamp(times[-1] + pause_ms * 1000, unit="us", tz="UTC")
             row = (*key, since, seqs[-1], None, None, None, None, _forecast(tail, rolling.FORECAST_MIN, scale), "offline")
+            state.update((times, seqs, loads))  # told once; the next reading sets a new time-out
             yield pd.DataFrame([row], columns=schema.names)
             return
         rows = pd.concat(list(frames))
