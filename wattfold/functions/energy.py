@@ -16,14 +16,14 @@ DEFAULT_FLOORS = 3
 DEFAULT_MAX_KW = 500.0
 
 
-def daily_estimates(kw: Column, cost: float = COST_PER_KWH, co2: float = CO2_PER_KWH) -> dict[str, Column]:
-    """Day figures for a load of ``kw``; null when there is no load."""
-    on = truthy(kw)
-    kwh = kw * 24.0
+def daily_estimates(kw: str, cost: float = COST_PER_KWH, co2: float = CO2_PER_KWH) -> dict[str, Column]:
+    """Day figures for the load in column ``kw``; null when there is no load."""
+    on = truthy(F.col(kw))
+    kwh = f"{kw} * 24D"
     return {
-        "est_daily_kwh": F.when(on, half_even(kwh, 0).cast("bigint")),
-        "est_daily_cost": F.when(on, half_even(kwh * cost, 2)),
-        "est_daily_co2_kg": F.when(on, half_even(kwh * co2, 1)),
+        "est_daily_kwh": F.when(on, half_even(kwh).cast("bigint")),
+        "est_daily_cost": F.when(on, half_even(f"{kwh} * {cost}D", 2)),
+        "est_daily_co2_kg": F.when(on, half_even(f"{kwh} * {co2}D", 1)),
     }
 
 

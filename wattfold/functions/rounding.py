@@ -20,38 +20,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 READING_DIGITS = 3  # cleaned readings carry at most three decimals
-_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two exact halves
-_WHOLE = 4503599627370496.0  # 2**52: doubles from here on have no fraction
+_SPLIT = 134217729  # 2**27 + 1, splits a double into two exact halves
+_WHOLE = 4503599627370496  # 2**52: doubles from here on have no fraction
 
 
-def half_even(x: Column, digits: int = 0) -> Column:
+# The functions below take SQL text: a column name, or a short expression. One parsed
+# expression costs the driver far less than fifty column calls.
+
+
+def half_even(x: str, digits: int = 0) -> Column:
     """Round to ``digits`` decimals, exact ties to even.
 
-    ``x`` appears several times in the result: give it a column, not a long expression.
+    ``x`` appears several times in the result, so a long expression should be a column first.
     """
-    scale = F.lit(float(10**digits))
-    x = x.cast("double")
-    scaled = x * scale
-    # Error of the product x * scale (split into exact halves); it decides only where
-    # the rounded product looks like a tie.
-    head = x * F.lit(_SPLIT) - (x * F.lit(_SPLIT) - x)
-    error = (head * scale - scaled) + (x - head) * scale
-    near = F.rint(scaled)
-    nearest = F.when(F.abs(scaled - near) == 0.5, F.rint(scaled + F.signum(error) * 0.25)).otherwise(near)
-    return F.when(F.abs(scaled) < _WHOLE, nearest / scale).otherwise(x)
-
-
-def half_up(x: Column, digits: int = 0) -> Column:
+    scale = f"{10**digits}D"
+    scaled = f"(({x}) * {scale})"
+    # Error of the product (x split into exact halves); it decides only where the rounded
+    # product looks like a tie.
+    head = f"(({x}) * {_SPLIT}D - (({x}) * {_SPLIT}D - ({x})))"
+    error = f"(({head} * {scale} - {scaled}) + (({x}) - {head}) * {scale})"
+    return F.expr(
+        f"CASE WHEN abs({scaled}) >= {_WHOLE}D THEN {x} "
+        f"WHEN abs({scaled} - rint({scaled})) = 0.5D THEN rint({scaled} + signum({error}) * 0.25D) / {scale} "
+        f"ELSE rint({scaled}) / {scale} END"
+    )
+
+
+def half_up(x: str, digits: int = 0) -> Column:
     """Round to ``digits`` decimals, ties upwards."""
-    scale = float(10**digits)
-    scaled = x.cast("double") * F.lit(scale)
-    low = F.floor(scaled).cast("double")
-    return F.when(scaled - low >= 0.5, low + 1.0).otherwise(low) / F.lit(scale)
+    scale = f"{10**digits}D"
+    scaled = f"(({x}) * {scale})"
+    return F.expr(
+        f"CASE WHEN {scaled} - floor({scaled}) >= 0.5D THEN floor({scaled}) + 1D ELSE double(floor({scaled})) END / {scale}"
+    )
 
 
-def units(x: Column, digits: int = READING_DIGITS) -> Column:
+def units(x: str, digits: int = READING_DIGITS) -> Column:
     """A reading as a whole number of 10**-digits steps."""
-    return F.floor(x * F.lit(float(10**digits)) + F.lit(0.5)).cast("bigint")
+    return F.expr(f"floor(({x}) * {10**digits}D + 0.5D)")
 
 
 def from_units(total: Column, count: Column | None = None, digits: int = READING_DIGITS) -> Column:
@@ -60,41 +66,40 @@ def from_units(total: Column, count: Column | None = None, digits: int = READING
     return total.cast("double") / (scale if count is None else scale * count.cast("double"))
 
 
-_PART = 67108864.0  # 2**26
+_PART = 1 << 26
 
 
-def exact_parts(x: Column) -> tuple[Column, Column, Column]:
+def exact_parts(x: str) -> tuple[str, str, str]:
     """A double as whole part and two 26-bit parts of the fraction, all bigint.
 
     Sums of the parts are exact and stay in range for 10**11 rows of 10**7 each.
     """
-    whole = F.floor(x)
-    scaled = (x - whole.cast("double")) * F.lit(_PART)
-    high = F.floor(scaled)
-    low = F.floor((scaled - high.cast("double")) * F.lit(_PART))
-    return whole.cast("bigint"), high.cast("bigint"), low.cast("bigint")
+    scaled = f"((({x}) - floor({x})) * {_PART}D)"
+    return f"floor({x})", f"floor({scaled})", f"floor(({scaled} - floor({scaled})) * {_PART}D)"
 
 
-def join_parts(whole: Column, high: Column, low: Column) -> Column:
+def join_parts(whole: str, high: str, low: str) -> str:
     """Sums of parts back to the double nearest to the exact total."""
-    high = high + F.shiftright(low, 26)
-    rest = low.bitwiseAND(F.lit((1 << 26) - 1))
-    whole = whole + F.shiftright(high, 26)
-    high = high.bitwiseAND(F.lit((1 << 26) - 1))
-    fraction = (high * F.lit(1 << 26) + rest).cast("double") / F.lit(_PART * _PART)
-    return whole.cast("double") + fraction
+    carried = f"({high} + shiftright({low}, 26))"
+    fraction = f"double(({carried} & {_PART - 1}) * {_PART} + ({low} & {_PART - 1})) / {float(_PART) ** 2:.1f}D"
+    return f"(double({whole} + shiftright({carried}, 26)) + {fraction})"
+
+
+def _total(x: str, keep: str | None) -> str:
+    where = f" FILTER (WHERE {keep})" if keep else ""
+    return join_parts(*[f"sum({part}){where}" for part in exact_parts(f"double({x})")])
 
 
-def exact_total(x: Column, keep: Column | None = None) -> Column:
-    """Aggregate: sum of ``x`` (where ``keep``), null without rows."""
-    parts = exact_parts(x.cast("double"))
-    return join_parts(*[F.sum(p if keep is None else F.when(keep, p)) for p in parts])
+def exact_total(x: str, keep: str | None = None, *, empty: float | None = None) -> Column:
+    """Aggregate: sum of ``x`` (where ``keep``); ``empty`` without rows."""
+    total = _total(x, keep)
+    return F.expr(total if empty is None else f"coalesce({total}, {empty}D)")
 
 
-def exact_mean(x: Column, keep: Column | None = None) -> Column:
+def exact_mean(x: str, keep: str | None = None) -> Column:
     """Aggregate: exact total over count, one rounding each; null without rows."""
-    count = F.count(x if keep is None else F.when(keep, x))
-    return F.when(count > 0, exact_total(x, keep) / count.cast("double"))
+    count = f"count({x})" + (f" FILTER (WHERE {keep})" if keep else "")
+    return F.expr(f"{_total(x, keep)} / nullif({count}, 0)")
 
 
 def truthy(x: Column) -> Column:

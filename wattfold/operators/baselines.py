@@ -32,7 +32,7 @@ def baselines(
     cells, so the fourfold expansion touches cells and not samples.
     """
     local = in_zone(F.col("ts"), tz)
-    u = units(F.col("kw"), digits)
+    u = units("kw", digits)
     cells = (
         samples.filter(F.col("kw").isNotNull())
         .groupBy("bid", weekday(local).alias("wday"), F.hour(local).alias("hr"))
@@ -58,29 +58,19 @@ def baselines(
     return (
         tiers.withColumn("tier", tier)
         .filter((F.col("tier") == 4) | (F.col("n") >= min_n))
-        .select(
-            "bid",
-            "tier",
-            "wday",
-            "wclass",
-            "hr",
-            half_even(F.col("_s").cast("double") / (scale * n), 2).alias("mean"),
-            half_even(F.sqrt(spread.cast("double")) / (scale * n), 2).alias("std"),
-            "n",
-        )
+        .withColumn("mean", F.col("_s").cast("double") / (scale * n))
+        .withColumn("std", F.sqrt(spread.cast("double")) / (scale * n))
+        .select("bid", "tier", "wday", "wclass", "hr", half_even("mean", 2).alias("mean"), half_even("std", 2).alias("std"), "n")
     )
 
 
 def coverage(cells: DataFrame) -> DataFrame:
     """Per building: samples and filled cells per tier (of 168, 48 and 24)."""
-    return cells.groupBy("bid").agg(
+    counts = cells.groupBy("bid").agg(
         F.max(F.when(F.col("tier") == 4, F.col("n"))).alias("samples"),
         *[F.count(F.when(F.col("tier") == t, 1)).alias(f"tier{t}_cells") for t in FULL_CELLS],
-        *[
-            half_even(F.count(F.when(F.col("tier") == t, 1)) / F.lit(float(full)) * 100.0, 1).alias(f"tier{t}_pct")
-            for t, full in FULL_CELLS.items()
-        ],
     )
+    return counts.withColumns({f"tier{t}_pct": half_even(f"tier{t}_cells / {full}D * 100D", 1) for t, full in FULL_CELLS.items()})
 
 
 def _stat() -> Column:

@@ -23,7 +23,7 @@ def parse_number(text: Column) -> Column:
 def safe_float(df: DataFrame, cols: Sequence[str], *, limit: float = MEASURE_LIMIT, digits: int = 3) -> DataFrame:
     """Parses ``cols``; unparsable and oversized values become null."""
     parsed = df.withColumns({c: parse_number(F.col(c)) for c in cols})
-    return parsed.withColumns({c: F.when(F.abs(F.col(c)) <= limit, half_even(F.col(c), digits)) for c in cols})
+    return parsed.withColumns({c: F.when(F.abs(F.col(c)) <= limit, half_even(f"`{c}`", digits)) for c in cols})
 
 
 def drop_error_rows(df: DataFrame, *, error: str = "error") -> DataFrame:
@@ -95,7 +95,7 @@ def resolve_kw(
         other = [c for c in raw.columns if "kW" in c and "kWh" not in c]
         tries = [_in_range(F.col(f"`{c}`"), lo, hi) for c in (*named, *other)]
     first = F.coalesce(*tries) if tries else F.lit(None).cast("double")
-    return raw.withColumn(name, first).withColumn(name, half_even(F.col(name), 1))
+    return raw.withColumn(name, first).withColumn(name, half_even(f"`{name}`", 1))
 
 
 def on_day(df: DataFrame, *, as_of: str, ts: str = "ts") -> DataFrame:

@@ -27,7 +27,7 @@ def floor_allocation(
     readings: DataFrame, shares: DataFrame, *, by: tuple[str, ...] = (), digits: int = READING_DIGITS
 ) -> DataFrame:
     """Load of a floor: sum over meters of load times the floor's share of the meter."""
-    per_meter = readings.groupBy(*by, "meter").agg(F.sum(units(F.col("kw"), digits)).alias("_u"))
+    per_meter = readings.groupBy(*by, "meter").agg(F.sum(units("kw", digits)).alias("_u"))
     # Meters are added up before the many-to-many join; shares are whole percents.
     pct = F.floor(F.col("share") * 100.0 + 0.5).cast("bigint")
     return (

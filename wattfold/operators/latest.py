@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattfold.functions.energy import daily_estimates, status
+from wattfold.functions.energy import KWH_PER_HOME_DAY, daily_estimates, status
 from wattfold.functions.names import strip_legacy
-from wattfold.functions.rounding import exact_total, half_even, truthy
+from wattfold.functions.rounding import exact_total, half_even, half_up
 
 
 def latest(readings: DataFrame, *, by: Sequence[str], order: Sequence[str] = ("ts", "seq")) -> DataFrame:
@@ -72,31 +72,31 @@ def silent_since(readings: DataFrame, *, by: Sequence[str], as_of: str, hours: i
 
 
 def with_estimates(current: DataFrame, *, kw: str = "kw") -> DataFrame:
-    return current.withColumns({"status": status(F.col(kw)), **daily_estimates(F.col(kw))})
+    return current.withColumns({"status": status(F.col(kw)), **daily_estimates(kw)})
 
 
 def campus_total(current: DataFrame) -> DataFrame:
     """One row: total load, counts, and the estimates from the rounded total."""
-    kw = F.col("kw")
     totals = current.agg(
-        half_even(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)), 1).alias("total_kw"),
-        F.count(kw).alias("buildings_online"),
+        exact_total("kw", "kw <> 0", empty=0.0).alias("total_kw"),
+        F.count("kw").alias("buildings_online"),
         F.count(F.lit(1)).alias("buildings_total"),
+    ).withColumn("total_kw", half_even("total_kw", 1))
+    estimates = daily_estimates("total_kw")
+    return totals.withColumns(
+        {
+            "total_daily_kwh": F.coalesce(estimates["est_daily_kwh"], F.lit(0).cast("bigint")),
+            "total_daily_cost": F.coalesce(estimates["est_daily_cost"], F.lit(0.0)),
+            "total_daily_co2_kg": F.coalesce(estimates["est_daily_co2_kg"], F.lit(0.0)),
+        }
     )
-    total = F.col("total_kw")
-    est = {k.replace("est_", "total_"): F.coalesce(v, F.lit(0).cast("bigint") if "kwh" in k else F.lit(0.0))
-           for k, v in daily_estimates(total).items()}
-    return totals.withColumns(est)
 
 
 def home_equivalents(total: DataFrame, *, kwh: str = "total_daily_kwh") -> DataFrame:
     """Daily energy in MWh (one decimal) and as a number of average homes."""
-    from wattfold.functions.energy import KWH_PER_HOME_DAY
-    from wattfold.functions.rounding import half_up
-
     return total.withColumns(
         {
-            "daily_mwh": half_up(F.col(kwh) / 1000.0, 1),
-            "homes": half_up(F.col(kwh) / KWH_PER_HOME_DAY, 0).cast("bigint"),
+            "daily_mwh": half_up(f"{kwh} / 1000D", 1),
+            "homes": half_up(f"{kwh} / {KWH_PER_HOME_DAY}D").cast("bigint"),
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from wattfold.functions.clock import clock_label
-from wattfold.functions.rounding import READING_DIGITS, from_units, half_even, truthy, units
+from wattfold.functions.rounding import READING_DIGITS, from_units, half_even, half_up, truthy, units
 from wattfold.operators.hotkeys import HOT_ROWS, first_rows, over_last_rows
 
 # Rolling anomaly, forecast and history lengths.
@@ -44,7 +44,7 @@ def rolling_anomaly(
         frame = w.rowsBetween(-(n - 1), 0)
         return df.withColumns(
             {
-                "_total": F.sum(F.when(truthy(kw), units(kw, digits))).over(frame),
+                "_total": F.sum(F.when(truthy(kw), units("kw", digits))).over(frame),
                 "_count": F.count(F.when(truthy(kw), kw)).over(frame),
             }
         )
@@ -56,16 +56,14 @@ def rolling_anomaly(
     kind = F.when((avg > 0) & (kw > avg * hi), "high").when((avg > lo_floor) & (kw < avg * lo), "low")
     return (
         rows.withColumn("anomaly_type", kind)
-        .withColumn("avg_kw", F.when(F.col("anomaly_type").isNotNull(), half_even(avg, 1)))
-        .withColumn("ratio", F.when(F.col("anomaly_type").isNotNull(), half_even(kw / avg, 2)))
+        .withColumn("avg_kw", F.when(F.col("anomaly_type").isNotNull(), half_even("_avg", 1)))
+        .withColumn("ratio", F.when(F.col("anomaly_type").isNotNull(), half_even("kw / _avg", 2)))
         .drop("_total", "_count", "_avg")
     )
 
 
-def deviation_percent(ratio: Column) -> Column:
-    from wattfold.functions.rounding import half_up
-
-    return half_up((ratio - 1.0) * 100.0, 0).cast("bigint")
+def deviation_percent(ratio: str = "ratio") -> Column:
+    return half_up(f"({ratio} - 1D) * 100D").cast("bigint")
 
 
 def wma_forecast(
@@ -82,7 +80,7 @@ def wma_forecast(
     kw = F.col("kw")
 
     def add(df: DataFrame, w: WindowSpec) -> DataFrame:
-        value = F.coalesce(F.when(truthy(kw), units(kw, digits)), F.lit(0).cast("bigint"))
+        value = F.coalesce(F.when(truthy(kw), units("kw", digits)), F.lit(0).cast("bigint"))
         df = df.withColumn("_u", value)
         for back in range(1, n):
             df = df.withColumn(f"_u{back}", F.lag("_u", back, 0).over(w))
@@ -96,8 +94,9 @@ def wma_forecast(
         count = count + F.when(value != 0, 1).otherwise(0)
         weighted = weighted + value * count
     weights = count * (count + 1) / F.lit(2)
-    predicted = F.when(count >= min_n, half_even(from_units(weighted, weights, digits), 1))
-    return rows.withColumn("predicted_kw", predicted).drop("_u", *[f"_u{b}" for b in range(1, n)])
+    predicted = F.when(count >= min_n, from_units(weighted, weights, digits))
+    rows = rows.withColumn("predicted_kw", predicted).withColumn("predicted_kw", half_even("predicted_kw", 1))
+    return rows.drop("_u", *[f"_u{b}" for b in range(1, n)])
 
 
 def last_n(

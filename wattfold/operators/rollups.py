@@ -31,40 +31,42 @@ def series_stats(
     """current, min, max, avg, count and the time of the first maximum, nulls left out."""
     v = F.col(value)
     at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return (
+    stats = (
         readings.filter(v.isNotNull())
         .groupBy(*by)
         .agg(
             F.max_by(v, at).alias("current"),
-            half_even(F.min(v), 2).alias("min"),
-            half_even(F.max(v), 2).alias("max"),
-            half_even(exact_mean(v), 2).alias("avg"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            exact_mean(value).alias("avg"),
             F.count(v).alias("count"),
             F.min_by(order[0], F.struct(-v, *order)).alias("peak_time"),
         )
     )
+    return stats.withColumns({c: half_even(c, 2) for c in ("min", "max", "avg")})
 
 
 def interior_summary(latest_by_meter: DataFrame, meters: Sequence[str]) -> DataFrame:
     """One row: total of the latest loads, meters with a load, and the load of each meter."""
     kw = F.col("kw")
     return latest_by_meter.agg(
-        half_even(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)), 2).alias("total_kw_now"),
+        exact_total("kw", "kw <> 0", empty=0.0).alias("total_kw_now"),
         F.count(F.when(truthy(kw), kw)).alias("meters_online"),
         *[F.max(F.when(F.col("meter") == m, kw)).alias(f"kw_{m}") for m in meters],
-    )
+    ).withColumn("total_kw_now", half_even("total_kw_now", 2))
 
 
 def cross_meter_peak(stats: DataFrame, *, meter: str = "meter", ordinal: str = "ord") -> DataFrame:
     """Sum of current and average loads, and the highest peak with its meter and time."""
     rank = F.struct(-F.col("max"), ordinal)
-    return stats.agg(
-        half_up(exact_total(F.col("current")), 0).alias("total_kw"),
-        half_up(exact_total(F.col("avg")), 0).alias("total_avg_kw"),
-        half_up(F.max("max"), 0).alias("peak_kw"),
+    out = stats.agg(
+        exact_total("current").alias("total_kw"),
+        exact_total("avg").alias("total_avg_kw"),
+        F.max("max").alias("peak_kw"),
         F.min_by(meter, rank).alias("peak_meter"),
         F.min_by("peak_time", rank).alias("peak_time"),
     )
+    return out.withColumns({c: half_up(c) for c in ("total_kw", "total_avg_kw", "peak_kw")})
 
 
 # --- days and weeks -------------------------------------------------------------------
@@ -72,11 +74,10 @@ def cross_meter_peak(stats: DataFrame, *, meter: str = "meter", ordinal: str = "
 
 def campus_readings(building_readings: DataFrame) -> DataFrame:
     """Building loads of one cycle added up: ts, total_kw, online."""
-    kw = F.col("kw")
-    return building_readings.groupBy("ts").agg(
-        half_even(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)), 1).alias("total_kw"),
-        F.count(kw).alias("online"),
+    cycles = building_readings.groupBy("ts").agg(
+        exact_total("kw", "kw <> 0", empty=0.0).alias("total_kw"), F.count("kw").alias("online")
     )
+    return cycles.withColumn("total_kw", half_even("total_kw", 1))
 
 
 def daily_summary(
@@ -93,77 +94,64 @@ def daily_summary(
     """
     kw, on = F.col("total_kw"), F.col("online")
     loaded = truthy(kw)
+    label = clock_label(F.col("ts")) if time is None else time
     out = readings.groupBy((F.to_date("ts") if date is None else date).alias("date")).agg(
-        F.coalesce(half_even(exact_mean(kw, loaded), 1), F.lit(0.0)).alias("avg_kw"),
-        F.coalesce(half_even(F.max(F.when(loaded, kw)), 1), F.lit(0.0)).alias("peak_kw"),
-        F.coalesce(
-            F.min_by(clock_label(F.col("ts")) if time is None else time,
-                     F.when(loaded, F.struct(-kw, F.col("ts"), *seq))),
-            F.lit(""),
-        ).alias("peak_time"),
-        F.coalesce(half_even(F.min(F.when(loaded, kw)), 1), F.lit(0.0)).alias("min_kw"),
+        exact_mean("total_kw", "total_kw <> 0").alias("avg_kw"),
+        F.max(F.when(loaded, kw)).alias("peak_kw"),
+        F.coalesce(F.min_by(label, F.when(loaded, F.struct(-kw, F.col("ts"), *seq))), F.lit("")).alias("peak_time"),
+        F.min(F.when(loaded, kw)).alias("min_kw"),
         F.count(F.lit(1)).alias("readings_count"),
-        F.coalesce(
-            half_even(F.sum(F.when(truthy(on), on)).cast("double") / F.count(F.when(truthy(on), on)), 0), F.lit(0.0)
-        ).cast("bigint").alias("avg_online"),
+        F.avg(F.when(truthy(on), on)).alias("avg_online"),
     )
-    return (
-        out.withColumn("day", F.date_format("date", "EEEE"))
-        .withColumn("est_kwh", half_even(F.col("avg_kw") * 24.0, 0))
-        .withColumn("est_cost", half_even(F.col("est_kwh") * COST_PER_KWH, 2))
-        .withColumn("est_co2_kg", half_even(F.col("est_kwh") * CO2_PER_KWH, 1))
+    rounded = out.withColumns(
+        {
+            **{c: F.coalesce(half_even(c, 1), F.lit(0.0)) for c in ("avg_kw", "peak_kw", "min_kw")},
+            "avg_online": F.coalesce(half_even("avg_online"), F.lit(0.0)).cast("bigint"),
+            "day": F.date_format("date", "EEEE"),
+        }
+    )
+    return rounded.withColumn("est_kwh", half_even("avg_kw * 24D")).withColumns(
+        {
+            "est_cost": half_even(f"est_kwh * {COST_PER_KWH}D", 2),
+            "est_co2_kg": half_even(f"est_kwh * {CO2_PER_KWH}D", 1),
+        }
     )
 
 
 def building_weekly(readings: DataFrame, *, by: Sequence[str] = ("bid",)) -> DataFrame:
     """Per building over positive loads; the week's figures use the unrounded average."""
     kw = F.col("kw")
-    week = F.col("_avg") * 24.0 * 7.0
+    week = "avg_kw * 24D * 7D"
     return (
         readings.filter(kw > 0)
         .groupBy(*by)
         .agg(
-            exact_mean(kw).alias("_avg"),
-            half_even(F.max(kw), 1).alias("peak_kw"),
-            half_even(F.min(kw), 1).alias("min_kw"),
+            exact_mean("kw").alias("avg_kw"),
+            F.max(kw).alias("peak_kw"),
+            F.min(kw).alias("min_kw"),
             F.count(kw).alias("readings"),
         )
         .select(
             *by,
-            half_even(F.col("_avg"), 1).alias("avg_kw"),
-            "peak_kw",
-            "min_kw",
+            *[half_even(c, 1).alias(c) for c in ("avg_kw", "peak_kw", "min_kw")],
             "readings",
-            half_even(week, 0).alias("est_weekly_kwh"),
-            half_even(week * COST_PER_KWH, 2).alias("est_weekly_cost"),
-            half_even(week * CO2_PER_KWH, 1).alias("est_weekly_co2_kg"),
+            half_even(week).alias("est_weekly_kwh"),
+            half_even(f"{week} * {COST_PER_KWH}D", 2).alias("est_weekly_cost"),
+            half_even(f"{week} * {CO2_PER_KWH}D", 1).alias("est_weekly_co2_kg"),
         )
     )
 
 
 def with_week_figures(weekly: DataFrame) -> DataFrame:
     """Energy of the days with data at the rounded average, and what follows from it."""
-    kwh = F.col("total_kwh")
-    return (
-        weekly.withColumn("_kwh", F.col("avg_kw") * 24.0 * F.col("days"))
-        .withColumn("total_kwh", half_even(F.col("_kwh"), 0))
-        .withColumns(
-            {
-                "_cost": kwh * COST_PER_KWH,
-                "_co2": kwh * CO2_PER_KWH,
-                "_tons": kwh * CO2_PER_KWH / 1000.0,
-                "_trees": kwh * CO2_PER_KWH / CO2_KG_PER_TREE,
-            }
-        )
-        .withColumns(
-            {
-                "total_cost": half_even(F.col("_cost"), 2),
-                "total_co2_kg": half_even(F.col("_co2"), 1),
-                "total_co2_tons": half_even(F.col("_tons"), 2),
-                "trees_equivalent": half_even(F.col("_trees"), 0).cast("bigint"),
-            }
-        )
-        .drop("_kwh", "_cost", "_co2", "_tons", "_trees")
+    co2 = f"total_kwh * {CO2_PER_KWH}D"
+    return weekly.withColumn("total_kwh", half_even("avg_kw * 24D * days")).withColumns(
+        {
+            "total_cost": half_even(f"total_kwh * {COST_PER_KWH}D", 2),
+            "total_co2_kg": half_even(co2, 1),
+            "total_co2_tons": half_even(f"{co2} / 1000D", 2),
+            "trees_equivalent": half_even(f"{co2} / {CO2_KG_PER_TREE}D").cast("bigint"),
+        }
     )
 
 
@@ -187,27 +175,25 @@ def campus_week(
     day = F.to_date("ts")
     # First per group and day, then per group: no distinct over raw rows.
     loaded = truthy(kw)
-    parts = exact_parts(kw)
     per_day = readings.groupBy(*by, day.alias("_day")).agg(
-        *[F.sum(F.when(loaded, part)).alias(f"_p{i}") for i, part in enumerate(parts)],
+        *[F.expr(f"sum({part}) FILTER (WHERE total_kw <> 0)").alias(f"_p{i}") for i, part in enumerate(exact_parts("total_kw"))],
         F.count(F.when(loaded, kw)).alias("_count"),
         F.max(F.when(loaded, kw)).alias("_max"),
         F.min(F.when(loaded, kw)).alias("_min"),
     )
     groups = [c for c in per_day.columns if not c.startswith("_")]
-    total = join_parts(*[F.sum(f"_p{i}") for i in range(3)])
+    total = join_parts(*[f"sum(_p{i})" for i in range(3)])
     out = per_day.groupBy(*groups).agg(
         F.min("_day").alias("period_start"),
         F.max("_day").alias("period_end"),
         F.count("_day").alias("days"),
         F.sum("_count").alias("total_readings"),
-        F.coalesce(
-            half_even(F.when(F.sum("_count") > 0, total / F.sum("_count").cast("double")), 1), F.lit(0.0)
-        ).alias("avg_kw"),
-        F.coalesce(half_even(F.max("_max"), 1), F.lit(0.0)).alias("peak_kw"),
-        F.coalesce(half_even(F.min("_min"), 1), F.lit(0.0)).alias("min_kw"),
+        F.expr(f"{total} / nullif(sum(_count), 0)").alias("avg_kw"),
+        F.max("_max").alias("peak_kw"),
+        F.min("_min").alias("min_kw"),
     )
-    return with_week_figures(out)
+    rounded = {c: F.coalesce(half_even(c, 1), F.lit(0.0)) for c in ("avg_kw", "peak_kw", "min_kw")}
+    return with_week_figures(out.withColumns(rounded))
 
 
 def week_over_week(readings: DataFrame) -> DataFrame:
@@ -217,11 +203,10 @@ def week_over_week(readings: DataFrame) -> DataFrame:
     return (
         weekly.select("week", "avg_kw")
         .withColumn("prev_avg_kw", F.lag("avg_kw").over(w))
-        .withColumn("change_kw", half_even(F.col("avg_kw") - F.col("prev_avg_kw"), 1))
+        .withColumn("change_kw", half_even("avg_kw - prev_avg_kw", 1))
         .withColumn(
             "change_pct",
-            F.when(F.col("prev_avg_kw") != 0,
-                   half_even((F.col("avg_kw") - F.col("prev_avg_kw")) / F.col("prev_avg_kw") * 100.0, 1)),
+            F.when(F.col("prev_avg_kw") != 0, half_even("(avg_kw - prev_avg_kw) / prev_avg_kw * 100D", 1)),
         )
     )
 
@@ -235,18 +220,18 @@ def day_index(readings: DataFrame) -> DataFrame:
 
 def category_rollup(current: DataFrame, categories: DataFrame, *, on: str = "bid") -> DataFrame:
     """Load per category (``Other`` when unknown), rounded, with its share of the campus load."""
-    kw = F.col("kw")
     per = (
         current.join(categories.select(on, "category"), on, "left")
         .groupBy(F.coalesce("category", F.lit("Other")).alias("category"))
-        .agg(F.coalesce(exact_total(kw, truthy(kw)), F.lit(0.0)).alias("_kw"))
+        .agg(exact_total("kw", "kw <> 0", empty=0.0).alias("_kw"))
     )
     whole = Window.partitionBy()  # over one row per category
     return (
-        per.withColumn("_all", half_even(F.sum("_kw").over(whole), 1))
+        per.withColumn("_all", F.sum("_kw").over(whole))
+        .withColumn("_all", half_even("_all", 1))
         .filter(F.col("_kw") > 0)
-        .withColumn("kw", half_up(F.col("_kw"), 0))
-        .select("category", "kw", half_up(F.col("kw") / F.col("_all") * 100.0, 0).cast("bigint").alias("share_pct"))
+        .withColumn("kw", half_up("_kw"))
+        .select("category", "kw", half_up("kw / _all * 100D").cast("bigint").alias("share_pct"))
     )
 
 
@@ -257,17 +242,15 @@ def efficiency(current: DataFrame, attributes: DataFrame, *, on: str = "bid") ->
         current.filter(F.col("kw").isNotNull())
         .join(attributes.select(on, "floors", "year_built"), on, "left")
         .withColumn("floors", floors)
-        .withColumn("kw_per_floor", half_up(F.col("kw") / F.col("floors"), 1))
+        .withColumn("kw_per_floor", half_up("kw / floors", 1))
         .withColumn("efficiency_band", efficiency_band(F.col("kw_per_floor")))
     )
 
 
 def avg_efficiency(per_floor: DataFrame) -> DataFrame:
     """Mean of the rounded per-floor loads."""
-    return per_floor.agg(
-        F.coalesce(half_up(exact_mean(F.col("kw_per_floor")), 1), F.lit(0.0)).alias("avg_kw_per_floor"),
-        F.count("kw_per_floor").alias("buildings"),
-    )
+    mean = per_floor.agg(exact_mean("kw_per_floor").alias("avg_kw_per_floor"), F.count("kw_per_floor").alias("buildings"))
+    return mean.withColumn("avg_kw_per_floor", F.coalesce(half_up("avg_kw_per_floor", 1), F.lit(0.0)))
 
 
 def age_vs_energy(per_floor: DataFrame) -> DataFrame:
@@ -309,8 +292,8 @@ def load_timeline(
         per = readings.groupBy(by, F.window("ts", bucket)["start"].alias("bucket")).agg(
             F.max_by("kw", F.struct(*order)).alias("kw")
         )
-    total = F.coalesce(exact_total(F.col("kw")), F.lit(0.0))
-    return per.groupBy("bucket").agg(half_up(total, 0).alias("kw"), F.count("kw").alias("buildings"))
+    totals = per.groupBy("bucket").agg(exact_total("kw", empty=0.0).alias("total"), F.count("kw").alias("buildings"))
+    return totals.select("bucket", half_up("total").alias("kw"), "buildings")
 
 
 def combine(
@@ -331,5 +314,4 @@ def combine(
             F.max_by("kw", F.struct(*order)).alias("kw")
         )
         key = "bucket"
-    total = F.coalesce(exact_total(F.col("kw")), F.lit(0.0))
-    return placed.groupBy(key).agg(total.alias("combined_kw"), F.count("kw").alias("meters"))
+    return placed.groupBy(key).agg(exact_total("kw", empty=0.0).alias("combined_kw"), F.count("kw").alias("meters"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattfold.functions.rounding import half_up
-from wattfold.operators.hotkeys import SEGMENT, has_hot_keys, with_segments
+from wattfold.operators.hotkeys import HOT_ROWS, SEGMENT, has_hot_keys, with_segments
 
 # Vote window and pause between two votes of one voter.
 VOTE_HOURS, PAUSE_MINUTES, RECENT_VOTES = 2, 10, 15
-FOLD_ROWS = 500_000  # votes of one voter that are held in a Python worker at once
 
 
 def _count(vote: str) -> Column:
@@ -62,13 +61,11 @@ def vote_overview(tally: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
 def vote_shares(tally: DataFrame, *, whole: bool = True) -> DataFrame:
     """hot and ok in percent (whole numbers or unrounded), cold as what is left of 100."""
     def pct(part: str) -> Column:
-        share = F.col(part) / F.col("total") * 100.0
-        return F.coalesce(half_up(share, 0) if whole else share, F.lit(0.0))
+        share = f"{part} / total * 100D"
+        return F.when(F.col("total") > 0, half_up(share) if whole else F.expr(share)).otherwise(0.0)
 
-    return (
-        tally.withColumn("hot_pct", F.when(F.col("total") > 0, pct("hot")).otherwise(0.0))
-        .withColumn("ok_pct", F.when(F.col("total") > 0, pct("ok")).otherwise(0.0))
-        .withColumn("cold_pct", F.lit(100.0) - F.col("hot_pct") - F.col("ok_pct"))
+    return tally.withColumns({"hot_pct": pct("hot"), "ok_pct": pct("ok")}).withColumn(
+        "cold_pct", F.lit(100.0) - F.col("hot_pct") - F.col("ok_pct")
     )
 
 
@@ -81,8 +78,8 @@ def recent_votes(votes: DataFrame, tally: DataFrame, *, n: int = RECENT_VOTES) -
 # --- cooldown -------------------------------------------------------------------------
 # A vote counts if the voter's last counted vote is at least a pause away. That is a
 # recurrence, so one voter's votes depend on each other from the first to the last.
-# Ordinary voters are folded in their group. The votes of a hot voter are cut into time
-# segments that are worked on in parallel:
+# Ordinary voters are walked from first to last vote. The votes of a hot voter are cut into
+# time segments that are worked on in parallel:
 #   1. per segment, for every vote that could be the first one counted there, the last one
 #      that would then be counted (equal outcomes merged, so a few rows);
 #   2. per hot voter, these step tables chained, which gives each segment the time its
@@ -131,32 +128,47 @@ def cooldown(
     ts: str = "ts",
     seq: str = "seq",
     minutes: float = PAUSE_MINUTES,
-    hot_rows: int | None = FOLD_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Adds ``accepted``: true for the votes that count under the pause."""
+    """Adds ``accepted``: true for the votes that count under the pause.
+
+    Voters (for hot ones, their segments) lie sorted one after the other in a partition and
+    are walked in Arrow batches, so no group is held in memory.
+    """
     by = list(by)
     pause = int(minutes * 60 * 1_000_000)
     stamped = votes.withColumn("_us", _micros(votes, ts))
-    hot = has_hot_keys(votes, by, hot_rows)
-    if hot:
+    if has_hot_keys(votes, by, hot_rows):
         stamped = with_segments(stamped, by=by, ts=ts, hot_rows=hot_rows)
+        stamped = stamped.join(_segment_entries(stamped, by, pause), [*by, SEGMENT], "left")
     else:
-        stamped = stamped.withColumn(SEGMENT, F.lit(None).cast("bigint"))
-    stamped = stamped.withColumn("_free", F.lit(None).cast("bigint"))
-    if hot:
-        stamped = stamped.drop("_free").join(_segment_entries(stamped, by, pause), [*by, SEGMENT], "left")
+        empty = F.lit(None).cast("bigint")
+        stamped = stamped.withColumns({SEGMENT: empty, "_free": empty})
 
     schema = T.StructType([*votes.schema.fields, T.StructField("accepted", T.BooleanType())])
+    keys = [*by, SEGMENT]
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, free = None, 0
+        for rows in batches:
+            entry = rows["_free"].fillna(_NEVER).astype("int64").tolist()
+            marks = []
+            for key, us, start in zip(rows[keys].fillna(-1).itertuples(index=False, name=None), rows["_us"].tolist(), entry):
+                if key != last:
+                    last, free = key, start
+                marks.append(us >= free)
+                if us >= free:
+                    free = us + pause
+            yield rows.assign(accepted=marks)[schema.names]
+
+    return (
+        stamped.repartition(*keys)
+        .sortWithinPartitions(*keys, "_us", seq)
+        .mapInPandas(mark, schema)
+    )
 
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_us", seq], kind="stable")
-        free = group["_free"].iloc[0]
-        times = group["_us"].to_numpy()
-        start = times[0] if pd.isna(free) else int(free)
-        group["accepted"] = _counted(times, pause, start)
-        return group[schema.names]
 
-    return stamped.groupBy(*by, SEGMENT).applyInPandas(mark, schema)
+_NEVER = -(1 << 62)
 
 
 def _micros(df: DataFrame, ts: str) -> Column:
@@ -185,7 +197,7 @@ def _segment_entries(stamped: DataFrame, by: Sequence[str], pause: int) -> DataF
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         # Step tables of one voter, a few rows per segment: walks segments, not votes.
-        free, out = np.iinfo(np.int64).min, []
+        free, out = _NEVER, []
         for segment, rows in group.sort_values([SEGMENT, "_upto"]).groupby(SEGMENT):
             out.append((segment, free))
             fit = int(np.searchsorted(rows["_upto"].to_numpy(), free, side="left"))

@@ -232,7 +232,7 @@ def dashboard(snapshot: DataFrame, attributes: DataFrame) -> Dashboard:
         per_floor,
         rollups.top_k(online, by="kw", tie="bid"),
         rollups.top_k(per_floor, by="kw_per_floor", tie="bid"),
-        flagged.select("bid", "name", "anomaly.*", rolling.deviation_percent(F.col("anomaly.ratio")).alias("deviation_pct")),
+        flagged.select("bid", "name", "anomaly.*", rolling.deviation_percent("anomaly.ratio").alias("deviation_pct")),
     )
 
 

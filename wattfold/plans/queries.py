@@ -234,7 +234,7 @@ def registry_left_live(spark, sf):
 @query
 def anomaly_rolling(spark, sf):
     out = rolling.rolling_anomaly(tables.readings(spark, sf))
-    return out.withColumn("deviation_pct", rolling.deviation_percent(F.col("ratio"))).drop("meter")
+    return out.withColumn("deviation_pct", rolling.deviation_percent("ratio")).drop("meter")
 
 
 @query

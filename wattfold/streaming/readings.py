@@ -139,11 +139,11 @@ def stream_day_totals(stream: DataFrame, *, by: str = "bid", watermark: str = WA
         .groupBy(F.window("ts", "1 day").alias("w"), by)
         .agg(
             F.count(F.when(loaded, kw)).alias("readings"),
-            half_even(exact_mean(kw, loaded), 1).alias("avg_kw"),
+            exact_mean("kw", "kw <> 0").alias("avg_kw"),
             F.max(F.when(loaded, kw)).alias("peak_kw"),
             F.min(F.when(loaded, kw)).alias("min_kw"),
         )
-        .select(F.col("w.start").alias("day_start"), by, "readings", "avg_kw", "peak_kw", "min_kw")
+        .select(F.col("w.start").alias("day_start"), by, "readings", half_even("avg_kw", 1).alias("avg_kw"), "peak_kw", "min_kw")
     )
 
 
