@@ -13,14 +13,13 @@ from wattfold.functions.rounding import exact_total, half_even, half_up
 
 
 def latest(readings: DataFrame, *, by: Sequence[str], order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """Last row per key: one map-side combined aggregate, no window, no sort of histories."""
+    """Last row per key: one map-side combined aggregate, no window over histories.
+
+    Rows that tie on ``order`` are told apart by their other columns.
+    """
     rest = [c for c in readings.columns if c not in by]
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return (
-        readings.groupBy(*by)
-        .agg(F.max_by(F.struct(*rest), at).alias("_row"))
-        .select(*by, *[F.col("_row")[c].alias(c) for c in rest])
-    )
+    row = F.struct(*order, *[c for c in rest if c not in order])
+    return readings.groupBy(*by).agg(F.max(row).alias("_row")).select(*by, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def resolve_buildings(registry: DataFrame, latest_by_meter: DataFrame) -> DataFrame:
@@ -36,11 +35,19 @@ def resolve_buildings(registry: DataFrame, latest_by_meter: DataFrame) -> DataFr
         .join(latest_by_meter.select("mac", "meter", "kw", "ts"), ["mac", "meter"], "left")
     )
     silent = F.col("kw").isNull()
-    rank = F.struct(silent, "ordinal", F.when(silent, -F.col("pos")).otherwise(F.col("pos")))
-    row = F.struct("name", "mac", F.when(~silent, F.col("meter")).alias("meter"), "kw", "ts")
+    pick = F.struct(
+        silent.alias("silent"),
+        "ordinal",
+        F.when(silent, -F.col("pos")).otherwise(F.col("pos")).alias("turn"),
+        "name",
+        "mac",
+        F.when(~silent, F.col("meter")).alias("meter"),
+        "kw",
+        "ts",
+    )
     return (
         tried.groupBy("id")
-        .agg(F.min_by(row, rank).alias("r"))
+        .agg(F.min(pick).alias("r"))
         .select("id", strip_legacy(F.col("r.name")).alias("name"), "r.mac", "r.meter", "r.kw", "r.ts")
     )
 

@@ -143,10 +143,8 @@ def expand_sparkline(snapshots: DataFrame, *, step_min: int = 15) -> DataFrame:
 
 def clock_fold(readings: DataFrame, *, by: Keys = BY, order: Keys = ORDER) -> DataFrame:
     """First reading per key and clock label (HH:mm), days folded together."""
-    return (
-        readings.groupBy(*by, clock_label(F.col("ts")).alias("label"))
-        .agg(F.min_by("kw", F.struct(*order)).alias("kw"))
-    )
+    first = F.min(F.struct(*order, "kw"))
+    return readings.groupBy(*by, clock_label(F.col("ts")).alias("label")).agg(first["kw"].alias("kw"))
 
 
 def snapshot_asof(readings: DataFrame, *, t: str, by: Keys = BY, order: Keys = ORDER) -> DataFrame:

@@ -30,17 +30,16 @@ def series_stats(
 ) -> DataFrame:
     """current, min, max, avg, count and the time of the first maximum, nulls left out."""
     v = F.col(value)
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
     stats = (
         readings.filter(v.isNotNull())
         .groupBy(*by)
         .agg(
-            F.max_by(v, at).alias("current"),
+            F.max(F.struct(*order, v.alias("v")))["v"].alias("current"),
             F.min(v).alias("min"),
             F.max(v).alias("max"),
             exact_mean(value).alias("avg"),
             F.count(v).alias("count"),
-            F.min_by(order[0], F.struct(-v, *order)).alias("peak_time"),
+            F.min(F.struct((-v).alias("v"), *order))[order[0]].alias("peak_time"),
         )
     )
     return stats.withColumns({c: half_even(c, 2) for c in ("min", "max", "avg")})
@@ -84,7 +83,6 @@ def daily_summary(
     readings: DataFrame,
     *,
     date: Column | None = None,
-    time: Column | None = None,
     seq: Sequence[str] = (),
 ) -> DataFrame:
     """Per day: average, peak with its first time, minimum, counts, and the estimates.
@@ -94,11 +92,11 @@ def daily_summary(
     """
     kw, on = F.col("total_kw"), F.col("online")
     loaded = truthy(kw)
-    label = clock_label(F.col("ts")) if time is None else time
+    peak = F.min(F.when(loaded, F.struct((-kw).alias("v"), F.col("ts"), *seq)))
     out = readings.groupBy((F.to_date("ts") if date is None else date).alias("date")).agg(
         exact_mean("total_kw", "total_kw <> 0").alias("avg_kw"),
         F.max(F.when(loaded, kw)).alias("peak_kw"),
-        F.coalesce(F.min_by(label, F.when(loaded, F.struct(-kw, F.col("ts"), *seq))), F.lit("")).alias("peak_time"),
+        peak["ts"].alias("peak_time"),
         F.min(F.when(loaded, kw)).alias("min_kw"),
         F.count(F.lit(1)).alias("readings_count"),
         F.avg(F.when(truthy(on), on)).alias("avg_online"),
@@ -107,6 +105,7 @@ def daily_summary(
         {
             **{c: F.coalesce(half_even(c, 1), F.lit(0.0)) for c in ("avg_kw", "peak_kw", "min_kw")},
             "avg_online": F.coalesce(half_even("avg_online"), F.lit(0.0)).cast("bigint"),
+            "peak_time": F.coalesce(clock_label(F.col("peak_time")), F.lit("")),
             "day": F.date_format("date", "EEEE"),
         }
     )
@@ -290,7 +289,7 @@ def load_timeline(
         per = clock_fold(readings, by=[by], order=order).withColumnRenamed("label", "bucket")
     else:
         per = readings.groupBy(by, F.window("ts", bucket)["start"].alias("bucket")).agg(
-            F.max_by("kw", F.struct(*order)).alias("kw")
+            F.max(F.struct(*order, "kw"))["kw"].alias("kw")
         )
     totals = per.groupBy("bucket").agg(exact_total("kw", empty=0.0).alias("total"), F.count("kw").alias("buildings"))
     return totals.select("bucket", half_up("total").alias("kw"), "buildings")
@@ -311,7 +310,7 @@ def combine(
         key: Column | str = "position"
     else:
         placed = readings.groupBy(meter, F.window("ts", bucket)["start"].alias("bucket")).agg(
-            F.max_by("kw", F.struct(*order)).alias("kw")
+            F.max(F.struct(*order, "kw"))["kw"].alias("kw")
         )
         key = "bucket"
     return placed.groupBy(key).agg(exact_total("kw", empty=0.0).alias("combined_kw"), F.count("kw").alias("meters"))

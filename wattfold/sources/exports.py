@@ -184,6 +184,6 @@ def read_latest_loads(spark: SparkSession, path: str | Sequence[str], *, tz: str
     """mac, meter, kw, ts of the last line of each meter's export. The load follows the
     priority list of headers; the error flag is not looked at."""
     raw = _rows(read_export(spark, path), drop_errors=False)
-    stamped = raw.withColumn("ts", meter_time_to_utc(F.col("local_time"), tz))
-    last = latest(stamped, by=["mac", "meter"], order=["ts", "line"])
-    return resolve_kw(last, candidates=KW_HEADERS, cells="cells").select("mac", "meter", "kw", "ts")
+    loads = resolve_kw(raw, candidates=KW_HEADERS, cells="cells")
+    stamped = loads.select("mac", "meter", "line", "kw", meter_time_to_utc(F.col("local_time"), tz).alias("ts"))
+    return latest(stamped, by=["mac", "meter"], order=["ts", "line"]).select("mac", "meter", "kw", "ts")
