@@ -40,6 +40,13 @@ def test_rolling_anomaly(readings, hot):
     assert rows_of(plain) == rows_of(cut.select(plain.columns))
 
 
+@pytest.mark.parametrize("hours", [0.5, 30])
+def test_time_range(readings, hours):
+    plain = rolling.rolling_anomaly(readings, hours=hours)
+    cut = rolling.rolling_anomaly(readings, hours=hours, hot_rows=60)
+    assert rows_of(plain) == rows_of(cut.select(plain.columns))
+
+
 @pytest.mark.parametrize("hot", [100])
 def test_wma_forecast(readings, hot):
     plain = rolling.wma_forecast(readings)

@@ -69,6 +69,25 @@ def test_cycles(spark, registry, tmp_path):
     assert archives.snapshot_buildings(archives.read_snapshots(spark, f"{out}/campus_energy", glob="*.json")).count() == 4
 
 
+def test_cycles_from_a_stream(spark, registry, tmp_path):
+    """Landed loads drive one cycle per micro-batch."""
+    from wattfold.streaming import readings as streams
+
+    landed, out = str(tmp_path / "landed"), str(tmp_path / "out")
+    for kw in (10.0, 30.0):
+        loads(spark, ("M1", "3", kw)).coalesce(1).write.mode("append").parquet(landed)
+    stream = streams.read_stream(spark, landed, "mac string, meter string, kw double, ts timestamp_ntz", files_per_trigger=1)
+
+    def run(batch, cycle):
+        now = f"2026-01-01 10:{cycle:02d}:00"
+        jobs.run_cycle(spark, registry, latest.latest(batch, by=["mac", "meter"], order=["ts"]), out, cycle=cycle, now=now)
+
+    job = streams.start_cycles(stream, run, marks=str(tmp_path / "marks"), once=True)
+    job.awaitTermination()
+    got = spark.read.parquet(f"{out}/snapshot/cycle=1").filter("bid = 'hall'").first()
+    assert got["sparkline"] == [10.0, 30.0] and got["predicted_kw"] == 23.3
+
+
 def test_history_is_cut(spark):
     rows = [("a", datetime(2026, 1, 1) + timedelta(minutes=15 * i), i, float(i)) for i in range(96)]
     history = spark.createDataFrame(rows, "bid string, ts timestamp_ntz, seq bigint, kw double")
@@ -164,12 +183,47 @@ def test_interior(spark, tmp_path):
     got = jobs.building_summary(readings, meters, as_of=f"{day} 12:00:00")
     by_meter = {r["meter"]: r for r in got.meters.collect()}
     assert by_meter["76"]["status"] == "offline" and by_meter["3"]["status"] == "online"
-    stats = by_meter["3"]["stats_kw"]
+    stats = by_meter["3"]["stats_today"]["kw"]
+    assert by_meter["3"]["latest"]["kw"] == 20.0 and by_meter["3"]["latest"]["timestamp"] == f"{day} 04:00:00"
+    assert by_meter["3"]["stats_today"]["current"]["max"] == 60.0
     assert (stats["current"], stats["max"], stats["avg"], stats["count"]) == (20.0, 30.0, 22.5, 4)
     assert stats["peak_time"] == datetime(2026, 1, 5, 2)
     assert [p["v"] for p in by_meter["3"]["timeseries_kw"]] == [10.0, 30.0, 30.0, 20.0]
     assert got.summary.first().asDict() == {"total_kw_now": 20.0, "meters_online": 1, "kw_3": 20.0, "kw_76": None}
     assert (got.peak.first()["peak_meter"], got.peak.first()["peak_kw"]) == ("3", 30.0)
+    from wattfold.sources import sinks
+
+    sinks.write_document(jobs.interior_document(got, generated_at="x", building={"name": "Hall"}), str(tmp_path / "doc"))
+    back = {r["meter"]: r for r in archives.read_interior(spark, str(tmp_path / "doc")).collect()}
+    assert back["3"]["stats_today"]["kw"]["max"] == 30.0 and back["76"]["status"] == "offline"
+
+
+def test_water(spark, tmp_path):
+    head = [exports.TIME_HEADER, "error", *exports.WATER_HEADERS.values()]
+    lines = ["\t".join(head)]
+    for hour, flow in ((1, "1.5"), (2, ""), (3, "2.5")):
+        cells = {exports.WATER_HEADERS["water1_rate_cfm"]: flow, exports.WATER_HEADERS["steam_rate_gpm"]: "7"}
+        lines.append("\t".join([f"2026-01-05 {hour:02d}:00:00", "0", *[cells.get(h, "") for h in head[2:]]]))
+    (tmp_path / "M1_250.csv").write_text("\n".join(lines))
+    readings = exports.read_water(spark, str(tmp_path)).withColumn("ts", F.to_timestamp_ntz("local_time"))
+    got = jobs.water_summary(readings, as_of="2026-01-05 12:00:00").first()
+    assert got["latest"]["water1_rate_cfm"] == 2.5
+    assert got["stats_today"]["water_rate"]["avg"] == 2.0 and got["stats_today"]["steam_rate"]["count"] == 3
+    assert [p["v"] for p in got["timeseries_water"]] == [1.5, 2.5]
+
+
+def test_dimension_files(spark, tmp_path):
+    from wattfold.sources import dimensions as dims
+
+    (tmp_path / "registry.json").write_text(
+        '{"id": "a", "name": "A", "mac": "M", "db": "d", "meters": ["3", "76"]}\n{"id": "a", "name": "A (Legacy)", "mac": "N", "meters": ["1"]}\n'
+    )
+    rows = dims.read_registry(spark, str(tmp_path / "registry.json")).orderBy("ordinal").collect()
+    assert [r["mac"] for r in rows] == ["M", "N"] and rows[0]["meters"] == ["3", "76"]
+    (tmp_path / "shares.csv").write_text("floor,meter,share\nB1,76,0.55\n")
+    assert dims.read_shares(spark, str(tmp_path / "shares.csv")).first()[:] == ("B1", "76", 0.55)
+    (tmp_path / "votes.json").write_text('{"building": "a", "vote": "hot", "ts": "2026-01-01T10:00:00"}\n{"building": "a", "vote": "maybe"}\n')
+    assert dims.read_votes(spark, str(tmp_path / "votes.json")).count() == 1
 
 
 def test_peak_time_skips_nulls(spark):

@@ -50,12 +50,15 @@ def has_hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int | None = HOT_RO
     return _answers[token]
 
 
-def with_segments(df: DataFrame, *, by: Sequence[str], ts: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_segments(
+    df: DataFrame, *, by: Sequence[str], ts: str, hot_rows: int = HOT_ROWS, least_seconds: int | None = None
+) -> DataFrame:
     """Adds SEGMENT: null for ordinary keys, a time-ordered number for hot ones.
 
     The width of a key's segments comes from its busiest minute, so no segment
     holds more than ``hot_rows`` rows, bursts included. The table of hot keys has
-    at most rows / hot_rows rows, which bounds the broadcast.
+    at most rows / hot_rows rows, which bounds the broadcast. ``least_seconds`` sets a least
+    width and keeps the width as a column.
     """
     keyed = df.select(*by, seconds(df, ts).alias("_sec"))
     hot = F.broadcast(hot_keys(df, by, hot_rows))
@@ -67,11 +70,10 @@ def with_segments(df: DataFrame, *, by: Sequence[str], ts: str, hot_rows: int =
         .agg(F.max("count").alias("_peak"))
         .select(*by, F.greatest(F.lit(1), F.floor(F.lit(60 * hot_rows) / F.col("_peak"))).alias("_width"))
     )
-    return (
-        df.join(F.broadcast(width), list(by), "left")
-        .withColumn(SEGMENT, F.floor(seconds(df, ts) / F.col("_width")))
-        .drop("_width")
-    )
+    if least_seconds is not None:
+        width = width.withColumn("_width", F.greatest("_width", F.lit(least_seconds)))
+    cut = df.join(F.broadcast(width), list(by), "left").withColumn(SEGMENT, F.floor(seconds(df, ts) / F.col("_width")))
+    return cut if least_seconds is not None else cut.drop("_width")
 
 
 def _last(items: Column, n: int) -> Column:
@@ -117,6 +119,31 @@ def over_last_rows(
     return out.filter(~F.col(_LEAD)).drop(_LEAD, SEGMENT)
 
 
+def over_time_range(
+    df: DataFrame,
+    *,
+    by: Sequence[str],
+    ts: str,
+    span_seconds: int,
+    add: Callable[[DataFrame, WindowSpec], DataFrame],
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
+    """Applies ``add(frame, window)`` where the frame looks back ``span_seconds`` of time.
+
+    The window is ordered by whole seconds. Segments of hot keys are at least a span wide, so
+    the lead-in of a segment comes from the one before it.
+    """
+    clock = df.withColumn("_sec", seconds(df, ts))
+    if not has_hot_keys(df, by, hot_rows):
+        return add(clock, Window.partitionBy(*by).orderBy("_sec")).drop("_sec")
+    cut = with_segments(clock, by=by, ts=ts, hot_rows=hot_rows, least_seconds=span_seconds)
+    ends = F.floor((F.col("_sec") + span_seconds) / F.col("_width")) > F.col(SEGMENT)
+    lead = cut.filter(ends).withColumn(SEGMENT, F.col(SEGMENT) + 1).withColumn(_LEAD, F.lit(True))
+    both = cut.withColumn(_LEAD, F.lit(False)).unionByName(lead)
+    out = add(both, Window.partitionBy(*by, SEGMENT).orderBy("_sec"))
+    return out.filter(~F.col(_LEAD)).drop(_LEAD, SEGMENT, "_width", "_sec")
+
+
 def row_position(
     df: DataFrame,
     *,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattfold.functions.clock import clock_label
 from wattfold.functions.rounding import READING_DIGITS, from_units, half_even, half_up, truthy, units
-from wattfold.operators.hotkeys import HOT_ROWS, first_rows, over_last_rows
+from wattfold.operators.hotkeys import HOT_ROWS, first_rows, over_last_rows, over_time_range
 
 # Rolling anomaly, forecast and history lengths.
 ANOMALY_ROWS, ANOMALY_MIN = 8, 4
@@ -22,6 +22,31 @@ BY: Keys = ("bid",)
 ORDER: Keys = ("ts", "seq")
 
 
+def _verdict(rows: DataFrame, *, min_n: int, hi: float, lo: float, lo_floor: float, digits: int) -> DataFrame:
+    """_total and _count of the frame to anomaly_type, avg_kw and ratio."""
+    kw, avg = F.col("kw"), F.col("_avg")
+    mean = F.when(F.col("_count") >= min_n, from_units(F.col("_total"), F.col("_count"), digits))
+    kind = F.when((avg > 0) & (kw > avg * hi), "high").when((avg > lo_floor) & (kw < avg * lo), "low")
+    flagged = F.col("anomaly_type").isNotNull()
+    return (
+        rows.withColumn("_avg", mean)
+        .withColumn("anomaly_type", kind)
+        .withColumns({"avg_kw": F.when(flagged, half_even("_avg", 1)), "ratio": F.when(flagged, half_even("kw / _avg", 2))})
+        .drop("_total", "_count", "_avg")
+    )
+
+
+def _framed(df: DataFrame, frame: WindowSpec, digits: int) -> DataFrame:
+    """Sum and count of the loads in the frame; zeros are in the frame but do not count."""
+    kw = F.col("kw")
+    return df.withColumns(
+        {
+            "_total": F.sum(F.when(truthy(kw), units("kw", digits))).over(frame),
+            "_count": F.count(F.when(truthy(kw), kw)).over(frame),
+        }
+    )
+
+
 def rolling_anomaly(
     readings: DataFrame,
     *,
@@ -32,34 +57,29 @@ def rolling_anomaly(
     hi: float = ANOMALY_HIGH,
     lo: float = ANOMALY_LOW,
     lo_floor: float = ANOMALY_LOW_FLOOR,
+    hours: float | None = None,
     digits: int = READING_DIGITS,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """Adds anomaly_type (high, low or null), avg_kw and ratio against the last n rows."""
-    kw = F.col("kw")
-
-    def add(df: DataFrame, w: WindowSpec) -> DataFrame:
-        # The last n rows are taken first and zeros drop out after, so fewer than n may
-        # count. The current reading is part of its own average.
-        frame = w.rowsBetween(-(n - 1), 0)
-        return df.withColumns(
-            {
-                "_total": F.sum(F.when(truthy(kw), units("kw", digits))).over(frame),
-                "_count": F.count(F.when(truthy(kw), kw)).over(frame),
-            }
+    """Adds anomaly_type (high, low or null), avg_kw and ratio against the last n rows, or
+    with ``hours`` against that much time.
+
+    The last n rows are taken first and zeros drop out after, so fewer than n may count. The
+    current reading is part of its own average.
+    """
+    known = readings.filter(F.col("kw").isNotNull())
+    if hours is None:
+        rows = over_last_rows(
+            known, by=by, order=order, n=n, hot_rows=hot_rows,
+            add=lambda df, w: _framed(df, w.rowsBetween(-(n - 1), 0), digits),
         )
-
-    rows = over_last_rows(
-        readings.filter(kw.isNotNull()), by=by, order=order, n=n, add=add, hot_rows=hot_rows
-    ).withColumn("_avg", F.when(F.col("_count") >= min_n, from_units(F.col("_total"), F.col("_count"), digits)))
-    avg = F.col("_avg")
-    kind = F.when((avg > 0) & (kw > avg * hi), "high").when((avg > lo_floor) & (kw < avg * lo), "low")
-    return (
-        rows.withColumn("anomaly_type", kind)
-        .withColumn("avg_kw", F.when(F.col("anomaly_type").isNotNull(), half_even("_avg", 1)))
-        .withColumn("ratio", F.when(F.col("anomaly_type").isNotNull(), half_even("kw / _avg", 2)))
-        .drop("_total", "_count", "_avg")
-    )
+    else:
+        span = int(hours * 3600)
+        rows = over_time_range(
+            known, by=by, ts=order[0], span_seconds=span, hot_rows=hot_rows,
+            add=lambda df, w: _framed(df, w.rangeBetween(-span, 0), digits),
+        )
+    return _verdict(rows, min_n=min_n, hi=hi, lo=lo, lo_floor=lo_floor, digits=digits)
 
 
 def deviation_percent(ratio: str = "ratio") -> Column:

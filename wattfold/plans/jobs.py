@@ -14,10 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfold.functions.energy import relative_band
 from wattfold.operators import baselines as base
 from wattfold.operators import clean, dimensions, latest, rolling, rollups
-from wattfold.sources import archives, sinks
+from wattfold.sources import archives, exports, sinks
 
 CYCLE_MINUTES = 15
 
@@ -238,24 +237,88 @@ def dashboard(snapshot: DataFrame, attributes: DataFrame) -> Dashboard:
 
 @dataclass(frozen=True)
 class Interior:
+    """``meters``: one row per meter; ``summary`` and ``peak``: one row."""
+
     meters: DataFrame
     summary: DataFrame
     peak: DataFrame
 
 
+STAT = ("current", "min", "max", "avg", "count", "peak_time")
+EXPORT_ORDER = ["ts", "line"]
+
+
+def _today_stats(today: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Per meter the statistics of several measures, packed as stats_today."""
+    parts = [
+        rollups.series_stats(today, by=["meter"], value=col, order=EXPORT_ORDER).select("meter", F.struct(*STAT).alias(name))
+        for name, col in columns.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "meter", "full")
+    return out.select("meter", F.struct(*columns).alias("stats_today"))
+
+
+def _series(recent: DataFrame, value: str, name: str) -> DataFrame:
+    """Per meter the last 96 rows as (t, v) pairs in time order, nulls dropped after the cut."""
+    tail = rolling.last_n(recent, by=["meter"], order=EXPORT_ORDER, value=value)
+    points = F.array_sort(F.collect_list(F.struct(*EXPORT_ORDER, F.col("local_time").alias("t"), F.col(value).alias("v"))))
+    pairs = F.transform(points, lambda p: F.struct(p["t"].alias("t"), p["v"].alias("v")))
+    return tail.groupBy("meter").agg(pairs.alias(name))
+
+
+def _latest_row(recent: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    rows = recent.select("meter", *EXPORT_ORDER, "local_time", *measures)
+    return latest.latest(rows, by=["meter"], order=EXPORT_ORDER)
+
+
 def building_summary(readings: DataFrame, meters: DataFrame, *, as_of: str, hours: float = 24) -> Interior:
     """Meters of one building: ``readings`` as read_power gives them; ``meters``: meter, ord, name, voltage."""
     recent = clean.lookback(readings, as_of=as_of, hours=hours)
     today = clean.on_day(recent, as_of=as_of[:10])
-    order = ["ts", "line"]
-    now = latest.latest(recent.select("meter", "ts", "line", "kw"), by=["meter"], order=order)
-    parts = latest.meter_status(meters, now)
-    for name, col in {"kw": "kw", "power_factor": "power_factor", "current": "current_avg"}.items():
-        stats = rollups.series_stats(today, by=["meter"], value=col, order=order)
-        packed = F.struct("current", "min", "max", "avg", "count", "peak_time").alias(f"stats_{name}")
-        parts = parts.join(stats.select("meter", packed), "meter", "left")
-    tail = rolling.last_n(recent, by=["meter"], order=order, value="kw")
-    series = tail.groupBy("meter").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").alias("t"), F.col("kw").alias("v")))).alias("timeseries_kw"))
+    now = _latest_row(recent, exports.POWER_MEASURES)
+    row = F.struct(F.col("local_time").alias("timestamp"), *exports.POWER_MEASURES).alias("latest")
+    parts = (
+        latest.meter_status(meters, now)
+        .drop("kw")
+        .join(now.select("meter", row), "meter", "left")
+        .join(_today_stats(today, {"kw": "kw", "power_factor": "power_factor", "current": "current_avg"}), "meter", "left")
+        .join(_series(recent, "kw", "timeseries_kw"), "meter", "left")
+    )
     ids = [r["meter"] for r in meters.select("meter").orderBy("ord").collect()]  # the building's few meters
-    kw_stats = rollups.series_stats(today, by=["meter"], order=order).join(meters.select("meter", "ord"), "meter")
-    return Interior(parts.join(series, "meter", "left"), rollups.interior_summary(now, ids), rollups.cross_meter_peak(kw_stats))
+    stats = rollups.series_stats(today, by=["meter"], order=EXPORT_ORDER).join(meters.select("meter", "ord"), "meter")
+    return Interior(parts, rollups.interior_summary(now, ids), rollups.cross_meter_peak(stats))
+
+
+def water_summary(readings: DataFrame, *, as_of: str, hours: float = 24) -> DataFrame:
+    """Water and steam meters: latest row, today's rates, the last 96 flow values."""
+    recent = clean.lookback(readings, as_of=as_of, hours=hours)
+    today = clean.on_day(recent, as_of=as_of[:10])
+    row = F.struct(F.col("local_time").alias("timestamp"), *exports.WATER_MEASURES).alias("latest")
+    return (
+        _latest_row(recent, exports.WATER_MEASURES)
+        .select("meter", F.lit("online").alias("status"), row)
+        .join(_today_stats(today, {"water_rate": "water1_rate_cfm", "steam_rate": "steam_rate_gpm"}), "meter", "left")
+        .join(_series(recent, "water1_rate_cfm", "timeseries_water"), "meter", "left")
+    )
+
+
+def interior_document(
+    interior: Interior, *, generated_at: str, building: dict[str, str], water: DataFrame | None = None
+) -> DataFrame:
+    """Meters, water and summary of one building as one nested row."""
+    fields = [c for c in interior.meters.columns if c not in ("meter", "ord")]
+    meters = sinks.as_map(interior.meters, "meter", F.struct(*fields), "m", order=F.col("ord"))
+    about = F.create_map(*[F.lit(x) for pair in building.items() for x in pair])
+    flow = F.struct(F.lit("offline").alias("status"))
+    if water is not None:
+        flow = water.drop("meter").select(F.max(F.struct("*"))).scalar()  # a building has one water export
+    return interior.summary.select(
+        about.alias("building"),
+        F.lit(generated_at).alias("generated_at"),
+        F.lit(CYCLE_MINUTES).alias("update_interval_min"),
+        meters.scalar().alias("meters"),
+        flow.alias("water"),
+        F.struct(*interior.summary.columns).alias("summary"),
+    )

@@ -217,6 +217,16 @@ WITH {ANOMALY}, o AS (SELECT bid, ts, kw, seq, anomaly_type, CASE WHEN anomaly_t
   CASE WHEN anomaly_type IS NOT NULL THEN {even('q', 2)} END AS ratio FROM an)
 SELECT *, CAST({up('(ratio - 1e0) * 100e0')} AS BIGINT) AS deviation_pct FROM o"""
 
+ORACLE["anomaly_time_range"] = f"""
+WITH {READ}, k AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM r),
+w AS (SELECT *, sum(CASE WHEN kw <> 0 THEN {units('kw')} END) OVER f AS t, count(CASE WHEN kw <> 0 THEN 1 END) OVER f AS n
+  FROM k WINDOW f AS (PARTITION BY bid ORDER BY sec RANGE BETWEEN 216000 PRECEDING AND CURRENT ROW)),
+a AS (SELECT *, CASE WHEN n >= 4 THEN {mean('t', 'n')} END AS m FROM w),
+an AS (SELECT *, CASE WHEN m > 0 AND kw > m * 1.5e0 THEN 'high' WHEN m > 10 AND kw < m * 0.3e0 THEN 'low' END AS anomaly_type,
+  CASE WHEN m <> 0 THEN kw / m END AS q FROM a)
+SELECT bid, seq, anomaly_type, CASE WHEN anomaly_type IS NOT NULL THEN {even('m', 1)} END AS avg_kw,
+  CASE WHEN anomaly_type IS NOT NULL THEN {even('q', 2)} END AS ratio FROM an"""
+
 ORACLE["anomaly_count"] = f"""
 WITH {ANOMALY}, l AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY bid ORDER BY ts DESC, seq DESC) = 1)
 SELECT count(anomaly_type) AS anomaly_count, count(*) FILTER (anomaly_type = 'high') AS high,

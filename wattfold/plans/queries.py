@@ -237,6 +237,13 @@ def anomaly_rolling(spark, sf):
     return out.withColumn("deviation_pct", rolling.deviation_percent("ratio")).drop("meter")
 
 
+@query
+def anomaly_time_range(spark, sf):
+    """Against the last 60 hours instead of the last rows."""
+    out = rolling.rolling_anomaly(tables.readings(spark, sf), hours=60)
+    return out.select("bid", "seq", "anomaly_type", "avg_kw", "ratio")
+
+
 @query
 def wma_forecast(spark, sf):
     return rolling.wma_forecast(tables.readings(spark, sf)).select("bid", "seq", "kw", "predicted_kw")

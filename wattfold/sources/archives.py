@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattfold.functions.clock import iso_time
+from wattfold.sources.exports import POWER_MEASURES, WATER_MEASURES
 
 DAILY_SCHEMA = """date STRING,
     readings ARRAY<STRUCT<time STRING, total_kw DOUBLE, online INT, buildings MAP<STRING, DOUBLE>>>"""
@@ -37,10 +38,15 @@ REPORT_SCHEMA = """generated_at STRING,
     building_rankings MAP<STRING, STRUCT<avg_kw DOUBLE, peak_kw DOUBLE, min_kw DOUBLE, readings INT,
         est_weekly_kwh DOUBLE, est_weekly_cost DOUBLE, est_weekly_co2_kg DOUBLE>>"""
 STAT_TYPE = "STRUCT<current DOUBLE, min DOUBLE, max DOUBLE, avg DOUBLE, count BIGINT, peak_time STRING>"
+_POWER = ", ".join(f"{m} DOUBLE" for m in POWER_MEASURES)
+_WATER = ", ".join(f"{m} DOUBLE" for m in WATER_MEASURES)
 INTERIOR_SCHEMA = f"""generated_at STRING, building MAP<STRING, STRING>,
-    meters MAP<STRING, STRUCT<name STRING, voltage STRING, status STRING, latest MAP<STRING, STRING>,
+    meters MAP<STRING, STRUCT<name STRING, voltage STRING, status STRING, latest STRUCT<timestamp STRING, {_POWER}>,
         stats_today STRUCT<kw {STAT_TYPE}, power_factor {STAT_TYPE}, current {STAT_TYPE}>,
         timeseries_kw ARRAY<STRUCT<t STRING, v DOUBLE>>>>,
+    water STRUCT<status STRING, latest STRUCT<timestamp STRING, {_WATER}>,
+        stats_today STRUCT<water_rate {STAT_TYPE}, steam_rate {STAT_TYPE}>,
+        timeseries_water ARRAY<STRUCT<t STRING, v DOUBLE>>>,
     summary STRUCT<total_kw_now DOUBLE, meters_online BIGINT>"""
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wattfold.functions.rounding import READING_DIGITS, exact_mean, half_even, truthy
@@ -163,6 +164,14 @@ def cycle_writer(run: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     return write
 
 
+def start_cycles(
+    stream: DataFrame, run: Callable[[DataFrame, int], None], *, marks: str, every: str = "15 minutes", once: bool = False
+) -> StreamingQuery:
+    """Starts the cycles, one per ``every`` (or over all that has landed, then stops)."""
+    writer = stream.writeStream.option("checkpointLocation", marks).foreachBatch(cycle_writer(run))
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 # --- running streams to their end -----------------------------------------------------
 
 
