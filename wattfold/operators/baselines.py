@@ -91,26 +91,30 @@ def as_maps(cells: DataFrame) -> DataFrame:
     return cells.groupBy("bid").agg(*maps, F.max(F.when(F.col("tier") == 4, _stat())).alias("tier4"))
 
 
+def forecast_grid(cells: DataFrame) -> DataFrame:
+    """bid, wday, hr -> tier, stat for all 168 cells of a building: the first tier that has the cell."""
+    day = F.floor(F.col("slot") / 24).cast("int")
+    hour = F.col("slot") % 24
+    slots = as_maps(cells).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(167))))
+    keyed = slots.select("*", day.alias("wday"), hour.alias("hr"), hour.cast("string").alias("_h"))
+    found = {
+        1: F.try_element_at("tier1", F.concat_ws(",", F.col("wday").cast("string"), "_h")),
+        2: F.try_element_at("tier2", F.concat_ws(",", weekday_class(F.col("wday")), "_h")),
+        3: F.try_element_at("tier3", F.col("_h")),
+    }
+    tier = F.coalesce(*[F.when(v.isNotNull(), F.lit(t)) for t, v in found.items()], F.lit(4))
+    return keyed.select("bid", "wday", "hr", tier.alias("tier"), F.coalesce(*found.values(), "tier4").alias("stat"))
+
+
 def forecast(cells: DataFrame, targets: DataFrame, *, tz: str = "UTC") -> DataFrame:
-    """What is typical for ``bid`` at ``ts``: the first tier that has the cell.
+    """What is typical for ``bid`` at ``ts``, and the tier it comes from.
 
-    One join on the building instead of four on (building, cell): the tiers travel as
-    maps, so targets are shuffled once at most, and a hot building's targets can be split
-    by the adaptive skew join.
+    The tiers are resolved on the baseline side, so the targets take one join instead of
+    four. It is on (building, weekday, hour), which spreads one building's targets.
     """
     local = in_zone(F.col("ts"), tz)
-    day, hr = weekday(local), F.hour(local).cast("string")
-    keys = {
-        1: F.concat_ws(",", day.cast("string"), hr),
-        2: F.concat_ws(",", weekday_class(day), hr),
-        3: hr,
-    }
-    found = {t: F.try_element_at(f"tier{t}", key) for t, key in keys.items()}
-    tier = F.coalesce(*[F.when(v.isNotNull(), F.lit(t)) for t, v in found.items()],
-                      F.when(F.col("tier4").isNotNull(), F.lit(4)))
-    return (
-        targets.join(as_maps(cells), "bid", "left")
-        .withColumn("_tier", tier)
-        .withColumn("_stat", F.coalesce(*found.values(), F.col("tier4")))
-        .select(*targets.columns, F.col("_tier").alias("tier"), "_stat.mean", "_stat.std", "_stat.n")
+    keyed = targets.withColumns({"_day": weekday(local), "_hour": F.hour(local)})
+    grid = forecast_grid(cells).withColumnsRenamed({"wday": "_day", "hr": "_hour"})
+    return keyed.join(grid, ["bid", "_day", "_hour"], "left").select(
+        *targets.columns, "tier", "stat.mean", "stat.std", "stat.n"
     )

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattfold.functions import energy, names
+from wattfold.functions.clock import clock_label
 from wattfold.operators import baselines as base
 from wattfold.operators import chat, clean, dimensions, hotkeys, latest, rolling, rollups, votes
 from wattfold.sources import tables
 from wattfold.streaming import readings as streams
 from wattfold.streaming import votes as vote_streams
-from wattfold.sources.exports import MAIN_METER_HEADERS, PANEL_HEADERS
+from wattfold.sources.exports import KW_HEADERS, MAIN_METER_HEADERS, PANEL_HEADERS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,8 +146,6 @@ def kw_resolve_priority(spark, sf):
         F.lit("7").alias("Total kWh"),
         F.when(F.col("kw") >= 100, _text(F.col("kw") * 2.0)).alias("Spare kW"),
     )
-    from wattfold.sources.exports import KW_HEADERS
-
     return clean.resolve_kw(raw, candidates=KW_HEADERS).select("seq", "kw")
 
 
@@ -474,8 +473,6 @@ def union_all_readings(spark, sf):
 
 @query
 def union_distinct_labels(spark, sf):
-    from wattfold.functions.clock import clock_label
-
     parts = [t.select(clock_label(F.col("ts")).alias("label")) for t in (tables.readings(spark, sf), tables.campus(spark, sf))]
     return dimensions.union_labels(*parts)
 

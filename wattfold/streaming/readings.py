@@ -46,31 +46,44 @@ def read_stream(
     )
 
 
-def _forecast(tail: np.ndarray, min_n: int, scale: int) -> float | None:
-    live = tail[tail != 0]
+def _forecast(tail: list[int], min_n: int, scale: int) -> float | None:
+    live = [v for v in tail if v]
     if len(live) < min_n:
         return None
-    weights = np.arange(1, len(live) + 1)
-    return round(int((live * weights).sum()) / (scale * int(weights.sum())), 1)
+    weighted = sum(v * (i + 1) for i, v in enumerate(live))
+    return round(weighted / (scale * (len(live) * (len(live) + 1) // 2)), 1)
 
 
-def _judge(kw: np.ndarray, at: int, scale: int) -> tuple:
+def _judge(history: list[int], at: int, scale: int) -> tuple:
     """Verdict and forecast for the reading at index ``at`` of an ordered history in units."""
-    recent = kw[max(0, at + 1 - rolling.ANOMALY_ROWS) : at + 1]
-    live = recent[recent != 0]
+    live = [v for v in history[max(0, at + 1 - rolling.ANOMALY_ROWS) : at + 1] if v]
     kind = avg = ratio = None
     if len(live) >= rolling.ANOMALY_MIN:
-        mean, now = int(live.sum()) / (scale * len(live)), int(kw[at]) / scale
+        mean, now = sum(live) / (scale * len(live)), history[at] / scale
         if mean > 0 and now > mean * rolling.ANOMALY_HIGH:
             kind = "high"
         elif mean > rolling.ANOMALY_LOW_FLOOR and now < mean * rolling.ANOMALY_LOW:
             kind = "low"
         if kind:
             avg, ratio = round(mean, 1), round(now / mean, 2)
-    tail = kw[max(0, at + 1 - rolling.FORECAST_ROWS) : at + 1]
+    tail = history[max(0, at + 1 - rolling.FORECAST_ROWS) : at + 1]
     return kind, avg, ratio, _forecast(tail, rolling.FORECAST_MIN, scale)
 
 
+def _units(loads: np.ndarray | list, scale: int) -> list[int]:
+    return np.floor(np.asarray(loads, dtype="float64") * scale + 0.5).astype("int64").tolist()
+
+
+def one_frame(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of a micro-batch, which come in one Arrow batch or several."""
+    parts = list(frames)
+    return parts[0] if len(parts) == 1 else pd.concat(parts)
+
+
+def micros(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy().astype("datetime64[us]").astype("int64")
+
+
 def stream_readings(
     stream: DataFrame,
     *,
@@ -92,36 +105,45 @@ def stream_readings(
     pause_ms = offline_hours * 3_600_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, seqs, loads = state.get if state.exists else ([], [], [])
-        times, seqs, loads = list(times), list(seqs), list(loads)
+        times, seqs, loads = map(list, state.get) if state.exists else ([], [], [])
         if state.hasTimedOut:
-            tail = np.floor(np.array(loads[-rolling.FORECAST_ROWS :]) * scale + 0.5).astype(np.int64)
+            ahead = _forecast(_units(loads[-rolling.FORECAST_ROWS :], scale), rolling.FORECAST_MIN, scale)
             since = pd.Timestamp(times[-1] + pause_ms * 1000, unit="us", tz="UTC")
-            row = (*key, since, seqs[-1], None, None, None, None, _forecast(tail, rolling.FORECAST_MIN, scale), "offline")
+            row = (*key, since, seqs[-1], None, None, None, None, ahead, "offline")
             state.update((times, seqs, loads))  # told once; the next reading sets a new time-out
             yield pd.DataFrame([row], columns=schema.names)
             return
-        rows = pd.concat(list(frames))
-        rows = rows[rows["kw"].notna()].assign(_us=lambda d: d["ts"].astype("datetime64[us]").astype("int64"))
-        rows = rows.sort_values(["_us", "seq"], kind="stable")
+        rows = one_frame(frames)
+        us, seq, kw = micros(rows["ts"]), rows["seq"].to_numpy(), rows["kw"].to_numpy(dtype="float64")
+        fresh = ~np.isnan(kw)
         if times:
-            newer = (rows["_us"] > times[-1]) | ((rows["_us"] == times[-1]) & (rows["seq"] > seqs[-1]))
-            rows = rows[newer]
-        if rows.empty:
+            fresh &= (us > times[-1]) | ((us == times[-1]) & (seq > seqs[-1]))
+        order = np.lexsort((seq, us))
+        order = order[fresh[order]]
+        if not len(order):
             return
+        us, seq, kw = us[order], seq[order], kw[order]
         before = len(loads)
-        history = np.floor(np.concatenate([loads, rows["kw"].to_numpy()]) * scale + 0.5).astype(np.int64)
-        verdicts = [_judge(history, before + i, scale) for i in range(len(rows))]
-        out = rows[["ts", "seq", "kw"]].reset_index(drop=True)
-        out.insert(0, by, key[0])
-        out[["anomaly_type", "avg_kw", "ratio", "predicted_kw"]] = pd.DataFrame(verdicts, dtype=object)
-        out["status"] = np.where(out["kw"] != 0, "online", "offline")
-        times = (times + rows["_us"].tolist())[-keep:]
-        seqs = (seqs + rows["seq"].tolist())[-keep:]
-        loads = (loads + rows["kw"].tolist())[-keep:]
+        history = _units(np.concatenate([loads, kw]), scale)
+        verdicts = list(zip(*[_judge(history, before + i, scale) for i in range(len(kw))]))
+        times, seqs, loads = (
+            (old + new.tolist())[-keep:] for old, new in ((times, us), (seqs, seq), (loads, kw))
+        )
         state.update((times, seqs, loads))
         state.setTimeoutTimestamp(max(times[-1] // 1000 + pause_ms, state.getCurrentWatermarkMs() + 1))
-        yield out[schema.names]
+        yield pd.DataFrame(
+            {
+                by: key[0],
+                "ts": rows["ts"].to_numpy()[order],
+                "seq": seq,
+                "kw": kw,
+                "anomaly_type": pd.Series(verdicts[0], dtype=object),
+                "avg_kw": np.array(verdicts[1], dtype="float64"),
+                "ratio": np.array(verdicts[2], dtype="float64"),
+                "predicted_kw": np.array(verdicts[3], dtype="float64"),
+                "status": np.where(kw != 0, "online", "offline"),
+            }
+        )
 
     return (
         stream.select(by, "ts", "seq", "kw")

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wattfold.operators.votes import PAUSE_MINUTES, VOTE_HOURS, _counted, vote_tally
-from wattfold.streaming.readings import WATERMARK
+from wattfold.streaming.readings import WATERMARK, micros, one_frame
 
 
 def stream_tally(
@@ -44,9 +44,10 @@ def stream_cooldown(
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames))
-        rows = rows.assign(_us=rows["ts"].astype("datetime64[us]").astype("int64")).sort_values(["_us", "seq"], kind="stable")
-        times = rows["_us"].to_numpy()
+        rows = one_frame(frames)
+        us, seq = micros(rows["ts"]), rows["seq"].to_numpy()
+        order = np.lexsort((seq, us))
+        times = us[order]
         free = state.get[0] if state.exists else np.iinfo(np.int64).min
         marks = _counted(times, pause, free)
         if marks.any():
@@ -55,9 +56,7 @@ def stream_cooldown(
             state.setTimeoutTimestamp(max(free // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.setTimeoutTimestamp(max(free // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        out = rows[["ts", "seq"]].assign(accepted=marks)
-        out.insert(0, by, key[0])
-        yield out[schema.names]
+        yield pd.DataFrame({by: key[0], "ts": rows["ts"].to_numpy()[order], "seq": seq[order], "accepted": marks})
 
     return (
         votes.select(by, "ts", "seq")
