@@ -77,13 +77,8 @@ def _stat() -> Column:
     return F.struct("mean", "std", "n")
 
 
-def as_maps(cells: DataFrame) -> DataFrame:
+def _tier_maps(cells: DataFrame, keys: dict[int, Column]) -> DataFrame:
     """One row per building with a map per tier; 168 + 48 + 24 entries bound each row."""
-    keys = {
-        1: F.concat_ws(",", F.col("wday").cast("string"), F.col("hr").cast("string")),
-        2: F.concat_ws(",", F.col("wclass"), F.col("hr").cast("string")),
-        3: F.col("hr").cast("string"),
-    }
     maps = [
         F.map_from_entries(F.collect_list(F.when(F.col("tier") == t, F.struct(key, _stat())))).alias(f"tier{t}")
         for t, key in keys.items()
@@ -91,19 +86,32 @@ def as_maps(cells: DataFrame) -> DataFrame:
     return cells.groupBy("bid").agg(*maps, F.max(F.when(F.col("tier") == 4, _stat())).alias("tier4"))
 
 
+def as_maps(cells: DataFrame) -> DataFrame:
+    """Tier maps with the keys of the baseline document: "wday,hr", "class,hr" and "hr"."""
+    hour = F.col("hr").cast("string")
+    return _tier_maps(
+        cells, {1: F.concat_ws(",", F.col("wday").cast("string"), hour), 2: F.concat_ws(",", F.col("wclass"), hour), 3: hour}
+    )
+
+
 def forecast_grid(cells: DataFrame) -> DataFrame:
     """bid, wday, hr -> tier, stat for all 168 cells of a building: the first tier that has the cell."""
-    day = F.floor(F.col("slot") / 24).cast("int")
-    hour = F.col("slot") % 24
-    slots = as_maps(cells).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(167))))
-    keyed = slots.select("*", day.alias("wday"), hour.alias("hr"), hour.cast("string").alias("_h"))
+    weekend = F.when(F.col("wclass") == "weekend", 24).otherwise(0)
+    maps = _tier_maps(cells, {1: F.col("wday") * 24 + F.col("hr"), 2: weekend + F.col("hr"), 3: F.col("hr")})
+    slot, hour = F.col("slot"), F.col("slot") % 24
     found = {
-        1: F.try_element_at("tier1", F.concat_ws(",", F.col("wday").cast("string"), "_h")),
-        2: F.try_element_at("tier2", F.concat_ws(",", weekday_class(F.col("wday")), "_h")),
-        3: F.try_element_at("tier3", F.col("_h")),
+        1: F.try_element_at("tier1", slot),
+        2: F.try_element_at("tier2", F.when(slot >= 5 * 24, hour + 24).otherwise(hour)),
+        3: F.try_element_at("tier3", hour),
     }
     tier = F.coalesce(*[F.when(v.isNotNull(), F.lit(t)) for t, v in found.items()], F.lit(4))
-    return keyed.select("bid", "wday", "hr", tier.alias("tier"), F.coalesce(*found.values(), "tier4").alias("stat"))
+    return maps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(167)))).select(
+        "bid",
+        F.floor(slot / 24).cast("int").alias("wday"),
+        hour.alias("hr"),
+        tier.alias("tier"),
+        F.coalesce(*found.values(), "tier4").alias("stat"),
+    )
 
 
 def forecast(cells: DataFrame, targets: DataFrame, *, tz: str = "UTC") -> DataFrame:

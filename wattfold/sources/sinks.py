@@ -13,7 +13,7 @@ def as_map(
     rows: DataFrame, key: str, value: Column, name: str, *, order: Column | None = None, limit: int = DOCUMENT_ENTRIES
 ) -> DataFrame:
     """All rows as one map in one row, entries by ``order`` (then key). Larger tables belong in ``write_rows``."""
-    if not rows.offset(limit).isEmpty():
+    if rows.count() > limit:
         raise ValueError(f"more than {limit} entries do not fit one document; use write_rows")
     entry = F.struct(F.struct(F.lit(0) if order is None else order, F.col(key)).alias("o"), value.alias("v"))
     ordered = F.array_sort(
