@@ -98,20 +98,24 @@ def forecast_grid(cells: DataFrame) -> DataFrame:
     """bid, wday, hr -> tier, stat for all 168 cells of a building: the first tier that has the cell."""
     weekend = F.when(F.col("wclass") == "weekend", 24).otherwise(0)
     maps = _tier_maps(cells, {1: F.col("wday") * 24 + F.col("hr"), 2: weekend + F.col("hr"), 3: F.col("hr")})
-    slot, hour = F.col("slot"), F.col("slot") % 24
-    found = {
-        1: F.try_element_at("tier1", slot),
-        2: F.try_element_at("tier2", F.when(slot >= 5 * 24, hour + 24).otherwise(hour)),
-        3: F.try_element_at("tier3", hour),
-    }
-    tier = F.coalesce(*[F.when(v.isNotNull(), F.lit(t)) for t, v in found.items()], F.lit(4))
-    return maps.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(167)))).select(
-        "bid",
-        F.floor(slot / 24).cast("int").alias("wday"),
-        hour.alias("hr"),
-        tier.alias("tier"),
-        F.coalesce(*found.values(), "tier4").alias("stat"),
-    )
+
+    def resolve(slot: Column) -> Column:
+        hour = slot % 24
+        found = {
+            1: F.try_element_at("tier1", slot),
+            2: F.try_element_at("tier2", F.when(slot >= 5 * 24, hour + 24).otherwise(hour)),
+            3: F.try_element_at("tier3", hour),
+        }
+        tier = F.coalesce(*[F.when(v.isNotNull(), F.lit(t)) for t, v in found.items()], F.lit(4))
+        return F.struct(
+            F.floor(slot / 24).cast("int").alias("wday"),
+            hour.alias("hr"),
+            tier.alias("tier"),
+            F.coalesce(*found.values(), "tier4").alias("stat"),
+        )
+
+    # Resolved before the explode, so that the maps are not copied into every row.
+    return maps.select("bid", F.inline(F.transform(F.sequence(F.lit(0), F.lit(167)), resolve)))
 
 
 def forecast(cells: DataFrame, targets: DataFrame, *, tz: str = "UTC") -> DataFrame:
