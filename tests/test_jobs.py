@@ -107,11 +107,12 @@ def test_weekly_corner_cases(spark):
         (datetime(2025, 12, 1, 9), 999.0, 9),
     ]
     loads = spark.createDataFrame([("a", datetime(2026, 1, 1, 9), 0.0), ("b", datetime(2026, 1, 1, 9), 4.0)], "bid string, ts timestamp_ntz, kw double")
-    report = jobs.weekly_report(campus_rows(spark, rows), loads.withColumn("date", F.to_date("ts")), as_of="2026-01-02")
+    names = spark.createDataFrame([("a", "A Hall")], "bid string, name string")
+    report = jobs.weekly_report(campus_rows(spark, rows), loads.withColumn("date", F.to_date("ts")), as_of="2026-01-02", names=names)
     first, second = report.days.orderBy("date").collect()
     assert (first["avg_kw"], first["peak_kw"], first["peak_time"], first["avg_online"], first["day"]) == (23.3, 30.0, "10:00", 2, "Thursday")
     assert (second["avg_kw"], second["peak_time"], second["readings_count"], second["est_cost"]) == (0.0, "", 1, 0.0)
-    assert [r["bid"] for r in report.buildings.collect()] == ["b"]
+    assert [(r["bid"], r["name"]) for r in report.buildings.collect()] == [("b", "b")]
     week = report.campus.first()
     assert (week["days"], week["total_readings"], week["total_kwh"]) == (2, 3, 1118.0)
 

@@ -2,8 +2,6 @@ import math
 import random
 from fractions import Fraction
 
-from pyspark.sql import functions as F
-
 from wattfold.functions.rounding import exact_mean, exact_total, half_even, half_up
 
 

@@ -144,13 +144,16 @@ class WeeklyReport:
     campus: DataFrame
 
 
-def weekly_report(campus: DataFrame, buildings: DataFrame, *, as_of: str, days: int = 7) -> WeeklyReport:
-    """``campus``: date, ts, total_kw, online; ``buildings``: date, ts, bid, kw."""
+def weekly_report(
+    campus: DataFrame, buildings: DataFrame, *, as_of: str, days: int = 7, names: DataFrame | None = None
+) -> WeeklyReport:
+    """``campus``: date, ts, total_kw, online; ``buildings``: date, ts, bid, kw; ``names``: bid, name."""
     end = F.lit(as_of).cast("date")
     span = (F.col("date") > F.date_sub(end, days)) & (F.col("date") <= end)
+    weekly = rollups.building_weekly(buildings.filter(span))
     return WeeklyReport(
         rollups.daily_summary(campus.filter(span), date=F.col("date")).orderBy("date"),
-        rollups.building_weekly(buildings.filter(span)),
+        weekly if names is None else dimensions.with_names(weekly, names),
         rollups.campus_week(campus.filter(span)),
     )
 
