@@ -5,13 +5,19 @@ from oracle_check import compare, connect, types_differ
 
 import __spark_entry__ as entry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from wattfold.plans.oracle import ORACLE as SQL
+from wattfold.plans.queries import QUERIES
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
