@@ -2,4 +2,41 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # Targets by the level at which limited and sharing sources balance; a document's share of a source's slots in
+    # closed form: whole passes, and the words of the last pass.
+    "op5_source_mixing": r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM d GROUP BY source
+), w AS (
+    SELECT *, (sid - 1) % 3 + 1 AS weight, 3 * source_size AS most, (3 * source_size)::DOUBLE / ((sid - 1) % 3 + 1)::DOUBLE AS ratio FROM s
+), l AS (
+    SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER (ORDER BY ratio, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+        / (sum(weight) OVER (ORDER BY ratio, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS step FROM w
+), v AS (
+    SELECT (SELECT step FROM l WHERE ratio > step ORDER BY ratio, sid LIMIT 1) AS level
+), t AS (
+    SELECT source, sid, source_size, CASE WHEN ratio > level THEN weight * level ELSE most::DOUBLE END AS target,
+        greatest(1, least(65536, source_size // 1024)) AS block FROM w, v
+), n AS (
+    SELECT *, floor(target / block + 0.5)::BIGINT AS slots, (source_size + block - 1) // block AS blocks FROM t
+), c AS (
+    SELECT *, (sum(slots) OVER (ORDER BY sid))::BIGINT AS hi FROM n
+), p AS (
+    SELECT ((i % 2147483648) * 1327217885 % 2147483648) * total // 2147483648 AS place
+    FROM (SELECT total, unnest(range(total)) AS i FROM (SELECT sum(slots)::BIGINT AS total FROM n))
+), r AS (
+    SELECT c.sid, count(place) AS drawn FROM c LEFT JOIN p ON place >= hi - slots AND place < hi GROUP BY c.sid
+), f AS (
+    SELECT c.*, least(drawn, 3 * blocks) // greatest(blocks, 1) AS passes,
+        least(source_size, least(drawn, 3 * blocks) % greatest(blocks, 1) * block) AS more FROM c JOIN r USING (sid)
+), o AS (
+    SELECT *, (coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM d
+)
+SELECT doc_id, o.source, size, source_size, target, (passes * size + greatest(0, least(start + size, more) - start))::BIGINT AS taken
+FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source
+""",
+}
