@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from wattfold.llm.graph import stored
 
-Q, WINDOW, STRIDE, LEAST, BUDGET = 6, 96, 32, 40, 0.1
+Q, WINDOW, STRIDE, LEAST, BUDGET = 8, 96, 32, 40, 0.1
 SLICE_CHARS, CHUNK = 8_000_000, 200_000
+#: Makes every cell number positive; cells stay below 2^24, places in a window below 2^12.
+SHIFT = 1 << 14
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
 
 
@@ -91,32 +93,58 @@ class Windows:
         order = np.argsort(grams, kind="stable")
         self.owner, self.place = np.concatenate(owner or none)[order], np.concatenate(place or none)[order]
         self.grams, self.first, self.count = np.unique(grams[order], return_index=True, return_counts=True)
+        self.likely = np.zeros(1 << 20, dtype=bool)  # by the highest bits: spares most searches
+        self.likely[self.grams >> np.uint64(44)] = True
         size = np.array([len(p) for p in self.pattern], dtype=np.int64)
         self.edits = np.floor(size * min(budget, 0.9 / q)).astype(np.int64)  # below 1/q the bound stays above zero
         self.need = size - q + 1 - self.edits * q
         self.half = self.edits + 1
 
-    def _bands(self, points: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        """(window, band) -> diagonals, for the bands of a piece of text that reach the bound."""
+    def _bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """(window, lowest diagonal, highest diagonal) of the bands of a piece of text that reach the bound."""
         g = _grams(points, self.q)
-        at = np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)
-        j = np.flatnonzero(self.grams[at] == g)
-        at = at[j]
+        j = np.flatnonzero(self.likely[g >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.grams, g[j]), len(self.grams) - 1)
+        same = self.grams[at] == g[j]
+        at, j = at[same], j[same]
         n = self.count[at]
+        if not len(n):
+            return []
         each = np.repeat(self.first[at] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         owner, place, text_at = self.owner[each], self.place[each], np.repeat(j, n)
-        cell = (text_at - place + (1 << 20)) // self.half[owner]
+        many = (np.bincount(owner, minlength=len(self.need)) >= self.need)[owner]
+        owner, place, text_at = owner[many], place[many], text_at[many]
+        cell = (text_at - place + SHIFT) // self.half[owner]
+        key = np.sort(owner << 24 | cell)
+        whole, first = np.unique(key, return_index=True)
+        counts = np.diff(np.append(first, len(key)))
+        # with repeats counted, a band that stays below the bound can be left out at once
+        full = counts + self._next(whole, whole, counts) >= self.need[whole >> 24]
+        full |= counts + self._next(whole - 1, whole, counts) >= self.need[whole >> 24]
+        full = np.isin(owner << 24 | cell, whole[full])
         # one q-gram of the window counts once in a cell, so repeated text cannot fill it
-        key = np.unique(np.stack([owner, cell, place]), axis=1)
-        pairs, counts = np.unique(key[:2], axis=1, return_counts=True)
-        found = dict(zip(map(tuple, pairs.T.tolist()), counts.tolist(), strict=True))
-        out = {}
-        for (w, c), k in found.items():
-            for b in (c, c - 1):  # band b has the cells b and b + 1
-                if k + found.get((w, 2 * b + 1 - c), 0) >= self.need[w]:
-                    half = int(self.half[w])
-                    out[w, b] = (b * half - (1 << 20), (b + 2) * half - 1 - (1 << 20))
-        return out
+        known, counts = np.unique(np.unique((owner[full] << 24 | cell[full]) << 12 | place[full]) >> 12, return_counts=True)
+        bands = np.unique(np.concatenate([known, known - 1]))  # band b has the cells b and b + 1
+        w, b = bands >> 24, bands & (1 << 24) - 1
+        reached = self._next(bands - 1, known, counts) + self._next(bands, known, counts) >= self.need[w]
+        low = b * self.half[w] - SHIFT
+        return [(int(i), int(x), int(x + 2 * self.half[i] - 1)) for i, x in zip(w[reached], low[reached], strict=True)]
+
+    @staticmethod
+    def _next(keys: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The counts of the keys that follow the given ones, zero where there is none."""
+        if not len(known):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, keys + 1), len(known) - 1)
+        return np.where(known[at] == keys + 1, counts[at], 0)
+
+    def _verified(self, w: int, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
+        """Fewest edits and end; an unchanged copy is seen without an alignment."""
+        pattern, begin = self.pattern[w], max(0, low)
+        at = text[begin : max(0, high) + len(pattern)].tobytes().find(pattern.tobytes())
+        if at >= 0 and at % 8 == 0:
+            return 0, begin + at // 8 + len(pattern)
+        return aligned(pattern, text, low, high)
 
     def search(self, text: str) -> list[tuple]:
         """(item, end, edits) of the windows found. Long texts are searched in pieces that overlap by two windows."""
@@ -126,11 +154,15 @@ class Windows:
         points, reach = _points(text), 2 * max(len(p) for p in self.pattern)
         for start in range(0, max(1, len(points)), CHUNK):
             piece = points[start : start + CHUNK + reach]
-            for (w, _), (low, high) in self._bands(piece).items():
+            last, upto = -1, 0  # window and highest diagonal of the band that was verified last
+            for w, low, high in self._bands(piece):
+                if w == last and low <= upto:
+                    continue
                 edits = int(self.edits[w])
-                d, end = aligned(self.pattern[w], piece, low - edits, high + edits)
+                d, end = self._verified(w, piece, low - edits, high + edits)
                 if d <= edits:
                     out.append((self.item[w], start + end, d))
+                    last, upto = w, high
         return out
 
 

@@ -118,6 +118,7 @@ def surrogate(e: str, attempt: str = "0", key: str = KEY) -> str:
         when 'mail' then concat({_drawn(f"left({e}, length({e}) - length(substring_index({e}, '.', -1)))", d)}, substring_index({e}, '.', -1))
         when 'secret' then concat(left({e}, length({e}) - length(substring_index(replace({e}, ':', '='), '=', -1))), {_drawn(f"substring_index(replace({e}, ':', '='), '=', -1)", d)})
         when 'host' then array_join(transform(sequence(0, 3), j -> cast({_byte(d, "j")} % 254 + 1 as string)), '.')
+        when 'phone' then concat(regexp_extract({e}, '^[+][0-9]+(?=[^0-9])', 0), {_drawn(f"substr({e}, length(regexp_extract({e}, '^[+][0-9]+(?=[^0-9])', 0)) + 1)", d)})
         when 'card' then {_luhn(made)}
         when 'iban' then {_iban(e, made)}
         else {made} end"""
