@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattfold.llm import chatfmt, decontam, extract, mixing, pii, quality, simhash
+from wattfold.llm import chatfmt, decontam, extract, langid, mixing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.coalesce(_fold(3), F.lit(0)) == 1).alias("held_out"))
+    return langid.predict(docs, langid.learn(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -21,6 +31,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(_fold(5) != 0)
+    made = toxicity.score(docs, toxicity.learn(docs, labels)).withColumnRenamed("id", "doc_id")
+    return made.withColumns({"held_out": F.coalesce(_fold(5) == 0, F.lit(False)), "predicted": (F.col("score") >= 0.5).cast("int")})
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
@@ -48,8 +65,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_pii_surrogates,
         op3_quality_classifier,
+        op4_toxicity,
         op5_source_mixing,
         op7_simhash_dedup,
         op8_benchmark_decontamination,
