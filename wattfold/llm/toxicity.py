@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Examples are labelled rows, at most about ``EXAMPLES`` per label, taken by a hash of the text. Vectors have the terms
-whose presence speaks most clearly for or against the label among the examples (G-squared above ``CLEAR``, at most
+(words and stems) whose presence speaks most clearly for or against the label among the examples (G-squared above ``CLEAR``, at most
 ``TERMS``); document frequencies count all documents. The index holds the examples in blocks with the greatest weight of
 each term in each block. A query's bound on a block is the sum of its weights times these maxima; blocks are scored from
 the highest bound down until no bound is above the k-th best similarity, so the neighbours are exact. Neighbours vote
@@ -28,11 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EXAMPLES, TERMS, CLEAR, BLOCK, NEAREST, PRIOR = 3000, 512, 30.0, 64, 15, 1.0
+STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+    """Words, and the first four to six letters of longer words as stems (written with a tilde)."""
+    words = Counter(_WORD.findall((text or "").lower()))
+    out = Counter(words)
+    for word, n in words.items():
+        for size in STEMS:
+            if len(word) > size:
+                out[word[:size] + "~"] += n
+    return out
 
 
 def clear_terms(bags: list[Counter], y: np.ndarray, at_least: float = CLEAR, most: int = TERMS) -> list[str]:
@@ -104,12 +112,12 @@ class Index:
 
 
 def _curve(votes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration of votes (slope and offset over their log-odds), with a small ridge."""
+    """Logistic calibration of votes (slope and offset over their log-odds), with a ridge towards slope 1 and offset 0: votes near 0 and 1 alone would make it a step."""
     x = np.stack([_logit(votes), np.ones(len(votes))], axis=1)
     beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (weight * (p - y)) + 1e-2 * (beta - [1.0, 0.0]))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 5.0 * np.eye(2), x.T @ (weight * (p - y)) + 5.0 * (beta - [1.0, 0.0]))
         beta = beta - step
         if np.abs(step).max() < 1e-9:
             break
@@ -156,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
         for batch in batches:
             for t in batch["text"]:
                 n += 1
-                seen.update(sent.value.intersection(_WORD.findall((t or "").lower())))
+                seen.update(sent.value.intersection(terms(t)))
         yield pd.DataFrame([("", n), *seen.items()], columns=["term", "n"])
 
     df = {r["term"]: r["n"] for r in docs.select(F.col(text).alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
