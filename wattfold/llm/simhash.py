@@ -175,7 +175,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
 
     @F.pandas_udf("array<long>")
     def finer(masks):
-        known = {m: [_signed(x) for x in cover(m & (1 << BITS) - 1, radius)] for m in masks.unique()}
+        known = {m: [_signed(x) for x in cover(int(m) & (1 << BITS) - 1, radius)] for m in masks.unique().tolist()}
         return masks.map(known)
 
     while True:
