@@ -28,10 +28,10 @@ def resolve_buildings(registry: DataFrame, latest_by_meter: DataFrame) -> DataFr
     ``registry``: id, ordinal, name, mac, meters (array in priority order). An id may
     come twice; the later row is used only if the earlier one has no load at all.
     ``latest_by_meter``: mac, meter, kw, ts. Buildings without a load stay, with the time
-    at which their last listed meter reported.
+    at which their last listed meter reported; so do those without any meter.
     """
     tried = (
-        registry.select("id", "ordinal", "name", "mac", F.posexplode("meters").alias("pos", "meter"))
+        registry.select("id", "ordinal", "name", "mac", F.posexplode_outer("meters").alias("pos", "meter"))
         .join(latest_by_meter.select("mac", "meter", "kw", "ts"), ["mac", "meter"], "left")
     )
     silent = F.col("kw").isNull()

@@ -62,7 +62,7 @@ def _documents(spark: SparkSession, path: str, schema: str, glob: str | None = N
 def read_daily(spark: SparkSession, path: str, *, start: str | None = None, end: str | None = None) -> DataFrame:
     """One row per reading: date, ts, total_kw, online, buildings (map).
 
-    A date range is turned into file names, so other days' files are not opened.
+    A date range, open on either side, is turned into file names, so other days' files are not read.
     """
     glob = "*-*-*.json"
     if start and end:
@@ -70,6 +70,10 @@ def read_daily(spark: SparkSession, path: str, *, start: str | None = None, end:
         days = [first + timedelta(days=i) for i in range((last - first).days + 1)]
         glob = "{" + ",".join(f"{d}.json" for d in days) + "}"
     docs = _documents(spark, path, DAILY_SCHEMA, glob)
+    if start:
+        docs = docs.filter(F.col("_metadata.file_name") >= f"{start}.json")
+    if end:
+        docs = docs.filter(F.col("_metadata.file_name") <= f"{end}.json")
     return docs.select(F.to_date("date").alias("date"), F.inline("readings")).select(
         "date",
         F.to_timestamp_ntz(F.concat_ws(" ", F.col("date").cast("string"), "time"), F.lit("yyyy-MM-dd HH:mm"))
@@ -89,7 +93,7 @@ def read_daily_index(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark, path, INDEX_SCHEMA).select(F.explode("days").alias("day"))
 
 
-def read_snapshots(spark: SparkSession, path: str, *, glob: str = "2026-*.json") -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str, *, glob: str = "[0-9]*-*-*.json") -> DataFrame:
     """Snapshot documents with snap_ts and file; unreadable ones and those without
     buildings or a time are left out."""
     docs = _documents(spark, path, SNAPSHOT_SCHEMA, glob)
