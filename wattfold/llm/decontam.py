@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from wattfold.llm.graph import stored
 
 Q, WINDOW, STRIDE, LEAST, BUDGET = 8, 96, 32, 40, 0.1
-SLICE_CHARS, CHUNK = 8_000_000, 200_000
+SLICE_CHARS, CHUNK, TOGETHER = 8_000_000, 200_000, 2048
 #: Makes every cell number positive; cells stay below 2^24, places in a window below 2^12.
 SHIFT = 1 << 14
 _OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
@@ -50,24 +50,30 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def aligned_all(patterns: np.ndarray, text: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For patterns of one length: fewest edits that turn each into a piece of the text on the ``width`` diagonals from
+    ``low`` on, and where the piece ends. One row of all alignments at a time."""
+    size, steps = patterns.shape[1], np.arange(width)
+    far = size + 1
+    place = low[:, None] + np.arange(width + size + 1)  # text characters used; row i has the places i .. i + width - 1
+    reach = (place >= 0) & (place <= len(text))
+    inside = (place >= 0) & (place < len(text))
+    chars = np.append(text, 0)[np.clip(place, 0, len(text))]
+    row = np.where(reach[:, :width], 0, far)
+    for i in range(size):
+        here = inside[:, i : i + width]
+        new = np.where(here, row + ~(here & (chars[:, i : i + width] == patterns[:, i, None])), far)
+        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # a pattern character without counterpart
+        new = np.minimum.accumulate(new - steps, axis=1) + steps  # text characters without counterpart
+        row = np.where(reach[:, i + 1 : i + 1 + width], new, far)
+    best = row.argmin(axis=1)
+    return row[np.arange(len(row)), best], low + best + size
+
+
 def aligned(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-    """Fewest edits that turn the pattern into a piece of the text on diagonals low..high, and where the piece ends."""
-    width = high - low + 1
-    steps, far = np.arange(width), len(pattern) + 1
-    place = low + steps  # text characters used, in row 0
-    row = np.where((place >= 0) & (place <= len(text)), 0, far)
-    for i, c in enumerate(pattern):
-        place = low + steps + i
-        inside = (place >= 0) & (place < len(text))
-        same = np.zeros(width, dtype=bool)
-        same[inside] = text[place[inside]] == c
-        new = row + ~same
-        new[~inside] = far
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a pattern character without counterpart
-        new = np.minimum.accumulate(new - steps) + steps  # text characters without counterpart
-        row = np.where((place + 1 >= 0) & (place + 1 <= len(text)), new, far)
-    best = int(row.argmin())
-    return int(row[best]), low + best + len(pattern)
+    """The same for one pattern on diagonals low..high."""
+    edits, end = aligned_all(np.asarray(pattern)[None], text, np.array([low]), high - low + 1)
+    return int(edits[0]), int(end[0])
 
 
 class Windows:
@@ -96,6 +102,7 @@ class Windows:
         self.likely = np.zeros(1 << 20, dtype=bool)  # by the highest bits: spares most searches
         self.likely[self.grams >> np.uint64(44)] = True
         size = np.array([len(p) for p in self.pattern], dtype=np.int64)
+        self.reach = 2 * int(size.max(initial=0))
         self.edits = np.floor(size * min(budget, 0.9 / q)).astype(np.int64)  # below 1/q the bound stays above zero
         self.need = size - q + 1 - self.edits * q
         self.half = self.edits + 1
@@ -138,29 +145,41 @@ class Windows:
         at = np.minimum(np.searchsorted(known, keys + 1), len(known) - 1)
         return np.where(known[at] == keys + 1, counts[at], 0)
 
-    def _verified(self, w: int, text: np.ndarray, low: int, high: int) -> tuple[int, int]:
-        """Fewest edits and end; an unchanged copy is seen without an alignment."""
-        pattern, begin = self.pattern[w], max(0, low)
-        at = text[begin : max(0, high) + len(pattern)].tobytes().find(pattern.tobytes())
-        if at >= 0 and at % 8 == 0:
-            return 0, begin + at // 8 + len(pattern)
-        return aligned(pattern, text, low, high)
+    def _verified(self, bands: list[tuple[int, int, int]], text: np.ndarray) -> list[tuple[int, int]]:
+        """Fewest edits and end of each band. An unchanged copy is seen without an alignment, the others are aligned together."""
+        out: list = [None] * len(bands)
+        left: dict[tuple[int, int], list[int]] = {}
+        for k, (w, low, high) in enumerate(bands):
+            pattern, edits = self.pattern[w], int(self.edits[w])
+            begin = max(0, low - edits)
+            at = text[begin : max(0, high + edits) + len(pattern)].tobytes().find(pattern.tobytes())
+            if at >= 0 and at % 8 == 0:
+                out[k] = (0, begin + at // 8 + len(pattern))
+            else:
+                left.setdefault((len(pattern), high - low + 1 + 2 * edits), []).append(k)
+        for (_, width), all_of in left.items():
+            for at in range(0, len(all_of), TOGETHER):
+                these = all_of[at : at + TOGETHER]
+                lows = np.array([bands[k][1] - int(self.edits[bands[k][0]]) for k in these])
+                d, end = aligned_all(np.stack([self.pattern[bands[k][0]] for k in these]), text, lows, width)
+                for k, *found in zip(these, d.tolist(), end.tolist(), strict=True):
+                    out[k] = tuple(found)
+        return out
 
     def search(self, text: str) -> list[tuple]:
         """(item, end, edits) of the windows found. Long texts are searched in pieces that overlap by two windows."""
         out = []
         if not self.pattern:
             return out
-        points, reach = _points(text), 2 * max(len(p) for p in self.pattern)
+        points = _points(text)
         for start in range(0, max(1, len(points)), CHUNK):
-            piece = points[start : start + CHUNK + reach]
+            piece = points[start : start + CHUNK + self.reach]
+            bands = self._bands(piece)
             last, upto = -1, 0  # window and highest diagonal of the band that was verified last
-            for w, low, high in self._bands(piece):
+            for (w, low, high), (d, end) in zip(bands, self._verified(bands, piece), strict=True):
                 if w == last and low <= upto:
                     continue
-                edits = int(self.edits[w])
-                d, end = self._verified(w, piece, low - edits, high + edits)
-                if d <= edits:
+                if d <= self.edits[w]:
                     out.append((self.item[w], start + end, d))
                     last, upto = w, high
         return out
