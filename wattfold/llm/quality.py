@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +37,20 @@ _WORD = re.compile(r"[^\W\d_]+")
 def features(text: str | None) -> list[float]:
     """Figures of a whole text that do not depend on its language or length (but for the last, its logarithm)."""
     text = text or ""
-    n, tokens = max(1, len(text)), text.split()
-    w = max(1, len(tokens))
+    raw = text.encode("utf-8", "replace")
+    tokens = Counter(text.split())  # what a token says is asked once for each different one
+    n, w = max(1, len(text)), max(1, tokens.total())
     words = _WORD.findall(text)
     letters = sum(map(len, words))
     lines = [x for x in text.split("\n") if x.strip()]
-    upper = sum(x.isupper() for x in tokens)
-    marks = sum(not x[-1].isalnum() for x in tokens)
-    spoken = sum(any(c.isalpha() for c in x) for x in tokens)
-    squeezed = len(zlib.compress(text.encode("utf-8", "replace"), 1)) / max(1, len(text.encode("utf-8", "replace")))
+    upper = sum(k for x, k in tokens.items() if x.isupper())
+    marks = sum(k for x, k in tokens.items() if not x[-1].isalnum())
+    spoken = sum(k for x, k in tokens.items() if x.isalpha() or any(map(str.isalpha, x)))
+    digits = sum(text.count(c) for c in set(text) if c.isdigit())
+    squeezed = len(zlib.compress(raw, 1)) / max(1, len(raw))
     return [
         letters / n,
-        sum(c.isdigit() for c in text) / n,
+        digits / n,
         upper / w,
         marks / w,
         spoken / w,
@@ -100,10 +103,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "_x": [features(t) for t in batch["_text"]]})
+            yield pd.DataFrame({"_x": [features(t) for t in batch["_text"]], "_y": batch["_y"]})
 
-    made = rows.mapInPandas(run, f"_id {rows.schema['_id'].dataType.simpleString()}, _x array<double>")
-    got = made.join(known, "_id").select("_x", "_y").orderBy("_x", "_y").toPandas()
+    made = rows.join(known, "_id").select("_text", "_y").mapInPandas(run, "_x array<double>, _y double")
+    got = made.orderBy("_x", "_y").toPandas()
     x = np.array(got["_x"].tolist()).reshape(-1, N_FEATURES)
     return fit(x, got["_y"].to_numpy(dtype=float))
 
