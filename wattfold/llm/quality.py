@@ -106,9 +106,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label:
             yield pd.DataFrame({"_x": [features(t) for t in batch["_text"]], "_y": batch["_y"]})
 
     made = rows.join(known, "_id").select("_text", "_y").mapInPandas(run, "_x array<double>, _y double")
-    got = made.orderBy("_x", "_y").toPandas()
-    x = np.array(got["_x"].tolist()).reshape(-1, N_FEATURES)
-    return fit(x, got["_y"].to_numpy(dtype=float))
+    got = made.toPandas()
+    x, y = np.array(got["_x"].tolist()).reshape(-1, N_FEATURES), got["_y"].to_numpy(dtype=float)
+    order = np.lexsort([y, *x.T[::-1]])  # sums do not depend on the order of arrival
+    return fit(x[order], y[order])
 
 
 def evidence(docs: DataFrame, model: dict, text: str = "text", column: str = "doc_p") -> DataFrame:
