@@ -18,6 +18,7 @@ get a row each; an empty table gives an empty result; further columns are ignore
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattfold.llm.graph import stored
+
 EXAMPLES, TERMS, CLEAR, BLOCK, NEAREST, PRIOR = 3000, 512, 30.0, 64, 15, 1.0
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,32 +46,37 @@ def terms(text: str | None) -> Counter:
     return out
 
 
-def clear_terms(bags: list[Counter], y: np.ndarray, at_least: float = CLEAR, most: int = TERMS) -> list[str]:
-    """The terms whose presence depends most on the label."""
-    seen = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        seen[int(label)].update(bag.keys())
-    names = sorted(set(seen[0]) | set(seen[1]))
-    n = np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
-    have = np.array([[seen[0][t], seen[1][t]] for t in names], dtype=float).reshape(-1, 2)
+def clarity(n0: np.ndarray, n1: np.ndarray, totals: tuple[float, float]) -> np.ndarray:
+    """G-squared of a term's presence against the label, from the examples of each label that have it."""
+    have, n = np.stack([n0, n1], axis=1).astype(float), np.array(totals, dtype=float)
     share = have.sum(axis=1, keepdims=True) / n.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.nan_to_num(have * np.log(have / (n * share))) + np.nan_to_num((n - have) * np.log((n - have) / (n * (1 - share))))).sum(axis=1)
-    order = np.lexsort((np.arange(len(names)), -g))[:most]
-    return sorted(names[i] for i in order if g[i] >= at_least)
+        return 2 * (np.nan_to_num(have * np.log(have / (n * share))) + np.nan_to_num((n - have) * np.log((n - have) / (n * (1 - share))))).sum(axis=1)
+
+
+def clear_terms(held: DataFrame, at_least: float = CLEAR, most: int = TERMS) -> list[str]:
+    """The terms of the examples (y, bag) whose presence depends most on the label; none without examples of both labels."""
+    n = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return []
+    totals = (n[0], n[1])
+    g = F.pandas_udf(lambda a, b: pd.Series(clarity(a.to_numpy(), b.to_numpy(), totals)), "double")
+    each = held.select("y", F.explode("bag.t").alias("t")).groupBy("t").agg(F.count_if(F.expr("y = 0")).alias("n0"), F.count_if(F.expr("y = 1")).alias("n1"))
+    best = each.select("t", g("n0", "n1").alias("g")).where(F.col("g") >= at_least).orderBy(F.desc("g"), "t").limit(most)
+    return sorted(r["t"] for r in best.collect())
 
 
 class Index:
     """Examples in blocks, and the greatest weight of each term in each block."""
 
-    def __init__(self, names: list[str], idf: np.ndarray, bags: list[Counter], y: np.ndarray, block: int = BLOCK):
+    def __init__(self, names: list[str], idf: np.ndarray, bags: list[Counter], y: np.ndarray, block: int = BLOCK, kin: list | None = None):
         self.number, self.names, self.idf, self.block = {t: i for i, t in enumerate(names)}, names, idf, block
         vectors = [self.vector(b) for b in bags]
         # examples with like vectors side by side: tight maxima
         order = sorted(range(len(bags)), key=lambda i: (vectors[i][0].tolist(), i))
         order = [i for i in order if len(vectors[i][0])]
-        same: dict[frozenset, int] = {}
-        self.kin = np.array([same.setdefault(frozenset(b.items()), i) for i, b in enumerate(bags)], dtype=np.int64)
+        same: dict = {}  # examples with the same words, known by ``kin`` where the bags hold the index's terms only
+        self.kin = np.array([same.setdefault(x, i) for i, x in enumerate(kin or [frozenset(b.items()) for b in bags])], dtype=np.int64)
         self.kin_at = self.kin[order]
         self.y = np.asarray(y, dtype=float)[order]
         self.prior = float(np.mean(y)) if len(y) else 0.0
@@ -107,7 +115,7 @@ class Index:
         return best_at, best
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        weight = 1 / (0.05 + np.sqrt(np.maximum(0.0, 2 - 2 * cosine)))
+        weight = cosine**2 / (0.05 + np.sqrt(np.maximum(0.0, 2 - 2 * cosine)))  # many far neighbours don't outvote the prior
         return float((weight @ self.y[at] + PRIOR * self.prior) / (weight.sum() + PRIOR))
 
 
@@ -129,8 +137,9 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
-def examples(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, bound: int) -> pd.DataFrame:
-    """(text, y, weight): at most about ``bound`` labelled rows of each label; weight is what each one stands for."""
+def examples(docs: DataFrame, labels: DataFrame, id_column: str, text: str, label: str, bound: int) -> DataFrame:
+    """(y, bag, kin, weight): at most about ``bound`` labelled rows of each label. ``kin`` is the digest of the whole bag,
+    ``weight`` what a row stands for."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and _id is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     part = {y: min(1.0, bound / n) for y, n in counts.items()}
@@ -141,22 +150,24 @@ def examples(docs: DataFrame, labels: DataFrame, id_column: str, text: str, labe
 
     def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "bag": [sorted(terms(t).items()) for t in batch["text"]]})
+            made = [sorted(terms(t).items()) for t in batch["text"]]
+            kin = [hashlib.sha256(repr(b).encode("utf-8", "surrogatepass")).hexdigest() for b in made]
+            yield pd.DataFrame({"y": batch["y"], "bag": made, "kin": kin})
 
-    got = rows.select("y", "text").mapInPandas(bags, "y int, bag array<struct<t string, n long>>").toPandas()
-    out = pd.DataFrame({"y": got["y"], "bag": [Counter({r["t"]: r["n"] for r in b}) for b in got["bag"]]})
-    out["weight"] = [1 / part[y] for y in out["y"]]
-    out["order"] = [repr(sorted(b.items())) for b in out["bag"]]
-    return out.sort_values(["order", "y"], kind="stable").drop(columns="order").reset_index(drop=True)
+    held = rows.select("y", "text").mapInPandas(bags, "y int, bag array<struct<t string, n long>>, kin string")
+    return held.withColumn("weight", F.when(F.col("y") == 0, 1 / part.get(0, 1.0)).otherwise(1 / part.get(1, 1.0)))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", bound: int = EXAMPLES):
-    """The index and the calibration curve."""
+    """The index and the calibration curve. Of the examples' bags, only the terms of the index reach the driver."""
     spark = docs.sparkSession
-    got = examples(docs, labels, id_column, text, label, bound)
+    held = stored(examples(docs, labels, id_column, text, label, bound), "examples")
+    names = clear_terms(held)
+    used = F.filter("bag", lambda x: x["t"].isin(names) if names else F.lit(False))
+    got = held.select("y", "kin", "weight", used["t"].alias("t"), used["n"].alias("n")).toPandas()
+    got = got.sort_values(["kin", "y"], kind="stable").reset_index(drop=True)
     y = got["y"].to_numpy(dtype=float)
-    bags = got["bag"].tolist()
-    names = clear_terms(bags, y) if len(set(y.tolist())) > 1 else []
+    bags = [Counter(dict(zip(t, n, strict=True))) for t, n in zip(got["t"], got["n"], strict=True)]
     sent = spark.sparkContext.broadcast(set(names))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
 
     df = {r["term"]: r["n"] for r in docs.select(F.col(text).alias("text")).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     idf = np.array([np.log((1 + df.get("", 0)) / (1 + df.get(t, 0))) + 1 for t in names])
-    index = Index(names, idf, bags, y)
+    index = Index(names, idf, bags, y, kin=got["kin"].tolist())
     weight = got["weight"].to_numpy(dtype=float)
     if len(y):
         index.prior = float(weight @ y / weight.sum())
