@@ -1,6 +1,7 @@
 """Near duplicates, nearest neighbours, mixing, extraction, chat and the pipeline against plain versions."""
 
 import hashlib
+import itertools
 import sys
 from pathlib import Path
 
@@ -68,6 +69,30 @@ def test_cut_buckets_lose_no_link(spark):
     assert [find(i) for i in range(len(fps))] == parts
 
 
+def test_cut_buckets_end_at_radius_4(spark):
+    """Few free bits: every mask adds a bit, and any four free bits stay free in one of them."""
+    for n in range(5, 33):
+        mask = (1 << 64) - (1 << n)  # the low n bits are free
+        made = simhash.cover(mask, 4)
+        assert all(m & mask == mask and m != mask for m in made)
+        for free in itertools.combinations(range(n), 4) if n < 16 else ():
+            assert any(not (m ^ mask) & sum(1 << b for b in free) for m in made)
+    rng = np.random.default_rng(2)
+    fps = sorted({int(x) << 3 for x in rng.integers(0, 1 << 15, 60)})
+    got = simhash.links(spark.createDataFrame([(0, f) for f in fps], "plane int, fp long"), 4, bucket=24).collect()
+    place, root = {f: i for i, f in enumerate(fps)}, list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in got:
+        a, b = sorted((find(place[r["a"]]), find(place[r["b"]])))
+        root[b] = a
+    assert [find(i) for i in range(len(fps))] == plain_components(fps, 4)
+
+
 def plain_nearest(rows, k):
     good = [(i, np.array(v, dtype=float)) for i, v in rows if v and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

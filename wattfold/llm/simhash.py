@@ -6,7 +6,8 @@ to v. The codes of any r bits leave some v orthogonal to all of them, so two fin
 agree under that mask: no pair within the radius is missed. Fingerprints that agree under a mask are compared exactly.
 
 A bucket of more than ``BUCKET`` different fingerprints is not compared all against all: its free bits are covered anew
-by the same rule, which is exact again and ends where at most 2^free fingerprints are possible.
+by the same rule, which is exact again. Each new mask adds at least one bit, so it ends where at most 2^free fingerprints
+are possible.
 
 Defined cases: words are runs without ASCII white space; only A-Z is lowered; a text of fewer words than a shingle is
 one shingle; null texts and texts without words have the fingerprint zero, which links like any other; repeated rows
@@ -83,8 +84,11 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, planes:
 def cover(mask: int, radius: int) -> list[int]:
     """Masks that add bits free in ``mask``: any ``radius`` of the free bits stay free in at least one of them."""
     free = [b for b in range(BITS) if not mask >> b & 1]
-    codes = (1 << radius + 1) - 1
-    made = (sum(1 << b for j, b in enumerate(free) if ((j % codes + 1) & v).bit_count() & 1) for v in range(1, codes + 1))
+    if len(free) <= radius:
+        raise ValueError("fingerprints that differ in free bits only are all within the radius")
+    codes = sorted(range(1, 1 << radius + 1), key=int.bit_count)  # unit codes first: every v is not orthogonal to one of them
+    made = [sum(1 << b for j, b in enumerate(free) if (codes[j % len(codes)] & v).bit_count() & 1) for v in codes]
+    assert all(made), "each mask must add a bit, or large buckets come again for ever"
     return list(dict.fromkeys(mask | x for x in made))
 
 
@@ -169,6 +173,7 @@ def links(fps: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     Every tie lies within a chain of fingerprints at most ``radius`` apart, and any two such fingerprints are tied
     through some chain of ties.
     """
+    bucket = max(bucket, 1 << radius)  # a bucket with at most ``radius`` free bits is never too large
     first = [_signed(m) for m in cover(0, radius)]
     rows = fps.select("plane", "fp", F.explode(F.array(*map(F.lit, first))).alias("mask"))
     found = None
