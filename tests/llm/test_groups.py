@@ -12,7 +12,7 @@ import xxhash
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from wattfold.llm import ann, mixing, simhash  # noqa: E402
+from wattfold.llm import ann, mixing, shingles, simhash  # noqa: E402
 from wattfold.llm import queries as Q  # noqa: E402
 
 
@@ -93,6 +93,44 @@ def test_cut_buckets_end_at_radius_4(spark):
     assert [find(i) for i in range(len(fps))] == plain_components(fps, 4)
 
 
+def plain_shingles(text):
+    words = (text or "").split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("tile", [256, 7])
+def test_copies_down_to_the_bound_are_found(spark, monkeypatch, tile):
+    """Pairs with shingle similarity 0.8 to 0.9 become one document, pairs below 0.8 stay two; one group is a chain."""
+    monkeypatch.setattr(shingles, "TILE", tile)
+    rng = np.random.default_rng(4)
+    texts, word = [], lambda: f"w{rng.integers(1 << 40):x}"
+    for k in range(160):
+        words = [word() for _ in range(200)]
+        other = words[: 200 - (10 + k % 20)] + [word() for _ in range(10 + k % 20)]  # 0.74 to 0.9
+        texts += [" ".join(words), " ".join(other)]
+    chain = [word() for _ in range(200)]
+    for _ in range(40):  # each one is near the one before
+        chain = chain[4:] + [word() for _ in range(4)]
+        texts.append(" ".join(chain))
+    texts += [None, ""]
+    sets = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    got = {r["doc_id"] for r in shingles.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 2, (len(want), len(got - want))
+
+
 def plain_nearest(rows, k):
     good = [(i, np.array(v, dtype=float)) for i, v in rows if v and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

@@ -225,18 +225,3 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         .join(known, "fp0", "left")
         .select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
-
-
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 4, planes: int = 6) -> DataFrame:
-    """The input without all but one row (the smallest id) of each group.
-
-    Documents are linked when they are within the radius in any of several independent fingerprints. One fingerprint
-    at a small radius misses half the copies with a few changed words; several together find nearly all of them.
-    """
-    printed = stored(fingerprints(docs, text, shingle, planes, "_fps").withColumn("_row", F.monotonically_increasing_id()), "documents")
-    narrow = printed.select(F.col("_fps")[0].alias("fp0"), F.col(id_column).alias("id"), "_row")
-    roots = grouped(printed.select(F.col("_fps").alias("fps")), radius)
-    placed = narrow.join(stored(roots, "roots"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    surplus = placed.join(first, "root").where("_row <> first._row").select("_row")
-    return printed.join(stored(surplus, "surplus"), "_row", "left_anti").select(*(printed[c] for c in docs.columns))
