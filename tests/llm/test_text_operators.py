@@ -82,6 +82,31 @@ def test_surrogates_are_consistent(spark):
     assert "+1 (" in new
 
 
+def test_kinds_are_found(spark):
+    hexes = "0123456789abcdef0123456789abcdef01234567"
+    phones = ["+33 1 23 45 67 89", "+49 30 1234567", "030 1234567", "030/1234567", "+1 (988) 555-2485", "01 23 45 67 89", "(030) 123 456 78", "+4930123456", "555-2485"]
+    secrets = [f'token = "{hexes}"', f"TOKEN = '{hexes.upper()}'", f"api_key: {hexes}", f'"password": "{hexes}"', f"secret={hexes}"]
+    hit = [f"call {p}, or" for p in phones] + [f"x {t} y" for t in secrets] + ["tel. 12 345 x"]
+    clean = ["from 1914-1918 on", "in 2019 2020 it", "it was 12.345 then", "on 01.02.2019 at", "0.1234567 of", "the token = everything there", "about 10 000 of"]
+    docs = spark.createDataFrame(list(enumerate(hit + clean)), "doc_id int, text string")
+    new = [r["text"] for r in pii.replace(docs).orderBy("doc_id").collect()]
+    for old, made in zip(hit, new, strict=False):
+        assert old != made and len(old) == len(made), (old, made)
+        assert re.sub(r"[0-9A-Za-z]", "", old) == re.sub(r"[0-9A-Za-z]", "", made)
+    assert new[0].startswith("call +33 ") and new[2].startswith("call 0") and not any(hexes in x.lower() for x in new)
+    assert new[len(hit):] == clean
+
+
+def test_kinds_over_the_given_documents(spark, tables):
+    docs = tables["documents"]
+    found = docs.select(F.explode(F.expr(f"regexp_extract_all(text, {pii._quoted(pii.ANY)}, 0)")).alias("e")).select("e", F.expr(pii.kind("e")).alias("kind"))
+    n = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    plain = {"secret": r"(?i)token = .[0-9a-f]{40}", "mail": r"\w@\w+[.]com", "phone": r"[+]1 [(]\d{3}[)] 555-\d{4}", "host": r"(?<![\d.])(\d{1,3}[.]){3}\d{1,3}(?![\d.])"}
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    for kind, pattern in plain.items():
+        assert n.get(kind, 0) >= sum(len(re.findall(pattern, t)) for t in texts), kind
+
+
 def test_surrogates_stay_distinct(spark):
     """Two-letter accounts leave little room: attempts go on until all differ and none is an entity of the corpus."""
     mails = [f"{a}{b}@c.com" for a in "abcdefghij" for b in "klmnopqrst"]

@@ -25,15 +25,25 @@ from pyspark.sql import functions as F
 from wattfold.llm.graph import stored
 
 KEY, ROUNDS = "surrogates", 16
+_NEXT = r"(?:[ ./()-]{0,2}(?!(?:\d{1,3}\.){3}\d)\d)"  # one digit more, but not the first one of a host address
+#: A plus or a leading zero and 7 to 15 digits in any groups; other groups of at least seven digits, but not
+#: two years; fewer digits after a word for telephone.
+PHONE = (
+    rf"(?<![\w+])\+(?:1[ .-]?\(?\d{{3}}\)?[ .-]?\d{{3}}[ .-]?\d{{4}}(?!\d)|\d{_NEXT}{{6,14}}(?!\d))"
+    rf"|(?<![\w+])(?<!\d[./-])(?!\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}(?!\d))(?=\(?0\d{{1,5}}[ ./)-])\(?0\d{_NEXT}{{5,13}}(?!\d|\.\d)"
+    r"|(?<![\w+])(?!(?:1\d|20)\d\d[ .-](?:1\d|20)\d\d(?!\d|[ .-]\d))"
+    r"(?:\(\d{2,4}\)[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?|\d{2,4}[ .-]\d{3,4}[ .-]\d{2,4}|\d{3}[ .-]\d{4}|\d{4}[ .-]\d{3,4})(?!\d|\.\d)"
+    r"|(?<=(?i:phone|telephone|telefon|tel|mobile|mobil|fax|téléphone|teléfono)[.:]{0,2} {0,2})\d{2,4}[ .-]\d{3,4}(?!\d|\.\d)"
+)
 #: Patterns of the entities, in order of precedence.
 PATTERNS = {
     "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:password|passwd|api_key|secret|token)[=:][A-Za-z0-9_\-]{6,}",
+    "secret": r"(?i:password|passwd|api_key|secret|token)(?:[=:]|[\"']?\s{0,4}[=:]\s{0,4}(?:[\"']|(?=[A-Za-z_\-]*\d)))[A-Za-z0-9_\-]{6,}",
     "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{8,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3}(?![\w.]))?)\b",
     "host": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "ssn": r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?(?!\d)|\+\d{8,15}(?!\d)",
+    "phone": PHONE,
     "name": r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?|(?:господин|госпожа) \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 #: Names by gender and script.
@@ -52,8 +62,13 @@ def _quoted(text: str) -> str:
 
 
 def kind(e: str) -> str:
-    """SQL: the type of an entity."""
-    return "case " + " ".join(f"when rlike({e}, {_quoted('^(?:' + p + ')$')}) then '{k}'" for k, p in PATTERNS.items()) + " else 'other' end"
+    """SQL: the type of an entity. Only telephone numbers are known by what stands before them."""
+    return "case " + " ".join(f"when rlike({e}, {_quoted('^(?:' + p + ')$')}) then '{k}'" for k, p in PATTERNS.items()) + " else 'phone' end"
+
+
+def _value(e: str) -> str:
+    """SQL: the value of a secret, without key, sign and quote."""
+    return f"regexp_extract({e}, '[A-Za-z0-9_-]+$', 0)"
 
 
 def canonical(e: str) -> str:
@@ -61,7 +76,7 @@ def canonical(e: str) -> str:
     plain = f"lower(regexp_replace({e}, '[^A-Za-z0-9]', ''))"
     return (
         f"case {kind(e)} when 'name' then lower(regexp_replace({e}, '^\\\\S+ ', '')) when 'mail' then lower({e}) when 'host' then {e} "
-        f"when 'secret' then substring_index(replace({e}, ':', '='), '=', -1) else {plain} end"
+        f"when 'secret' then {_value(e)} else {plain} end"
     )
 
 
@@ -109,6 +124,11 @@ def _name(e: str, d: str) -> str:
     return f"concat(substring_index({e}, ' ', 1), ' ', {first}, ' ', {last})"
 
 
+def _lead(e: str) -> str:
+    """SQL: what a telephone number keeps: the country's number, or the zeros before an area's number."""
+    return f"regexp_extract({e}, '^[+][0-9]+(?=[^0-9])|^[(]?0+', 0)"
+
+
 def surrogate(e: str, attempt: str = "0", key: str = KEY) -> str:
     """SQL: the surrogate of an entity at an attempt."""
     d = "_d"
@@ -116,9 +136,9 @@ def surrogate(e: str, attempt: str = "0", key: str = KEY) -> str:
     body = f"""case {kind(e)}
         when 'name' then {_name(e, d)}
         when 'mail' then concat({_drawn(f"left({e}, length({e}) - length(substring_index({e}, '.', -1)))", d)}, substring_index({e}, '.', -1))
-        when 'secret' then concat(left({e}, length({e}) - length(substring_index(replace({e}, ':', '='), '=', -1))), {_drawn(f"substring_index(replace({e}, ':', '='), '=', -1)", d)})
+        when 'secret' then concat(left({e}, length({e}) - length({_value(e)})), {_drawn(_value(e), d)})
         when 'host' then array_join(transform(sequence(0, 3), j -> cast({_byte(d, "j")} % 254 + 1 as string)), '.')
-        when 'phone' then concat(regexp_extract({e}, '^[+][0-9]+(?=[^0-9])', 0), {_drawn(f"substr({e}, length(regexp_extract({e}, '^[+][0-9]+(?=[^0-9])', 0)) + 1)", d)})
+        when 'phone' then concat({_lead(e)}, {_drawn(f"substr({e}, length({_lead(e)}) + 1)", d)})
         when 'card' then {_luhn(made)}
         when 'iban' then {_iban(e, made)}
         else {made} end"""
