@@ -8,7 +8,8 @@ gender and script: they are drawn from lists by both. Every figure comes from SH
 
 Collision checks: over the distinct entities of the corpus, an attempt fails where two entities get one surrogate
 or where a surrogate is itself an entity of the corpus. The smallest entity keeps the surrogate, the others try again
-until none fails; only rows that hold an entity with a later attempt are joined with these attempts.
+until none fails, many at a time after some rounds; where a format has no free value left, its entities change places
+among each other. Only rows that hold an entity with a later attempt are joined with these attempts.
 
 Defined cases: null texts stay null, texts without entities stay as they are; repeated rows are handled row by row;
 columns other than the text pass unchanged, whatever their names (but those that start with ``_pii_``); an empty table
@@ -19,12 +20,12 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattfold.llm.graph import stored
 
-KEY, ROUNDS = "surrogates", 16
+KEY, ROUNDS, WIDE = "surrogates", 16, 512
 _NEXT = r"(?:[ ./()-]{0,2}(?!(?:\d{1,3}\.){3}\d)\d)"  # one digit more, but not the first one of a host address
 #: A plus or a leading zero and 7 to 15 digits in any groups; other groups of at least seven digits, but not
 #: two years; fewer digits after a word for telephone.
@@ -110,8 +111,9 @@ def _iban(e: str, t: str) -> str:
     return f"concat(left({e}, 2), lpad(cast(98 - {rest} as string), 2, '0'), substr({t}, 5))"
 
 
-def _name(e: str, d: str) -> str:
-    """SQL: title kept; first name from the list of its gender and script, then two to three drawn syllables."""
+def _name(e: str, d: str, attempt: str) -> str:
+    """SQL: title kept; first name from the list of its gender and script, then drawn syllables: four, and one more with
+    every eight attempts, so names don't run out."""
     listed = {k: "array(" + ", ".join(map(_quoted, v)) + ")" for k, v in NAMES.items()}
     cyrillic = f"rlike({e}, '[А-Яа-яЁё]')"
     pick = f"{_byte(d, '0')} % 8"
@@ -120,7 +122,7 @@ def _name(e: str, d: str) -> str:
         f"else if(rlike({e}, {_quoted(FEMALE)}), {listed['f', 'latin']}[{pick}], {listed['m', 'latin']}[{pick}]) end"
     )
     parts = f"if({cyrillic}, array('бо','ве','га','ди','ко','ле','ми','но','ра','со','ту','фе','ха','ши','ню','я'), array('ba','ce','di','fo','ga','he','ki','lo','ma','ne','po','ra','si','to','vu','ze'))"
-    last = f"initcap(array_join(transform(sequence(1, 4), j -> {parts}[{_byte(d, 'j')} % 16]), ''))"
+    last = f"initcap(array_join(transform(sequence(1, 4 + least(int({attempt}) div 8, 56)), j -> {parts}[{_byte(d, 'j')} % 16]), ''))"
     return f"concat(substring_index({e}, ' ', 1), ' ', {first}, ' ', {last})"
 
 
@@ -134,7 +136,7 @@ def surrogate(e: str, attempt: str = "0", key: str = KEY) -> str:
     d = "_d"
     made = _drawn(e, d)
     body = f"""case {kind(e)}
-        when 'name' then {_name(e, d)}
+        when 'name' then {_name(e, d, attempt)}
         when 'mail' then concat({_drawn(f"left({e}, length({e}) - length(substring_index({e}, '.', -1)))", d)}, substring_index({e}, '.', -1))
         when 'secret' then concat(left({e}, length({e}) - length({_value(e)})), {_drawn(_value(e), d)})
         when 'host' then array_join(transform(sequence(0, 3), j -> cast({_byte(d, "j")} % 254 + 1 as string)), '.')
@@ -146,22 +148,74 @@ def surrogate(e: str, attempt: str = "0", key: str = KEY) -> str:
     return f"transform(array({digest}), _d -> {body})[0]"
 
 
+def _given(e: str, value: str) -> str:
+    """SQL: the entity with its letters and digits replaced by those of the canonical form ``value`` of the same format."""
+    plain = f"regexp_replace({value}, '[^A-Za-z0-9]', '')"
+    at = f"substr({plain}, length(regexp_replace(substr({e}, 1, i + 1), '[^A-Za-z0-9]', '')), 1)"
+    drawn = f"array_join(transform(split({e}, ''), (c, i) -> case when c rlike '[A-Z]' then upper({at}) when c rlike '[a-z0-9]' then {at} else c end), '')"
+    return f"case {kind(e)} when 'host' then {value} when 'secret' then concat(left({e}, length({e}) - length({_value(e)})), {value}) else {drawn} end"
+
+
+def _format(e: str, canon: str) -> str:
+    """SQL: what all canonical forms that can stand in for each other have in common."""
+    shape = f"regexp_replace(regexp_replace(regexp_replace({canon}, '[0-9]', '9'), '[a-z]', 'a'), '[A-Z]', 'A')"
+    return (
+        f"concat_ws('|', case {kind(e)} when 'host' then '' else {shape} end, "
+        f"case {kind(e)} when 'phone' then {_lead(e)} when 'iban' then left({e}, 2) when 'mail' then lower(substring_index({e}, '.', -1)) else '' end)"
+    )
+
+
 def later_attempts(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, canon, attempt) of the distinct entities whose first surrogate fails the checks."""
+    """(kind, canon, attempt, value) of the distinct entities whose first surrogate fails the checks.
+
+    After ``rounds`` the entities left over make many attempts at a time, as long as that settles any. Then their
+    format has no free value (or next to none): all entities of the format change places in keyed order, which is
+    distinct by construction; ``value`` is the entity whose place is taken.
+    """
     entities = stored(found.groupBy("kind", "canon").agg(F.min("entity").alias("entity")), "entities")
     state = entities.withColumn("attempt", F.lit(0))
     taken = entities.select("kind", F.col("canon").alias("made"))
+    none = F.lit(None).cast("string").alias("value")
     for _ in range(rounds):
-        tried = state.withColumn("made_text", F.expr(surrogate("entity", "attempt", key)))
-        tried = stored(tried.withColumn("made", F.expr(canonical("made_text"))).drop("made_text"), "attempts")
+        tried = _made(state, key)
         first = tried.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1")
         twice = tried.join(first, ["kind", "made"]).where("canon <> first.canon").select("kind", "canon")
         again = stored(twice.unionAll(tried.join(taken, ["kind", "made"], "left_semi").select("kind", "canon")).distinct(), "failed")
         if again.isEmpty():
-            return tried.where("attempt > 0").select("kind", "canon", "attempt")
+            return tried.where("attempt > 0").select("kind", "canon", "attempt", none)
         failed = again.withColumn("more", F.lit(1))
         state = tried.drop("made").join(failed, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("more", F.lit(0))).drop("more")
-    raise ValueError(f"entities still share surrogates after {rounds} attempts: use a format with more room")
+    settled = tried.join(again, ["kind", "canon"], "left_anti")
+    left, begin, width = stored(tried.join(again, ["kind", "canon"], "left_semi").select("kind", "canon", "entity"), "left"), rounds, WIDE
+    while True:
+        options = _made(left.withColumn("attempt", F.explode(F.sequence(F.lit(begin), F.lit(begin + width - 1)))), key)
+        free = options.join(taken, ["kind", "made"], "left_anti").join(settled, ["kind", "made"], "left_anti")
+        won = free.groupBy("kind", "made").agg(F.min_by(F.struct("canon", "entity", "attempt"), F.struct("attempt", "canon")).alias("first"))
+        each = won.groupBy("kind", "first.canon").agg(F.min_by(F.struct("first.entity", "first.attempt", "made"), "first.attempt").alias("x"))
+        each = stored(each.select("kind", "canon", "x.entity", "x.attempt", "x.made"), "settled")
+        settled = settled.unionByName(each)
+        some = not each.isEmpty()
+        left = stored(left.join(each, ["kind", "canon"], "left_anti"), "left")
+        if left.isEmpty():
+            return settled.where("attempt > 0").select("kind", "canon", "attempt", none)
+        begin += width
+        if not some:
+            break
+    shaped = entities.withColumn("format", F.expr(_format("entity", "canon")))
+    full = stored(left.withColumn("format", F.expr(_format("entity", "canon"))).select("kind", "format").distinct(), "full")
+    inside = shaped.join(full, ["kind", "format"])
+    order = Window.partitionBy("kind", "format").orderBy(F.sha2(F.concat_ws("|", F.lit(key), "canon"), 256), "canon")
+    ring = inside.withColumn("value", F.coalesce(F.lead("canon").over(order), F.first("canon").over(order)))
+    ring = stored(ring.select("kind", "canon", F.lit(0).alias("attempt"), "value"), "ring")
+    rest = settled.where("attempt > 0").select("kind", "canon", "attempt", none).join(ring.select("kind", "canon"), ["kind", "canon"], "left_anti")
+    return rest.unionByName(ring)
+
+
+def _made(state: DataFrame, key: str) -> DataFrame:
+    """With the canonical form of the surrogate at ``attempt``."""
+    tried = state.withColumn("made_text", F.expr(surrogate("entity", "attempt", key)))
+    tried = tried.withColumn("made", F.expr(canonical("made_text"))).drop("made_text")
+    return stored(tried.select("kind", "canon", "entity", "attempt", "made"), "attempts")
 
 
 def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -171,14 +225,15 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     found = rows.where("size(_pii_found) > 0").select("_pii_row", F.explode("_pii_found").alias("entity"))
     found = found.select("_pii_row", F.expr(kind("entity")).alias("kind"), F.expr(canonical("entity")).alias("canon"), "entity")
     later = stored(later_attempts(found, key), "later")
-    given = rows.withColumn("_pii_later", F.lit(None).cast("map<string,int>"))
+    given = rows.withColumn("_pii_later", F.lit(None).cast("map<string,struct<attempt:int,value:string>>"))
     if not later.isEmpty():
         hit = found.join(later, ["kind", "canon"]).groupBy("_pii_row").agg(
-            F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_pii_later")
+            F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), F.struct("attempt", "value")))).alias("_pii_later")
         )
         given = rows.join(hit, "_pii_row", "left")
-    attempt = f"coalesce(_pii_later[concat_ws('|', {kind('e')}, {canonical('e')})], 0)"
-    new = f"transform(_pii_found, e -> {surrogate('e', attempt, key)})"
+    other = f"_pii_later[concat_ws('|', {kind('e')}, {canonical('e')})]"
+    attempt = f"coalesce({other}.attempt, 0)"
+    new = f"transform(_pii_found, e -> if({other}.value is null, {surrogate('e', attempt, key)}, {_given('e', f'{other}.value')}))"
     gaps = f"split({_column(text)}, {_quoted(ANY)}, -1)"
     joined = f"array_join(transform({gaps}, (g, i) -> if(i < size(_pii_new), concat(g, _pii_new[i]), g)), '')"
     changed = given.withColumn("_pii_new", F.expr(new)).withColumn(text, F.expr(f"if(size(_pii_found) > 0, {joined}, {_column(text)})"))
