@@ -12,7 +12,7 @@ import xxhash
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from wattfold.llm import ann, mixing, shingles, simhash  # noqa: E402
+from wattfold.llm import ann, extract, mixing, shingles, simhash  # noqa: E402
 from wattfold.llm import queries as Q  # noqa: E402
 
 
@@ -198,6 +198,18 @@ def test_extraction_gives_a_row_per_page(spark, sf_dir):
     assert (got["n_chars"] == got["text"].map(len)).all() and not got["text"].str.contains("<script|track\\(", regex=True).any()
 
 
+def test_extraction_of_other_languages_and_wrappers():
+    for line in ("Москва является столицей России и крупнейшим городом страны с населением более двенадцати миллионов человек. ", "北京是中华人民共和国的首都,也是全国的政治文化中心和国际交往中心。" * 4):
+        page = f"<body><nav><a href=x>меню</a></nav><div><p>{line * 3}</p><p>{line}</p></div><ul><li><a href=y>{line}</a></li></ul></body>"
+        assert extract.main_text(page) == f"{line * 3}".strip() + " " + line.strip()
+    text = "The river is long and it was on the way to the sea that they had seen it for a while. " * 4
+    for wrapper in ("with-sidebar", "no-sidebar", "has-header", "sidebar page"):
+        assert extract.main_text(f"<div class='{wrapper}'><article><p>{text}</p></article></div>") == text.strip()
+    assert extract.main_text(f"<div class='no-sidebar'><p>{text}</p></div>") == text.strip()
+    assert extract.main_text(f"<article><p>{text}</p></article><div class=related><article><p>{text}</p></article></div>") == text.strip()
+    assert extract.main_text(f"<article><p>{text}İİİİ</p><SCRIPT>var a = '<b>';</Script><p>{text}</p></article>") == f"{text}İİİİ {text}".strip()
+
+
 @pytest.mark.parametrize("at", range(len(corpus_pipeline.STAGES)))
 def test_stages_take_odd_rows(spark, sf_dir, at):
     name, stage = corpus_pipeline.STAGES[at]

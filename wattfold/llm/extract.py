@@ -4,6 +4,9 @@ A page is cut into blocks at block-level tags. Pass one decides each block from
 density, together with the region it lies in (article, menu, footer, ...); blocks too short to decide stay open. Pass
 two gives each open block the label of its nearest decided neighbours, or the region's own default.
 
+Where no block has stop words enough (other languages than the lists'), length and link density decide alone. Hints of
+a clutter region around the page's only article or main do not count.
+
 Defined cases: null or empty html gives an empty text; pages are whole, whatever their length; repeated pages give
 repeated rows; an unclosed comment, script or style runs to the end of the page, as browsers read it; other columns of
 the input are kept, but for ``text`` and ``n_chars``, which are replaced.
@@ -39,12 +42,14 @@ STOP_WORDS = frozenset(
     "de la le et les des en un une du que est pour qui dans par sur au plus pas ce il avec se sont ou "
     "el los y las del con una por su para es al lo como más pero sus le ya o este sí porque esta son entre".split()
 )
+NEGATIONS = frozenset("with without no has have not".split())  # 'no-sidebar' is a page's layout
 LINKS_MOST, SHORT, LONG, DENSE, SPARSE = 0.4, 70, 200, 0.28, 0.12
 
 _tag = re.compile(r"""<(?:(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^"'>]|"[^"]*"|'[^']*')*+)>|(?P<other>[!?/][^>]*>?|[A-Za-z][^>]*>?))""")
 _named = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _hidden = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_end = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 _space = re.compile(r"\s+")
 
 
@@ -55,24 +60,34 @@ def _is_clutter(name: str, attrs: str) -> bool:
         return False
     if _hidden.search(attrs):
         return True
-    return any(p.lower() in HINTS for found in _named.findall(attrs) for p in _parts.findall(" ".join(found)))
+    return False
+
+
+def _is_hinted(name: str, attrs: str) -> bool:
+    """A class, id or role names a clutter region."""
+    if not attrs or name in CONTENT or name in ("html", "body"):
+        return False
+    for token in " ".join(x for found in _named.findall(attrs) for x in found).split():
+        parts = [p.lower() for p in _parts.findall(token)]
+        if parts and parts[0] not in NEGATIONS and not HINTS.isdisjoint(parts):
+            return True
+    return False
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters inside links, in a cluttered region, in an article: for each block in page order."""
+def blocks(page: str, hints: bool = True) -> list[tuple[str, int, bool, bool]]:
+    """Without ``hints``, those of an article's or main's ancestors don't count inside it. Text, characters inside links, in a cluttered region, in an article: for each block in page order."""
     out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, cluttered, article; what lies outside counts through
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, cluttered, article, cluttered by a hint only; what lies outside counts through
     buffer: list[str] = []
     linked, in_link, at, size = 0, 0, 0, len(page)
-    lower = page.lower()
 
     def flush() -> None:
         nonlocal linked
         if buffer:
             text = _space.sub(" ", entities.unescape("".join(buffer))).strip()
             if text:
-                top = stack[-1] if stack else ("", False, False)
-                out.append((text, linked, top[1], top[2]))
+                top = stack[-1] if stack else ("", False, False, False)
+                out.append((text, linked, top[1] or top[3], top[2]))
             buffer.clear()
         linked = 0
 
@@ -103,10 +118,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         name, closing = m["name"].lower(), bool(m["close"])
         if name in RAW and not closing:
-            end = lower.find(f"</{name}", at)
+            end = _end[name].search(page, at)
             if name in BLOCK:
                 flush()
-            at = size if end < 0 else end
+            at = end.start() if end else size
             continue
         if name == "a":
             in_link = 0 if closing else 1
@@ -125,22 +140,35 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             elif name not in VOID:
                 if name == "p" and stack and stack[-1][0] == "p":  # an open paragraph ends here
                     stack.pop()
-                _, bad, article = stack[-1] if stack else ("", False, False)
-                stack.append((name, bad or _is_clutter(name, m["attrs"]), article or name in CONTENT))
+                _, bad, article, hinted = stack[-1] if stack else ("", False, False, False)
+                hinted = (hinted and (hints or name not in CONTENT)) or _is_hinted(name, m["attrs"])
+                stack.append((name, bad or _is_clutter(name, m["attrs"]), article or name in CONTENT, hinted))
     flush()
     return out
 
 
-def label(text: str, linked: int, cluttered: bool, article: bool) -> bool | None:
-    """True: main text. False: clutter. None: undecided."""
+def _share(text: str) -> float:
+    """The share of stop words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+
+
+def _foreign(found: list[tuple[str, int, bool, bool]]) -> bool:
+    """No block of the page that could be main text looks like one of the languages with stop words."""
+    return all(_share(text) < SPARSE for text, linked, bad, _ in found if not bad and len(text) >= SHORT and linked / len(text) <= LINKS_MOST)
+
+
+def label(text: str, linked: int, cluttered: bool, article: bool, foreign: bool = False) -> bool | None:
+    """True: main text. False: clutter. None: undecided. In a foreign page length and links decide alone."""
     if cluttered:
         return False
     if linked / len(text) > LINKS_MOST:
         return False
     if len(text) < SHORT:
         return None if not linked or article else False
-    words = text.lower().split()
-    dense = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+    if foreign:
+        return True if linked / len(text) <= LINKS_MOST / 2 else None
+    dense = _share(text)
     if dense >= DENSE and len(text) >= LONG:
         return True
     if dense >= SPARSE or article:
@@ -151,7 +179,11 @@ def label(text: str, linked: int, cluttered: bool, article: bool) -> bool | None
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     inside = any(article and not bad for _, _, bad, article in found)
-    first = [False if inside and not b[3] else label(*b) for b in found]  # a page that marks its article has its text there
+    if not inside and any(article for _, _, _, article in found):  # all articles lie in regions that a hint calls clutter
+        found = blocks(page or "", hints=False)
+        inside = any(article and not bad for _, _, bad, article in found)
+    foreign = _foreign(found)
+    first = [False if inside and not b[3] else label(*b, foreign) for b in found]  # a page that marks its article has its text there
     before: list[bool | None] = []
     last: tuple[int, bool] | None = None
     for k, x in enumerate(first):
