@@ -99,3 +99,11 @@ def test_cycle_writer_repeats_do_not_add(spark, landed, tmp_path):
     write(frame, 0)
     write(frame, 0)
     assert spark.read.parquet(out).count() == frame.select("bid").distinct().count()
+
+
+def test_tables_of_part_files_are_streamed(spark, sf_dir, tmp_path):
+    from wattfold.plans import queries
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for made in (queries._event_stream(spark, sf_dir), queries._event_stream(spark, str(tmp_path))):
+        assert streams.run_append(made, "t-parts").count() == spark.read.parquet(f"{sf_dir}/events.parquet").count() > 0

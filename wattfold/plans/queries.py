@@ -662,7 +662,10 @@ def chat_clip(spark, sf):
 
 def _event_stream(spark, sf):
     schema = tables.table(spark, sf, "events").schema
-    return streams.read_stream(spark, sf, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/events.parquet")  # a file, or a directory of part files
+    parts = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    files = streams.read_stream(spark, f"{sf}/events.parquet", schema) if parts else streams.read_stream(spark, sf, schema, glob="events.parquet")
+    return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _reading_stream(spark, sf):
