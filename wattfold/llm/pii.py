@@ -34,7 +34,7 @@ PHONE = (
     rf"|(?<![\w+])(?<!\d[./-])(?!\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{2,4}}(?!\d))(?=\(?0\d{{1,5}}[ ./)-])\(?0\d{_NEXT}{{5,13}}(?!\d|\.\d)"
     r"|(?<![\w+])(?!(?:1\d|20)\d\d[ .-](?:1\d|20)\d\d(?!\d|[ .-]\d))"
     r"(?:\(\d{2,4}\)[ .-]?\d{2,4}[ .-]\d{3,4}(?:[ .-]\d{2,4})?|\d{2,4}[ .-]\d{3,4}[ .-]\d{2,4}|\d{3}[ .-]\d{4}|\d{4}[ .-]\d{3,4})(?!\d|\.\d)"
-    r"|(?<=(?i:phone|telephone|telefon|tel|mobile|mobil|fax|téléphone|teléfono)[.:]{0,2} {0,2})\d{2,4}[ .-]\d{3,4}(?!\d|\.\d)"
+    r"|(?=\d)(?<=(?i:phone|telephone|telefon|tel|mobile|mobil|fax|téléphone|teléfono)[.:]{0,2} {0,2})\d{2,4}[ .-]\d{3,4}(?!\d|\.\d)"
 )
 #: Patterns of the entities, in order of precedence.
 PATTERNS = {
