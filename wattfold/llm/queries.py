@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattfold.llm import ann, chatfmt, decontam, extract, langid, mixing, pii, quality, simhash, toxicity
+from wattfold.llm import ann, centroids, chatfmt, decontam, divergence, extract, langid, linededup, mixing, pii, quality, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chatfmt.read_back(chatfmt.format_turns(given.unionByName(extra), ranks), ranks)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linededup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_html_extraction,
         op10_chat_formatting,
+        op11_line_dedup,
+        op12_centroid_clustering,
+        op13_source_divergence,
     )
 }
