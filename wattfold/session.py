@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +47,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_folders: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, or below the innermost ``scratch_folder``."""
+    base = _folders[-1] if _folders else shared_dir(spark)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """What asks for a scratch path meanwhile gets one below this folder, so that all of it can be removed at once."""
+    path = scratch_path(spark, name)
+    _folders.append(path)
+    try:
+        yield path
+    finally:
+        _folders.remove(path)

@@ -1,36 +1,32 @@
-"""Readings as a stream: keyed verdicts, day totals, offline alerts, snapshot cycles."""
+"""Readings as a stream: verdicts in event time, day totals, offline alerts, snapshot cycles.
+
+Nothing here depends on how the input is cut into micro-batches. Verdicts wait until the watermark has passed a reading
+(``ordered``) and are then made by the batch operators; totals are partial aggregates per micro-batch, merged when read.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wattfold.functions.rounding import READING_DIGITS, exact_mean, half_even, truthy
+from wattfold.functions.rounding import exact_parts, half_even, join_parts, truthy
 from wattfold.operators import rolling
 from wattfold.session import scratch_path
+from wattfold.streaming.commits import BatchStore
+from wattfold.streaming.ordered import Clock, Readings, in_order, rocks, run_landed
 
-# Late rows are waited for this long; silent buildings count as offline after this.
-WATERMARK, OFFLINE_HOURS = "1 hour", 2
+# Fixed value: silent buildings count as offline after this.
+OFFLINE_HOURS = 2
+#: How late a reading may come, unless the caller says otherwise.
+LATENESS = "1 hour"
+#: The end of a replay: later than any reading (times go through pandas, which ends in 2262).
+END = "2250-01-01 00:00:00"
 
 READING_SCHEMA = "bid BIGINT, ts TIMESTAMP, seq BIGINT, kw DOUBLE"
-_STATE = "ts ARRAY<BIGINT>, seq ARRAY<BIGINT>, kw ARRAY<DOUBLE>"
-_VERDICT = [
-    T.StructField("ts", T.TimestampType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("kw", T.DoubleType()),
-    T.StructField("anomaly_type", T.StringType()),
-    T.StructField("avg_kw", T.DoubleType()),
-    T.StructField("ratio", T.DoubleType()),
-    T.StructField("predicted_kw", T.DoubleType()),
-    T.StructField("status", T.StringType()),
-]
 
 
 def read_stream(
@@ -46,130 +42,116 @@ def read_stream(
     )
 
 
-def _forecast(tail: list[int], min_n: int, scale: int) -> float | None:
-    live = [v for v in tail if v]
-    if len(live) < min_n:
-        return None
-    weighted = sum(v * (i + 1) for i, v in enumerate(live))
-    return round(weighted / (scale * (len(live) * (len(live) + 1) // 2)), 1)
+# --- verdicts -------------------------------------------------------------------------
 
 
-def _judge(history: list[int], at: int, scale: int) -> tuple:
-    """Verdict and forecast for the reading at index ``at`` of an ordered history in units."""
-    live = [v for v in history[max(0, at + 1 - rolling.ANOMALY_ROWS) : at + 1] if v]
-    kind = avg = ratio = None
-    if len(live) >= rolling.ANOMALY_MIN:
-        mean, now = sum(live) / (scale * len(live)), history[at] / scale
-        if mean > 0 and now > mean * rolling.ANOMALY_HIGH:
-            kind = "high"
-        elif mean > rolling.ANOMALY_LOW_FLOOR and now < mean * rolling.ANOMALY_LOW:
-            kind = "low"
-        if kind:
-            avg, ratio = round(mean, 1), round(now / mean, 2)
-    tail = history[max(0, at + 1 - rolling.FORECAST_ROWS) : at + 1]
-    return kind, avg, ratio, _forecast(tail, rolling.FORECAST_MIN, scale)
+def ordered_readings(
+    stream: DataFrame,
+    clock: Clock,
+    *,
+    by: str = "bid",
+    lateness: str = LATENESS,
+    keep: int = rolling.HISTORY_ROWS,
+    offline_hours: int = OFFLINE_HOURS,
+    registry: DataFrame | None = None,
+) -> DataFrame:
+    """(by, ts, seq, kw, role, since): readings in order of time, lead-ins and silences, see ``ordered.Readings``.
 
+    ``registry`` (by, ts: known since) names the buildings that are missed even if they never report. Readings without
+    a load are passed over, as in the batch operators.
+    """
+    queue = Readings(lead=rolling.ANOMALY_ROWS - 1, keep=keep, pause=offline_hours * 3_600_000_000)
+    columns = "us BIGINT, seq BIGINT, kw DOUBLE, role STRING, since BIGINT"
+    return in_order(stream.where("kw is not null"), queue, columns, by=by, lateness=lateness, clock=clock, initial=registry)
 
-def _units(loads: np.ndarray | list, scale: int) -> list[int]:
-    return np.floor(np.asarray(loads, dtype="float64") * scale + 0.5).astype("int64").tolist()
 
+def judge(released: DataFrame, *, by: str = "bid") -> DataFrame:
+    """A micro-batch of ``ordered_readings``: each reading with verdict and forecast, and an offline row per silence,
+    without a load but with the forecast of the last reading before. The batch operators do the work."""
+    rows = released.where("role <> 'silent'").drop("since")
+    judged = rolling.wma_forecast(rolling.rolling_anomaly(rows, by=[by], hot_rows=None), by=[by], hot_rows=None)
+    known = judged.select(F.col(by).alias("_by"), F.col("ts").alias("_ts"), F.col("seq").alias("_seq"), "predicted_kw")
+    silent = released.where("role = 'silent'").select(by, "ts", "seq", "since")
+    silent = silent.join(known, silent[by].eqNullSafe(F.col("_by")) & (F.col("since") == F.col("_ts")) & (F.col("seq") == F.col("_seq")), "left")
+    online = judged.where("role = 'reading'").withColumn("status", F.when(F.col("kw") != 0, "online").otherwise("offline"))
+    offline = silent.select(by, "ts", "seq", "predicted_kw", F.lit("offline").alias("status"))
+    return online.drop("role").unionByName(offline, allowMissingColumns=True)
 
-def one_frame(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """A key's rows of a micro-batch, which come in one Arrow batch or several."""
-    parts = list(frames)
-    return parts[0] if len(parts) == 1 else pd.concat(parts)
 
+def verdict_store(spark: SparkSession, path: str, key: T.StructField) -> BatchStore:
+    names = "ts TIMESTAMP, seq BIGINT, kw DOUBLE, anomaly_type STRING, avg_kw DOUBLE, ratio DOUBLE, predicted_kw DOUBLE, status STRING"
+    return BatchStore(spark, path, T.StructType([key, *T._parse_datatype_string(names).fields]))
 
-def micros(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy().astype("datetime64[us]").astype("int64")
 
+def verdict_writer(store: BatchStore, *, by: str = "bid") -> Callable[[DataFrame, int], None]:
+    return cycle_writer(lambda batch, batch_id: store.write(judge(batch, by=by), batch_id))
 
-def stream_readings(
-    stream: DataFrame,
-    *,
-    by: str = "bid",
-    watermark: str = WATERMARK,
-    keep: int = rolling.HISTORY_ROWS,
-    offline_hours: int = OFFLINE_HOURS,
-    digits: int = READING_DIGITS,
-) -> DataFrame:
-    """Each reading with its verdict and forecast, from the last ``keep`` readings held per building.
 
-    Readings that arrive in order give the batch results. A reading that is not newer than
-    the building's last one is passed over, as only the newest reading ever counted. A
-    building silent for ``offline_hours`` of event time gives one offline row without a
-    load, with the forecast from its old readings.
-    """
-    scale = 10**digits
-    schema = T.StructType([stream.schema[by], *_VERDICT])
-    pause_ms = offline_hours * 3_600_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, seqs, loads = map(list, state.get) if state.exists else ([], [], [])
-        if state.hasTimedOut:
-            ahead = _forecast(_units(loads[-rolling.FORECAST_ROWS :], scale), rolling.FORECAST_MIN, scale)
-            since = pd.Timestamp(times[-1] + pause_ms * 1000, unit="us", tz="UTC")
-            row = (*key, since, seqs[-1], None, None, None, None, ahead, "offline")
-            state.update((times, seqs, loads))  # told once; the next reading sets a new time-out
-            yield pd.DataFrame([row], columns=schema.names)
-            return
-        rows = one_frame(frames)
-        us, seq, kw = micros(rows["ts"]), rows["seq"].to_numpy(), rows["kw"].to_numpy(dtype="float64")
-        fresh = ~np.isnan(kw)
-        if times:
-            fresh &= (us > times[-1]) | ((us == times[-1]) & (seq > seqs[-1]))
-        order = np.lexsort((seq, us))
-        order = order[fresh[order]]
-        if not len(order):
-            return
-        us, seq, kw = us[order], seq[order], kw[order]
-        before = len(loads)
-        history = _units(np.concatenate([loads, kw]), scale)
-        verdicts = list(zip(*[_judge(history, before + i, scale) for i in range(len(kw))]))
-        times, seqs, loads = (
-            (old + new.tolist())[-keep:] for old, new in ((times, us), (seqs, seq), (loads, kw))
-        )
-        state.update((times, seqs, loads))
-        state.setTimeoutTimestamp(max(times[-1] // 1000 + pause_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {
-                by: key[0],
-                "ts": rows["ts"].to_numpy()[order],
-                "seq": seq,
-                "kw": kw,
-                "anomaly_type": pd.Series(verdicts[0], dtype=object),
-                "avg_kw": np.array(verdicts[1], dtype="float64"),
-                "ratio": np.array(verdicts[2], dtype="float64"),
-                "predicted_kw": np.array(verdicts[3], dtype="float64"),
-                "status": np.where(kw != 0, "online", "offline"),
-            }
-        )
+def replay_verdicts(stream: DataFrame, *, by: str = "bid", until: str = END, marks: str | None = None, **options) -> DataFrame:
+    """Verdicts over all that has landed, up to ``until`` on the watermark: the rows of ``judge``."""
+    spark = stream.sparkSession
+    clock, marks = Clock(spark), marks or scratch_path(spark, "verdict-marks")
+    store = verdict_store(spark, scratch_path(spark, "verdicts"), stream.schema[by])
+    released = ordered_readings(stream, clock, by=by, **options)
+    run_landed(released, verdict_writer(store, by=by), marks)
+    lateness = options.get("lateness", LATENESS)
+    end = spark.sql(f"select string(timestamp'{until}' + interval '{lateness}' + interval 1 second)").first()[0] if until != END else END
+    clock.strike(end)
+    run_landed(released, verdict_writer(store, by=by), marks)
+    return store.read()
 
-    return (
-        stream.select(by, "ts", "seq", "kw")
-        .withWatermark("ts", watermark)
-        .groupBy(by)
-        .applyInPandasWithState(step, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+
+def start_verdicts(stream: DataFrame, clock: Clock, store: BatchStore, *, marks: str, by: str = "bid", every: str = "15 minutes", **options) -> StreamingQuery:
+    """The live job. ``clock.strike`` once a cycle finds buildings that fell silent."""
+    released = ordered_readings(stream, clock, by=by, **options)
+    with rocks(stream.sparkSession):
+        writer = released.writeStream.option("checkpointLocation", marks).foreachBatch(verdict_writer(store, by=by))
+        return writer.trigger(processingTime=every).start()
+
+
+def held_history(spark: SparkSession, marks: str, *, by: str = "bid") -> DataFrame:
+    """(by, ts, seq, kw): the last readings per building as the state of a verdict job holds them."""
+    reader = spark.read.format("statestore").option("stateVarName", "past").option("flattenCollectionTypes", True)
+    rows = reader.load(marks)
+    value = rows.select("key.key", "list_element.*")
+    return value.select(F.col("key").alias(by), F.timestamp_micros("us").alias("ts"), "seq", "kw")
+
+
+# --- day totals -----------------------------------------------------------------------
 
 
-def stream_day_totals(stream: DataFrame, *, by: str = "bid", watermark: str = WATERMARK) -> DataFrame:
-    """Running day figures per building over the loads that count."""
+def day_parts(readings: DataFrame, *, by: str = "bid") -> DataFrame:
+    """Mergeable day figures over the loads that count: the mean as sums of exact parts."""
     kw = F.col("kw")
     loaded = truthy(kw)
-    return (
-        stream.withWatermark("ts", watermark)
-        .groupBy(F.window("ts", "1 day").alias("w"), by)
-        .agg(
-            F.count(F.when(loaded, kw)).alias("readings"),
-            exact_mean("kw", "kw <> 0").alias("avg_kw"),
-            F.max(F.when(loaded, kw)).alias("peak_kw"),
-            F.min(F.when(loaded, kw)).alias("min_kw"),
-        )
-        .select(F.col("w.start").alias("day_start"), by, "readings", half_even("avg_kw", 1).alias("avg_kw"), "peak_kw", "min_kw")
+    sums = [F.expr(f"coalesce(sum({part}) filter (where kw <> 0), 0L)").alias(f"sum{i}") for i, part in enumerate(exact_parts("kw"))]
+    return readings.where("ts is not null").groupBy(F.date_trunc("day", "ts").alias("day_start"), by).agg(
+        F.count(F.when(loaded, kw)).alias("readings"), *sums, F.max(F.when(loaded, kw)).alias("peak_kw"), F.min(F.when(loaded, kw)).alias("min_kw")
     )
 
 
+def merge_days(parts: DataFrame, *, by: str = "bid") -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("readings", "sum0", "sum1", "sum2")]
+    return parts.groupBy("day_start", by).agg(*sums, F.max("peak_kw").alias("peak_kw"), F.min("min_kw").alias("min_kw"))
+
+
+def day_totals(parts: DataFrame, *, by: str = "bid") -> DataFrame:
+    """Day figures per building from parts of any number of micro-batches."""
+    mean = F.expr(f"{join_parts('sum0', 'sum1', 'sum2')} / nullif(readings, 0)")
+    days = merge_days(parts, by=by).withColumn("avg_kw", mean)
+    return days.select("day_start", by, "readings", half_even("avg_kw", 1).alias("avg_kw"), "peak_kw", "min_kw")
+
+
+def replay_parts(stream: DataFrame, parts: Callable[[DataFrame], DataFrame], *, marks: str | None = None, store: BatchStore | None = None) -> BatchStore:
+    """Partial aggregates of each micro-batch over all that has landed. No state, no watermark: a backlog of any age counts."""
+    spark = stream.sparkSession
+    if store is None:
+        empty = parts(spark.createDataFrame([], stream.schema))
+        store = BatchStore(spark, scratch_path(spark, "parts"), empty.schema)
+    run_landed(stream, lambda batch, batch_id: store.write(parts(batch), batch_id), marks or scratch_path(spark, "parts-marks"))
+    return store
+
+
 def cycle_writer(run: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: one campus cycle per micro-batch, on the batch operators.
 
@@ -210,29 +192,3 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     )
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
-
-
-def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Runs an update stream over all that has landed; the last state of each key counts."""
-    spark = stream.sparkSession
-    out, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-marks")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    job = (
-        stream.writeStream.outputMode("update")
-        .option("checkpointLocation", marks)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    job.awaitTermination()
-    rest = [c for c in stream.columns if c not in keys]
-    written = spark.read.option("basePath", out).parquet(out)
-    return (
-        written.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
-        .select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
-        .select(*stream.columns)
-    )

@@ -1,27 +1,32 @@
-"""Votes as a stream: sliding tallies and the pause between votes."""
+"""Votes as a stream: sliding tallies and the pause between votes, whatever the micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wattfold.operators.votes import PAUSE_MINUTES, VOTE_HOURS, _counted, vote_tally
-from wattfold.streaming.readings import WATERMARK, micros, one_frame
+from wattfold.operators.votes import PAUSE_MINUTES, VOTE_HOURS, comfort_status, counted, vote_tally
+from wattfold.session import scratch_path
+from wattfold.streaming.ordered import Clock, Pauses, in_order, run_landed
+from wattfold.streaming.commits import BatchStore
+from wattfold.streaming.readings import END, LATENESS, cycle_writer
+
+_COUNTS = ("hot", "ok", "cold", "total")
 
 
-def stream_tally(
-    votes: DataFrame, *, hours: int = VOTE_HOURS, slide: str = "15 minutes", watermark: str = WATERMARK
-) -> DataFrame:
-    """Tally per building over the last ``hours``, renewed every ``slide``."""
+def slot_parts(votes: DataFrame, *, hours: int = VOTE_HOURS, slide: str = "15 minutes") -> DataFrame:
+    """Mergeable counts per building and slot of ``hours``, a slot every ``slide``."""
     slot = F.window("ts", f"{hours} hours", slide).alias("w")
-    tally = vote_tally(votes.withWatermark("ts", watermark), by=[slot, "building"])
-    return tally.select(F.col("w.start").alias("slot"), "building", "hot", "ok", "cold", "total", "status")
+    return vote_tally(votes.where("ts is not null"), by=[slot, "building"]).select(F.col("w.start").alias("slot"), "building", *_COUNTS)
+
+
+def merge_slots(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("slot", "building").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def slot_tally(parts: DataFrame) -> DataFrame:
+    """Tally per building and slot from the parts of any number of micro-batches."""
+    return merge_slots(parts).withColumn("status", comfort_status(F.col("hot"), F.col("ok"), F.col("cold")))
 
 
 def drop_repeats(votes: DataFrame, *, by: str = "voter", minutes: float = PAUSE_MINUTES) -> DataFrame:
@@ -29,38 +34,20 @@ def drop_repeats(votes: DataFrame, *, by: str = "voter", minutes: float = PAUSE_
     return votes.withWatermark("ts", f"{int(minutes * 60)} seconds").dropDuplicatesWithinWatermark([by])
 
 
-def stream_cooldown(
-    votes: DataFrame, *, by: str = "voter", minutes: float = PAUSE_MINUTES, watermark: str = WATERMARK
-) -> DataFrame:
-    """Each vote with ``accepted``. Holds one time per voter, dropped once no vote can fall
-    into the pause any more. Equal to the batch operator for votes that arrive in order."""
-    pause = int(minutes * 60 * 1_000_000)
-    schema = T.StructType(
-        [votes.schema[by], T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()),
-         T.StructField("accepted", T.BooleanType())]
-    )
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = one_frame(frames)
-        us, seq = micros(rows["ts"]), rows["seq"].to_numpy()
-        order = np.lexsort((seq, us))
-        times = us[order]
-        free = state.get[0] if state.exists else np.iinfo(np.int64).min
-        marks = _counted(times, pause, free)
-        if marks.any():
-            free = int(times[marks][-1]) + pause
-            state.update((free,))
-            state.setTimeoutTimestamp(max(free // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.setTimeoutTimestamp(max(free // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({by: key[0], "ts": rows["ts"].to_numpy()[order], "seq": seq[order], "accepted": marks})
-
-    return (
-        votes.select(by, "ts", "seq")
-        .withWatermark("ts", watermark)
-        .groupBy(by)
-        .applyInPandasWithState(step, schema, "free BIGINT", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+def ordered_pauses(votes: DataFrame, clock: Clock, *, by: str = "voter", minutes: float = PAUSE_MINUTES, lateness: str = LATENESS) -> DataFrame:
+    """(by, ts, seq, accepted) in order of time: the batch operator's answer for votes that come in any order."""
+    queue = Pauses(int(minutes * 60 * 1_000_000), counted)
+    return in_order(votes, queue, "us BIGINT, seq BIGINT, accepted BOOLEAN", by=by, lateness=lateness, clock=clock)
+
+
+def replay_cooldown(votes: DataFrame, *, by: str = "voter", **options) -> DataFrame:
+    """``ordered_pauses`` over all that has landed."""
+    spark = votes.sparkSession
+    clock, marks = Clock(spark), scratch_path(spark, "pause-marks")
+    marked = ordered_pauses(votes, clock, by=by, **options)
+    store = BatchStore(spark, scratch_path(spark, "pauses"), marked.schema)
+    write = cycle_writer(store.write)
+    run_landed(marked, write, marks)
+    clock.strike(END)
+    run_landed(marked, write, marks)
+    return store.read()
