@@ -111,6 +111,23 @@ def test_missing_error_column_keeps_rows(spark):
     assert clean.drop_error_rows(spark.range(3).toDF("kw")).count() == 3
 
 
+def test_one_file_is_read_by_several_tasks(spark, tmp_path):
+    head, n = [TIME, "error", "kW"], 5000
+    rows = [[f"2024-07-01 {i // 3600 % 24:02d}:{i // 60 % 60:02d}:{i % 60:02d}", "0", str(i)] for i in range(n)]
+    (tmp_path / "A_1.csv").write_text("\n" + tsv(head, *rows).replace("\n", "\n\n"))  # empty lines do not count
+    (tmp_path / "B_1.csv").write_text("\n".join(["one", "two", "<HTML>"] + ["x"] * 5000))
+    whole = sorted((r["line"], r["cells"]["kW"]) for r in exports.read_export(spark, str(tmp_path)).collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = exports._lines(spark, str(tmp_path))
+        assert lines.filter("mac = 'A'").select("block").distinct().count() > 5 and lines.rdd.getNumPartitions() > 5
+        cut = sorted((r["line"], r["cells"]["kW"]) for r in exports.read_export(spark, str(tmp_path)).collect())
+        assert [r["mac"] for r in exports.rejected_payloads(spark, str(tmp_path)).collect()] == ["B"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert cut == whole == [(i, str(i)) for i in range(n)]
+
+
 # --- JSON stores ----------------------------------------------------------------------
 
 

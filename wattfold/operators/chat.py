@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattfold.operators.hotkeys import HOT_ROWS, first_rows
+from wattfold.operators.hotkeys import first_rows
 
 # Marker pattern, Hangul range, length limits, default answer.
 MARKER = r"(?i)<{1,2}\s*(ZOOM|FILTER|RESET|TREND)\s*(?::\s*([^<>\n]+?))?\s*>{1,2}"
 HANGUL = r"[가-힯]"
 QUESTION_CHARS, CONTEXT_CHARS, TURN_CHARS, HISTORY_TURNS = 2000, 6000, 1200, 8
-NO_REPLY = "The model did not return text. Please rephrase."
+NO_REPLY = "No answer came back; ask again in other words."
 _BLANKS = r"^\s+|\s+$"
 
 
@@ -74,10 +74,9 @@ def chat_history(
     order: str = "turn",
     n: int = HISTORY_TURNS,
     chars: int = TURN_CHARS,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Last n turns per conversation; of those the non-empty user and assistant turns, clipped."""
-    last = first_rows(turns, by=[by], order=[F.desc(order)], n=n, ts=order, hot_rows=hot_rows).drop("_rank")
+    last = first_rows(turns, by=[by], order=[F.desc(order)], n=n).drop("_rank")
     return last.filter(F.col("role").isin("user", "assistant") & (F.coalesce("text", F.lit("")) != "")).withColumn(
         "text", F.substring("text", 1, chars)
     )

@@ -42,9 +42,12 @@ def any_measure_present(df: DataFrame, measures: Sequence[str]) -> DataFrame:
     return df.filter(F.coalesce(*[F.col(m) for m in measures]).isNotNull())
 
 
+Dialect = Mapping[str, str]
+
+
 def normalize(
     df: DataFrame,
-    dialect: Mapping[str, str],
+    dialect: Dialect | Sequence[tuple[Column, Dialect]],
     keep: Sequence[Column | str],
     measures: Sequence[str],
     *,
@@ -52,18 +55,22 @@ def normalize(
 ) -> DataFrame:
     """Source headers to canonical measures; a measure the dialect or file lacks is null.
 
-    Sources are columns, or entries of the map column ``cells``.
+    Sources are columns, or entries of the map column ``cells``. Several dialects come as (condition, dialect), the
+    first condition that holds decides; the rows are read once.
     """
     have = set(df.columns)
+    choices = [(None, dialect)] if isinstance(dialect, Mapping) else list(dialect)
+
+    def source(header: str | None) -> Column:
+        if header is not None and cells is not None:
+            return F.try_element_at(cells, F.lit(header))
+        return F.col(f"`{header}`") if header in have else F.lit(None).cast("string")
 
     def measure(name: str) -> Column:
-        source = dialect.get(name)
-        if source is not None and cells is not None:
-            text = F.try_element_at(cells, F.lit(source))
-        elif source in have:
-            text = F.col(f"`{source}`")
-        else:
-            text = F.lit(None).cast("string")
+        text = F.lit(None).cast("string")
+        for condition, names in reversed(choices):
+            found = source(names.get(name))
+            text = found if condition is None else F.when(condition, found).otherwise(text)
         return text.alias(name)
 
     return safe_float(df.select(*keep, *[measure(m) for m in measures]), measures)

@@ -127,12 +127,9 @@ def last_n(
     order: Keys = ORDER,
     n: int = HISTORY_ROWS,
     value: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Latest n rows per key; with ``value``, nulls of it are dropped after the cut."""
-    rows = first_rows(
-        readings, by=by, order=[F.desc(c) for c in order], n=n, ts=order[0], hot_rows=hot_rows
-    ).drop("_rank")
+    rows = first_rows(readings, by=by, order=[F.desc(c) for c in order], n=n).drop("_rank")
     return rows if value is None else rows.filter(F.col(value).isNotNull())
 
 
@@ -142,10 +139,9 @@ def sparkline(
     by: Keys = BY,
     order: Keys = ORDER,
     n: int = SPARK_ROWS,
-    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Last n loads per key as an array, oldest first (n bounds the array)."""
-    rows = last_n(readings.filter(F.col("kw").isNotNull()), by=by, order=order, n=n, hot_rows=hot_rows)
+    rows = last_n(readings.filter(F.col("kw").isNotNull()), by=by, order=order, n=n)
     points = F.array_sort(F.collect_list(F.struct(*order, "kw")))
     return rows.groupBy(*by).agg(F.transform(points, lambda p: p["kw"]).alias("sparkline"))
 

@@ -38,7 +38,7 @@ def extend_history(history: DataFrame, current: DataFrame, *, now: str, keep: in
     stamp = F.lit(now).cast(history.schema["ts"].dataType)
     nxt = history.select(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("seq")).scalar()
     fresh = current.filter(F.col("kw").isNotNull()).select("bid", stamp.alias("ts"), nxt.cast("bigint").alias("seq"), "kw")
-    return rolling.last_n(history.select("bid", "ts", "seq", "kw").unionByName(fresh), order=["ts", "seq"], n=keep, hot_rows=None)
+    return rolling.last_n(history.select("bid", "ts", "seq", "kw").unionByName(fresh), order=["ts", "seq"], n=keep)
 
 
 def judge_history(history: DataFrame) -> DataFrame:
@@ -111,14 +111,14 @@ def run_cycle(
 ) -> None:
     """One cycle with its writes below ``out``. A repeated cycle writes the same again.
 
-    Histories are versioned by cycle, as a table cannot be overwritten while it is read.
+    Histories are versioned by cycle, as a table cannot be overwritten while it is read; a cycle goes on from the newest
+    one before it, also when cycles were left out. Snapshots of more than a page go to a sharded document.
     """
-    try:
-        history = spark.read.parquet(f"{out}/history/cycle={cycle - 1}")
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
+    before = _latest_cycle(spark, f"{out}/history", cycle)
+    if before is None:
         history = spark.createDataFrame([], "bid string, ts timestamp_ntz, seq bigint, kw double")
+    else:
+        history = spark.read.parquet(f"{out}/history/cycle={before}")
     result = campus_cycle(registry, loads, history, now=now)
     sinks.write_rows(result.history, f"{out}/history/cycle={cycle}")
     sinks.write_rows(result.snapshot, f"{out}/snapshot/cycle={cycle}")
@@ -130,8 +130,27 @@ def run_cycle(
     sinks.write_rows(loads_now, f"{out}/readings/date={day}/cycle={cycle}")
     campus = header.select(stamp.alias("ts"), "total_kw", F.col("buildings_online").alias("online"))
     sinks.write_rows(campus, f"{out}/campus/date={day}/cycle={cycle}")
-    if document:
+    days = F.array(*[F.lit(d) for d in sinks.stored_days(spark, f"{out}/campus")])
+    sinks.write_document(spark.range(1).select(days.alias("days"), F.lit(now).alias("updated")), f"{out}/index")
+    if document and snapshot.count() <= sinks.DOCUMENT_ENTRIES:
         sinks.write_document(snapshot_document(snapshot, header), f"{out}/campus_energy")
+    elif document:
+        fields = F.struct(*[c for c in snapshot.columns if c != "bid"])
+        sinks.write_sharded(snapshot, f"{out}/campus_energy_shards", key="bid", value=fields, header=header)
+
+
+def _latest_cycle(spark: SparkSession, path: str, cycle: int) -> int | None:
+    """The newest finished cycle before ``cycle``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    finished = []
+    for status in files.listStatus(at):
+        folder = status.getPath()
+        if folder.getName().startswith("cycle=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            finished.append(int(folder.getName().removeprefix("cycle=")))
+    return max((c for c in finished if c < cycle), default=None)
 
 
 # --- weekly report --------------------------------------------------------------------
@@ -314,14 +333,17 @@ def interior_document(
     fields = [c for c in interior.meters.columns if c not in ("meter", "ord")]
     meters = sinks.as_map(interior.meters, "meter", F.struct(*fields), "m", order=F.col("ord"))
     about = F.create_map(*[F.lit(x) for pair in building.items() for x in pair])
-    flow = F.struct(F.lit("offline").alias("status"))
-    if water is not None:
-        flow = water.drop("meter").select(F.max(F.struct("*"))).scalar()  # a building has one water export
+    flow, flows = F.struct(F.lit("offline").alias("status")), []
+    if water is not None:  # the first meter in the usual place, all of them beside it
+        row = F.struct(*[c for c in water.columns if c != "meter"])
+        flow = water.agg(F.min_by(row, "meter")).scalar()
+        flows = [sinks.as_map(water, "meter", row, "m").scalar().alias("water_meters")]
     return interior.summary.select(
         about.alias("building"),
         F.lit(generated_at).alias("generated_at"),
         F.lit(CYCLE_MINUTES).alias("update_interval_min"),
         meters.scalar().alias("meters"),
         flow.alias("water"),
+        *flows,
         F.struct(*interior.summary.columns).alias("summary"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattfold.plans.queries import DAY, FLOOR_SHARES, MONTH_END, NOON, PART_NAMES, SUNDAY
+from wattfold.plans.queries import DAY, FLOOR_SHARES, MONTH_END, NOON, PART_NAMES, RANGE, REGISTERED, SILENT_HOURS, STREAM_KEEP, SUNDAY
 from wattfold.sources.tables import METERS, VOTES
 
 ORACLE: dict[str, str] = {}
@@ -484,7 +484,7 @@ SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'ko' WHEN turn > 2 THEN 'fr
 ORACLE["chat_actions"] = f"WITH {ACTIONS} SELECT * FROM va"
 ORACLE["chat_clean"] = f"""
 WITH {REPLIES} SELECT conv_id, turn, coalesce(nullif(regexp_replace(regexp_replace(text, '{MARK}', '', 'g'), '^\\s+|\\s+$', '', 'g'), ''),
-  'The model did not return text. Please rephrase.') AS answer FROM re"""
+  'No answer came back; ask again in other words.') AS answer FROM re"""
 ORACLE["action_whitelist"] = f"""
 WITH {ACTIONS} SELECT * FROM va WHERE type = 'reset'
   OR (type = 'zoom' AND arg IN (SELECT n_name FROM nation WHERE n_regionkey <> 1))
@@ -512,6 +512,43 @@ ORACLE["stream_vote_tally"] = f"""
 WITH {VOTE}, vs AS (SELECT building, vote, strftime(time_bucket(INTERVAL '15 minutes', ts) - INTERVAL '15 minutes' * k, '%Y-%m-%d %H:%M') AS slot
   FROM v, (SELECT unnest(range(8)) AS k)) SELECT * FROM {tally('slot, building', 'vs')}"""
 ORACLE["stream_cooldown"] = ORACLE["vote_cooldown"]
+ORACLE["vote_cooldown_cut"] = ORACLE["vote_cooldown"]
+ORACLE["stream_history"] = f"""
+WITH {READ} SELECT bid, seq, kw FROM r WHERE kw IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY bid ORDER BY ts DESC, seq DESC) <= {STREAM_KEEP}"""
+ORACLE["stream_silent"] = f"""
+WITH {READ}, y AS ({ORACLE["wma_forecast"]}),
+e AS (SELECT bid, ts, seq FROM r WHERE kw IS NOT NULL AND ts <= TIMESTAMP '{MONTH_END}'
+  UNION ALL SELECT c_custkey, TIMESTAMP '{REGISTERED}', NULL FROM customer),
+n AS (SELECT *, lead(ts) OVER (PARTITION BY bid ORDER BY ts, seq NULLS FIRST) AS next FROM e)
+SELECT n.bid, strftime(ts + INTERVAL {SILENT_HOURS} HOURS, '%Y-%m-%d %H:%M:%S') AS offline_at, n.seq, predicted_kw
+FROM n LEFT JOIN y ON n.seq = y.seq
+WHERE ts + INTERVAL {SILENT_HOURS} HOURS <= TIMESTAMP '{MONTH_END}' AND coalesce(next > ts + INTERVAL {SILENT_HOURS} HOURS, true)"""
+ORACLE["buildings_by_votes"] = f"""
+WITH {VOTE} SELECT row_number() OVER (ORDER BY total DESC, building) AS rank, building, total, status FROM {tally('building')}"""
+ORACLE["rank_by_average"] = f"""
+SELECT bid, avg_kw, est_weekly_kwh, row_number() OVER (ORDER BY avg_kw DESC, bid) AS rank FROM (
+  WITH {READ}, g AS (SELECT bid, {average('kw')} AS av FROM r WHERE kw > 0 GROUP BY 1), e AS (SELECT *, av * 24e0 * 7e0 AS k FROM g)
+  SELECT bid, {even('av', 1)} AS avg_kw, {even('k')} AS est_weekly_kwh FROM e)"""
+ORACLE["day_order"] = f"""
+SELECT date, avg_kw, est_kwh, row_number() OVER (ORDER BY date) AS position FROM ({daily(CYCLES)})"""
+ORACLE["daily_store"] = f"""
+WITH {READ} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, bid, seq, CASE WHEN CAST(ts AS DATE) = DATE '{DAY}' THEN kw * 2e0 ELSE kw END AS kw
+FROM r WHERE CAST(ts AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"""
+ORACLE["snapshot_quarantine"] = f"""
+WITH {READ}, h AS (SELECT date_trunc('hour', ts) AS hour, count(DISTINCT bid) AS n FROM r GROUP BY 1),
+k AS (SELECT *, hour(hour) + 24 * day(hour) AS number FROM h),
+p AS (SELECT *, CASE WHEN number % 5 = 0 THEN 'unreadable' WHEN number % 7 = 0 THEN 'no buildings'
+  WHEN number % 11 = 0 THEN 'no time' END AS problem FROM k)
+SELECT strftime(hour, '%Y-%m-%d-%H') AS snap, problem, CASE WHEN problem IS NULL THEN CAST(n AS INTEGER) END AS buildings FROM p"""
+ORACLE["sharded_document"] = f"WITH {CUR} SELECT CAST(bid AS VARCHAR) AS bid, kw, meter FROM cur"
+GAPPY = """r AS (SELECT CASE WHEN user_id <> 3 THEN user_id END AS bid, CASE WHEN user_id = 5 THEN date_trunc('day', ts)
+  WHEN event_id % 50 <> 0 THEN ts END AS ts, value AS kw, event_type AS meter, event_id AS seq FROM events)"""
+_READ_ORDER, _NULL_ORDER = "PARTITION BY bid ORDER BY ts, seq", "PARTITION BY bid ORDER BY ts NULLS FIRST, seq"
+ORACLE["position_hot_cut"] = f"WITH {GAPPY} SELECT bid, seq, row_number() OVER ({_NULL_ORDER}) AS position FROM r"
+ORACLE["anomaly_hot_cut"] = f"""
+WITH x AS ({ORACLE["anomaly_rolling"]}), y AS ({ORACLE["wma_forecast"]})
+SELECT x.bid, x.seq, anomaly_type, avg_kw, ratio, predicted_kw FROM x JOIN y USING (seq)""".replace(READ, GAPPY).replace(_READ_ORDER, _NULL_ORDER)
 
 
 def _dates_as_text(name: str, *cols: str) -> None:
@@ -529,5 +566,6 @@ for _name, _dates in {
     "report_week_offset": ["report_date"],
     "week_over_week": ["week"],
     "floor_allocation": ["date"],
+    "day_order": ["date"],
 }.items():
     _dates_as_text(_name, *_dates)

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from wattfold.functions import energy, names
 from wattfold.functions.clock import clock_label
 from wattfold.operators import baselines as base
+from wattfold.session import scratch_path
 from wattfold.operators import chat, clean, dimensions, hotkeys, latest, rolling, rollups, votes
-from wattfold.sources import tables
+from wattfold.sources import archives, sinks, tables
 from wattfold.streaming import readings as streams
 from wattfold.streaming import votes as vote_streams
 from wattfold.sources.exports import KW_HEADERS, MAIN_METER_HEADERS, PANEL_HEADERS
@@ -25,6 +26,14 @@ DAY = "2024-01-15"
 NOON = "2024-01-15 12:00:00"
 MONTH_END = "2024-01-31 00:00:00"
 SUNDAY = "1998-10-04"
+#: From when on registered buildings are expected to report, and the silence that is told.
+REGISTERED, SILENT_HOURS = "2023-12-31 12:00:00", 48
+#: Rows of a key from which on the cut plans work in segments, and the history that a stream holds.
+CUT_ROWS, STREAM_KEEP = 40, 24
+#: Days read from the daily store, and entries per shard of a document.
+RANGE, SHARD_ENTRIES = ("2024-01-14", "2024-01-20"), 40
+#: Parts of the time in the order in which they land: not the order of time.
+QUARTERS, HALVES = (1, 0, 3, 2), (1, 0)
 PART_NAMES = {
     "red widget": "Red W",
     "blue bolt": "Bolt B",
@@ -103,9 +112,8 @@ def meter_normalize(spark, sf):
         _text(F.col("kw") * 1e6).alias(PANEL_HEADERS["thd_v1"]),
     )
     measures = ["kw", "frequency", "thd_v1"]
-    main = clean.normalize(raw.filter("meter = '3'"), MAIN_METER_HEADERS, ["seq", "meter"], measures)
-    panel = clean.normalize(raw.filter("meter <> '3'"), PANEL_HEADERS, ["seq", "meter"], measures)
-    return main.unionByName(panel)
+    dialects = [(F.col("meter") == "3", MAIN_METER_HEADERS), (F.lit(True), PANEL_HEADERS)]
+    return clean.normalize(raw, dialects, ["seq", "meter"], measures)
 
 
 @query
@@ -657,6 +665,105 @@ def chat_clip(spark, sf):
     return chat.chat_clip(rows)
 
 
+# --- rankings -------------------------------------------------------------------------
+
+
+@query
+def buildings_by_votes(spark, sf):
+    return votes.rank_by_votes(votes.vote_tally(tables.votes(spark, sf))).select("rank", "building", "total", "status")
+
+
+@query
+def rank_by_average(spark, sf):
+    rows = rollups.building_weekly(tables.readings(spark, sf)).select("bid", "avg_kw", "est_weekly_kwh")
+    return hotkeys.global_rank(rows, order=[F.desc("avg_kw"), F.col("bid")])
+
+
+@query
+def day_order(spark, sf):
+    days = rollups.daily_summary(_cycles(spark, sf), seq=["seq"]).select("date", "avg_kw", "est_kwh")
+    return hotkeys.global_rank(days, order=[F.col("date")], name="position")
+
+
+# --- stores, written and read back ----------------------------------------------------
+
+
+@query
+def daily_store(spark, sf):
+    """The daily store written, one of its days written again with doubled loads, a range of days read."""
+    path = scratch_path(spark, "days")
+    rows = tables.readings(spark, sf)
+    sinks.write_days(rows, path)
+    again = rows.filter(F.to_date("ts") == F.lit(DAY).cast("date")).withColumn("kw", F.col("kw") * 2)
+    sinks.write_days(again, path)
+    return sinks.read_days(spark, path, start=RANGE[0], end=RANGE[1]).select("date", "bid", "seq", "kw")
+
+
+def _snapshot_files(spark, sf):
+    """A snapshot document per hour of readings, in a file of its own; some cut short, some without buildings or time."""
+    rows = tables.readings(spark, sf)
+    hours = latest.latest(rows.withColumn("hour", F.date_trunc("hour", "ts")), by=["hour", "bid"])
+    building = F.struct(F.col("bid").cast("string").alias("k"), F.struct("kw").alias("v"))
+    docs = hours.filter("hour is not null").groupBy("hour").agg(F.map_from_entries(F.array_sort(F.collect_list(building))).alias("buildings"))
+    number = F.hour("hour") + 24 * F.day("hour")
+    docs = docs.withColumns({
+        "generated_at": F.when(number % 11 != 0, F.date_format("hour", "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        "buildings": F.when(number % 7 != 0, F.col("buildings")),
+    })
+    text = F.to_json(F.struct("generated_at", "buildings"))
+    cut = F.when(F.col("number") % 5 == 0, F.expr("substr(value, 1, length(value) div 2)")).otherwise(F.col("value"))
+    named = docs.select(F.date_format("hour", "yyyy-MM-dd-HH").alias("snap"), number.alias("number"), text.alias("value"))
+    path = scratch_path(spark, "snapshots")
+    named.withColumn("value", cut).select("snap", "value").write.partitionBy("snap").text(path)
+    return path
+
+
+@query
+def snapshot_quarantine(spark, sf):
+    """What became of every snapshot file, and how many buildings the good ones hold."""
+    docs = archives.checked_snapshots(spark, _snapshot_files(spark, sf), glob=None)
+    snap = F.regexp_extract("path", "snap=([^/]+)", 1)
+    return docs.select(snap.alias("snap"), "problem", F.when(F.col("problem").isNull(), F.size("buildings")).alias("buildings"))
+
+
+@query
+def sharded_document(spark, sf):
+    """Latest loads as a document of many shards, written and read back."""
+    path = scratch_path(spark, "document")
+    rows = _current(spark, sf).select(F.col("bid").cast("string").alias("bid"), "kw", "meter")
+    sinks.write_sharded(rows, path, key="bid", value=F.struct("kw", "meter"), entries=SHARD_ENTRIES)
+    return sinks.read_sharded(spark, path, "STRUCT<kw DOUBLE, meter STRING>").select("bid", "v.*")
+
+
+# --- hot keys: the cut plans, on keys and times with nulls ------------------------------
+
+
+def _gappy(spark, sf):
+    """Readings of which some have no building and some no time, and a building with a burst in one second."""
+    return tables.readings(spark, sf).select(
+        F.when(F.col("bid") != 3, F.col("bid")).alias("bid"),
+        F.when(F.col("bid") == 5, F.date_trunc("day", "ts")).when(F.col("seq") % 50 != 0, F.col("ts")).alias("ts"),
+        "kw", "meter", "seq",
+    )
+
+
+@query
+def anomaly_hot_cut(spark, sf):
+    rows = rolling.rolling_anomaly(_gappy(spark, sf), hot_rows=CUT_ROWS)
+    return rolling.wma_forecast(rows, hot_rows=CUT_ROWS).select("bid", "seq", "anomaly_type", "avg_kw", "ratio", "predicted_kw")
+
+
+@query
+def position_hot_cut(spark, sf):
+    rows = _gappy(spark, sf).select("bid", "ts", "seq")
+    return hotkeys.row_position(rows, by=["bid"], order=["ts", "seq"], hot_rows=CUT_ROWS).select("bid", "seq", "position")
+
+
+@query
+def vote_cooldown_cut(spark, sf):
+    return votes.cooldown(tables.votes(spark, sf), minutes=600, hot_rows=CUT_ROWS).select("voter", "seq", "accepted")
+
+
 # --- streams, run over all that has landed --------------------------------------------
 
 
@@ -668,35 +775,63 @@ def _event_stream(spark, sf):
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _reading_stream(spark, sf):
-    return _event_stream(spark, sf).select(
-        F.col("user_id").alias("bid"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("kw")
-    )
+def _landed(spark, sf, landing=HALVES):
+    """The events as a stream of files that land out of order, one per micro-batch, and how late that makes their rows."""
+    events = tables.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    width = ((last or 0) - (first or 0)) // len(landing) + 1
+    chunk = F.coalesce(F.floor((F.unix_micros("ts") - (first or 0)) / width), F.lit(0))
+    path = scratch_path(spark, "landed")
+    for at in landing:
+        events.where(chunk == at).write.mode("append").parquet(path)
+    return streams.read_stream(spark, path, events.schema, files_per_trigger=1), f"{2 * width // 1_000_000 + 1} seconds"
 
 
-def _vote_stream(spark, sf):
-    return tables.as_votes(_event_stream(spark, sf))
+def _landed_readings(spark, sf, landing=HALVES):
+    stream, lateness = _landed(spark, sf, landing)
+    rows = stream.select(F.col("user_id").alias("bid"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("kw"))
+    return rows, lateness
 
 
 @query
 def stream_verdicts(spark, sf):
-    out = streams.run_append(streams.stream_readings(_reading_stream(spark, sf)), "verdicts")
+    rows, lateness = _landed_readings(spark, sf, QUARTERS)
+    out = streams.replay_verdicts(rows, lateness=lateness)
     return out.filter(F.col("kw").isNotNull()).select("bid", "seq", "kw", "anomaly_type", "avg_kw", "ratio", "predicted_kw")
 
 
+@query
+def stream_silent(spark, sf):
+    """Every silence of two days up to the end of the month, of registered buildings that never report as well."""
+    rows, lateness = _landed_readings(spark, sf)
+    registry = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("bid"), F.lit(REGISTERED).alias("ts"))
+    out = streams.replay_verdicts(rows, lateness=lateness, until=MONTH_END, offline_hours=SILENT_HOURS, registry=registry)
+    return out.filter("kw is null").select("bid", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("offline_at"), "seq", "predicted_kw")
+
+
+@query
+def stream_history(spark, sf):
+    """The last readings per building, read from the state of the stream."""
+    rows, lateness = _landed_readings(spark, sf)
+    marks = scratch_path(spark, "history-marks")
+    streams.replay_verdicts(rows, lateness=lateness, keep=STREAM_KEEP, marks=marks)
+    return streams.held_history(spark, marks).select("bid", "seq", "kw")
+
+
 @query
 def stream_day_totals(spark, sf):
-    out = streams.run_update(streams.stream_day_totals(_reading_stream(spark, sf)), "days", ["day_start", "bid"])
-    return out.withColumn("day_start", F.date_format("day_start", "yyyy-MM-dd"))
+    parts = streams.replay_parts(_landed_readings(spark, sf)[0], streams.day_parts).read()
+    return streams.day_totals(parts).withColumn("day_start", F.date_format("day_start", "yyyy-MM-dd"))
 
 
 @query
 def stream_vote_tally(spark, sf):
-    out = streams.run_update(vote_streams.stream_tally(_vote_stream(spark, sf)), "tally", ["slot", "building"])
-    return out.withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm"))
+    parts = streams.replay_parts(tables.as_votes(_landed(spark, sf)[0]), vote_streams.slot_parts).read()
+    return vote_streams.slot_tally(parts).withColumn("slot", F.date_format("slot", "yyyy-MM-dd HH:mm"))
 
 
 @query
 def stream_cooldown(spark, sf):
-    out = streams.run_append(vote_streams.stream_cooldown(_vote_stream(spark, sf), minutes=600), "cooldown")
+    stream, lateness = _landed(spark, sf)
+    out = vote_streams.replay_cooldown(tables.as_votes(stream), minutes=600, lateness=lateness)
     return out.select("voter", "seq", "accepted")

@@ -40,13 +40,14 @@ REPORT_SCHEMA = """generated_at STRING,
 STAT_TYPE = "STRUCT<current DOUBLE, min DOUBLE, max DOUBLE, avg DOUBLE, count BIGINT, peak_time STRING>"
 _POWER = ", ".join(f"{m} DOUBLE" for m in POWER_MEASURES)
 _WATER = ", ".join(f"{m} DOUBLE" for m in WATER_MEASURES)
+_FLOW = f"""STRUCT<status STRING, latest STRUCT<timestamp STRING, {_WATER}>,
+        stats_today STRUCT<water_rate {STAT_TYPE}, steam_rate {STAT_TYPE}>,
+        timeseries_water ARRAY<STRUCT<t STRING, v DOUBLE>>>"""
 INTERIOR_SCHEMA = f"""generated_at STRING, building MAP<STRING, STRING>,
     meters MAP<STRING, STRUCT<name STRING, voltage STRING, status STRING, latest STRUCT<timestamp STRING, {_POWER}>,
         stats_today STRUCT<kw {STAT_TYPE}, power_factor {STAT_TYPE}, current {STAT_TYPE}>,
         timeseries_kw ARRAY<STRUCT<t STRING, v DOUBLE>>>>,
-    water STRUCT<status STRING, latest STRUCT<timestamp STRING, {_WATER}>,
-        stats_today STRUCT<water_rate {STAT_TYPE}, steam_rate {STAT_TYPE}>,
-        timeseries_water ARRAY<STRUCT<t STRING, v DOUBLE>>>,
+    water {_FLOW}, water_meters MAP<STRING, {_FLOW}>,
     summary STRUCT<total_kw_now DOUBLE, meters_online BIGINT>"""
 
 
@@ -93,17 +94,33 @@ def read_daily_index(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark, path, INDEX_SCHEMA).select(F.explode("days").alias("day"))
 
 
-def read_snapshots(spark: SparkSession, path: str, *, glob: str = "[0-9]*-*-*.json") -> DataFrame:
-    """Snapshot documents with snap_ts and file; unreadable ones and those without
-    buildings or a time are left out."""
+def checked_snapshots(spark: SparkSession, path: str, *, glob: str | None = "[0-9]*-*-*.json") -> DataFrame:
+    """Every snapshot file with ``file``, its fields, snap_ts and ``problem``: null for a good one, else ``empty``,
+    ``unreadable``, ``no buildings`` or ``no time``. No file drops out; empty ones come from the listing."""
     docs = _documents(spark, path, SNAPSHOT_SCHEMA, glob)
     stamp = F.coalesce(F.nullif(F.col("generated_at"), F.lit("")), F.nullif(F.col("timestamp"), F.lit("")))
-    return (
-        docs.withColumn("file", F.col("_metadata.file_name"))
-        .withColumn("snap_ts", iso_time(stamp))
-        .filter(F.col("_corrupt").isNull() & F.col("buildings").isNotNull() & F.col("snap_ts").isNotNull())
-        .drop("_corrupt")
+    listed = [(p,) for p in docs.inputFiles()]  # the reader's own list, which names empty files too
+    files = spark.createDataFrame(listed, "_path string").withColumn("file", F.element_at(F.split("_path", "/"), -1))
+    docs = docs.withColumn("_path", F.input_file_name()).withColumn("snap_ts", iso_time(stamp))
+    problem = (
+        F.when(F.col("_read").isNull(), "empty")
+        .when(F.col("_corrupt").isNotNull(), "unreadable")
+        .when(F.col("buildings").isNull(), "no buildings")
+        .when(F.col("snap_ts").isNull(), "no time")
     )
+    found = files.join(docs.withColumn("_read", F.lit(True)), "_path", "left").withColumn("problem", problem)
+    return found.withColumnRenamed("_path", "path").drop("_read")
+
+
+def read_snapshots(spark: SparkSession, path: str, *, glob: str | None = "[0-9]*-*-*.json") -> DataFrame:
+    """Good snapshot documents with snap_ts and file; ``rejected_snapshots`` has the others."""
+    return checked_snapshots(spark, path, glob=glob).filter(F.col("problem").isNull()).drop("_corrupt", "problem", "path")
+
+
+def rejected_snapshots(spark: SparkSession, path: str, *, glob: str | None = "[0-9]*-*-*.json") -> DataFrame:
+    """The quarantine: file, problem and the text of unreadable ones."""
+    bad = checked_snapshots(spark, path, glob=glob).filter(F.col("problem").isNotNull())
+    return bad.select("path", "file", "problem", F.col("_corrupt").alias("payload"))
 
 
 def snapshot_buildings(snapshots: DataFrame) -> DataFrame:
@@ -117,16 +134,26 @@ def source_files(snapshots: DataFrame) -> DataFrame:
     return snapshots.select("file").distinct().orderBy("file")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """bid, ts (text), t, kw, pos; no rows when the file is missing or unreadable."""
+def _history_text(spark: SparkSession, path: str) -> DataFrame:
+    """file, value, points (null where the text is no history)."""
     try:
-        text = spark.read.text(path, wholetext=True)
+        text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     except AnalysisException:
-        text = spark.range(0).select(F.lit("").alias("value"))
-    doc = F.from_json("value", HISTORY_TYPE)
-    return text.select(F.explode(doc).alias("bid", "points")).select("bid", F.posexplode("points").alias("pos", "p")).select(
-        "bid", "pos", "p.ts", "p.t", "p.kw"
-    )
+        text = spark.range(0).select(F.lit("").alias("file"), F.lit("").alias("value"))
+    return text.withColumn("points", F.from_json("value", HISTORY_TYPE, {"mode": "PERMISSIVE"}))
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """bid, ts (text), t, kw, pos; no rows when the file is missing or unreadable, see ``rejected_histories``."""
+    points = _history_text(spark, path).select(F.explode("points").alias("bid", "points"))
+    return points.select("bid", F.posexplode("points").alias("pos", "p")).select("bid", "pos", "p.ts", "p.t", "p.kw")
+
+
+def rejected_histories(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold no history: file, problem (``empty`` or ``unreadable``), payload."""
+    bad = _history_text(spark, path).filter(F.col("points").isNull())
+    problem = F.when(F.trim("value") == "", "empty").otherwise("unreadable")
+    return bad.select("file", problem.alias("problem"), F.col("value").alias("payload"))
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -143,3 +170,16 @@ def read_interior(spark: SparkSession, path: str) -> DataFrame:
     """Building-data document to one row per meter."""
     docs = _documents(spark, path, INTERIOR_SCHEMA)
     return docs.select("generated_at", F.explode("meters").alias("meter", "m")).select("generated_at", "meter", "m.*")
+
+
+def read_interior_water(spark: SparkSession, path: str) -> DataFrame:
+    """Building-data document to one row per water meter; a document that names none has one row without a meter."""
+    docs = _documents(spark, path, INTERIOR_SCHEMA)
+    named = docs.select("generated_at", F.explode("water_meters").alias("meter", "w"))
+    alone = docs.where(F.coalesce(F.size("water_meters"), F.lit(-1)) < 1).select("generated_at", F.lit(None).cast("string").alias("meter"), F.col("water").alias("w"))
+    return named.unionByName(alone.where("w is not null")).select("generated_at", "meter", "w.*")
+
+
+def read_interior_summary(spark: SparkSession, path: str) -> DataFrame:
+    """Building-data document to its summary, one row."""
+    return _documents(spark, path, INTERIOR_SCHEMA).select("generated_at", "building", "summary.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattfold.functions.clock import meter_time_to_utc
@@ -87,56 +87,63 @@ def _file_part(group: int) -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"([^/_]+)_([^/_.]+)\.[^.]+$", group)
 
 
-def read_payloads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per export file: file, mac, meter, value, rejected.
+#: So many characters are looked at to tell a web page from an export; lines of which there can be no more than that.
+_SNIFFED = 200
 
-    An export covers hours to days of one meter, so a file is small and read whole;
-    that lets every file bring its own header.
+
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines that are not empty: file, mac, meter, block and at (the line's place within the block of the file).
+
+    The built-in text reader splits large files, so one export may be read by several tasks.
     """
-    files = spark.read.text(path, wholetext=True)
-    return sniff_html(
-        files.select(
-            F.col("_metadata.file_path").alias("file"), _file_part(1).alias("mac"), _file_part(2).alias("meter"), "value"
-        ),
-        payload="value",
-    )
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        _file_part(1).alias("mac"),
+        _file_part(2).alias("meter"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+    ).filter("value <> ''")
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """One row per file: file, mac, meter, header (cells of its first line) and rejected."""
+    early = F.row_number().over(Window.partitionBy("file").orderBy("at"))
+    first = lines.filter("block = 0").withColumn("n", early).filter(F.col("n") <= _SNIFFED)
+    start = F.transform(F.array_sort(F.collect_list(F.struct("n", F.substring("value", 1, _SNIFFED).alias("v")))), lambda x: x["v"])
+    files = first.groupBy("file", "mac", "meter").agg(F.min_by("value", "n").alias("_first"), F.array_join(start, "\n").alias("_start"))
+    marked = sniff_html(files, payload="_start", chars=_SNIFFED)
+    return marked.select("file", "mac", "meter", F.split("_first", "\t").alias("header"), "rejected")
 
 
 def rejected_payloads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return read_payloads(spark, path).filter("rejected").select("file", "mac", "meter")
+    return _heads(_lines(spark, path)).filter("rejected").select("file", "mac", "meter")
 
 
 def read_export(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per data line: mac, meter, line (from 0), cells (header -> text).
 
     Cells are found by name, so the order and set of columns may differ between files.
-    Lines shorter than the header have null cells; of equal names the last counts.
+    Lines shorter than the header have null cells; of equal names the last counts. A line's number is its place in its
+    block plus the lines of the blocks before; header and that number go to the lines block by block, so a large file
+    is not one task's.
     """
-    lines = F.filter(F.split("value", "\r?\n"), lambda line: line != "")
-    header = F.col("_header")
+    lines = _lines(spark, path)
     last_of_name = F.filter(
-        F.sequence(F.lit(1), F.size(header)),
-        lambda i: F.array_position(F.reverse(header), F.get(header, i - 1)) == F.size(header) - i + 1,
-    )
-    cells = F.col("_cells")
-    return (
-        read_payloads(spark, path)
-        .filter(~F.col("rejected"))
-        .withColumn("_lines", lines)
-        .filter(F.size("_lines") > 1)
-        .withColumn("_header", F.split(F.get("_lines", F.lit(0)), "\t"))
-        .withColumn("_at", last_of_name)
-        .select("mac", "meter", "_header", "_at", F.posexplode(F.slice("_lines", 2, F.size("_lines") - 1)).alias("line", "_row"))
-        .withColumn("_cells", F.split("_row", "\t"))
-        .select(
-            "mac",
-            "meter",
-            "line",
-            F.map_from_entries(
-                F.transform("_at", lambda i: F.struct(F.get(header, i - 1).alias("k"), F.get(cells, i - 1).alias("v")))
-            ).alias("cells"),
-        )
+        F.sequence(F.lit(1), F.size("header")),
+        lambda i: F.array_position(F.reverse("header"), F.get("header", i - 1)) == F.size("header") - i + 1,
     )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    heads = _heads(lines).filter("not rejected").select("file", "header", last_of_name.alias("_at"))
+    blocks = blocks.join(heads, "file").select("file", "block", "offset", "header", "_at")
+    place = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    numbered = lines.withColumn("_place", place).join(blocks, ["file", "block"]).withColumn("line", (F.col("offset") + F.col("_place") - 2).cast("int"))
+    # An explode, not a filter, leaves header lines out: later filters on parsed cells are not moved before it.
+    data = F.explode(F.when(F.col("line") >= 0, F.array("value"))).alias("value")
+    rows = numbered.select("mac", "meter", "line", "header", "_at", data).withColumn("_cells", F.split("value", "\t"))
+    pairs = F.transform("_at", lambda i: F.struct(F.get("header", i - 1).alias("k"), F.get("_cells", i - 1).alias("v")))
+    return rows.select("mac", "meter", "line", F.map_from_entries(pairs).alias("cells"))
 
 
 def _rows(raw: DataFrame, drop_errors: bool) -> DataFrame:
@@ -163,11 +170,8 @@ def read_power(
     rows = _rows(read_export(spark, path), drop_errors)
     keep = ["mac", "meter", "line", "local_time"]
     is_main = F.col("meter").isin(*main_meters)
-    main, panel = (
-        normalize(rows.filter(part), dialect, keep, POWER_MEASURES, cells="cells")
-        for part, dialect in ((is_main, dialects[0]), (~is_main, dialects[1]))
-    )
-    return require(main.unionByName(panel)).withColumn("ts", meter_time_to_utc(F.col("local_time"), tz))
+    known = normalize(rows, [(is_main, dialects[0]), (F.lit(True), dialects[1])], keep, POWER_MEASURES, cells="cells")
+    return require(known).withColumn("ts", meter_time_to_utc(F.col("local_time"), tz))
 
 
 def read_water(
