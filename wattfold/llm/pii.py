@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wattfold.llm.graph import stored
 
-KEY, ROUNDS, WIDE = "surrogates", 16, 512
+KEY, ROUNDS, WIDE, LONG, LETTER = "surrogates", 16, 512, 256, r"\p{L}"
 _NEXT = r"(?:[ ./()-]{0,2}(?!(?:\d{1,3}\.){3}\d)\d)"  # one digit more, but not the first one of a host address
 #: A plus or a leading zero and 7 to 15 digits in any groups; other groups of at least seven digits, but not
 #: two years; fewer digits after a word for telephone.
@@ -38,7 +38,8 @@ PHONE = (
 )
 #: Patterns of the entities, in order of precedence.
 PATTERNS = {
-    "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # Of the lengths an address may have: up to 64 characters before the sign, labels of up to 63 after it. Bounds keep the work linear.
+    "mail": r"(?<![\p{L}\p{Nd}])[\p{L}\p{Nd}][\p{L}\p{Nd}._%+-]{0,63}+@[\p{L}\p{Nd}][\p{L}\p{Nd}-]{0,62}(?:\.[\p{L}\p{Nd}-]{1,63}){0,30}\.[A-Za-z]{2,63}(?![A-Za-z])",
     "secret": r"(?i:password|passwd|api_key|secret|token)(?:[=:]|[\"']?\s{0,4}[=:]\s{0,4}(?:[\"']|(?=[A-Za-z_\-]*\d)))[A-Za-z0-9_\-]{6,}",
     "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{8,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3}(?![\w.]))?)\b",
     "host": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
@@ -86,12 +87,17 @@ def _byte(d: str, i: str) -> str:
 
 
 def _drawn(e: str, d: str) -> str:
-    """SQL: the entity with every letter and digit drawn anew by its place among letters and digits."""
-    place = f"length(regexp_replace(substr({e}, 1, i), '[^A-Za-z0-9]', ''))"
-    return (
-        f"array_join(transform(split({e}, ''), (c, i) -> case when c rlike '[0-9]' then cast({_byte(d, place)} % 10 as string) "
-        f"when c rlike '[a-z]' then chr(97 + {_byte(d, place)} % 26) when c rlike '[A-Z]' then chr(65 + {_byte(d, place)} % 26) else c end), '')"
-    )
+    """SQL: the entity with every letter and digit drawn anew by its place among letters and digits (of entities longer
+    than ``LONG``, mails and secrets whose writing does not vary, by its place)."""
+
+    def by(place: str) -> str:
+        return (
+            f"array_join(transform(split({e}, ''), (c, i) -> case when c rlike '[0-9]' then cast({_byte(d, place)} % 10 as string) "
+            f"when c rlike '[a-z]' then chr(97 + {_byte(d, place)} % 26) when c rlike '[A-Z]' then chr(65 + {_byte(d, place)} % 26) "
+            f"when c rlike {_quoted(LETTER)} then chr(97 + {_byte(d, place)} % 26) else c end), '')"
+        )
+
+    return f"if(length({e}) > {LONG}, {by('i')}, {by(f"length(regexp_replace(substr({e}, 1, i), '[^A-Za-z0-9]', ''))")})"
 
 
 def _luhn(t: str) -> str:
