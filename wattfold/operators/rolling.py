@@ -101,10 +101,9 @@ def wma_forecast(
     kw = F.col("kw")
 
     def add(df: DataFrame, w: WindowSpec) -> DataFrame:
-        value = F.coalesce(F.when(truthy(kw), units("kw", digits)), F.lit(0).cast("bigint"))
-        df = df.withColumn("_u", value)
+        df = df.withColumn("_u", F.when(truthy(kw), units("kw", digits)))  # null: does not count
         for back in range(1, n):
-            df = df.withColumn(f"_u{back}", F.lag("_u", back, 0).over(w))
+            df = df.withColumn(f"_u{back}", F.lag("_u", back).over(w))
         return df
 
     rows = over_last_rows(readings.filter(kw.isNotNull()), by=by, order=order, n=n, add=add, hot_rows=hot_rows)
@@ -112,8 +111,8 @@ def wma_forecast(
     count: Column = F.lit(0)
     weighted: Column = F.lit(0).cast("bigint")
     for value in oldest_first:  # the weight of a value is how many values counted up to it
-        count = count + F.when(value != 0, 1).otherwise(0)
-        weighted = weighted + value * count
+        count = count + F.when(value.isNotNull(), 1).otherwise(0)
+        weighted = weighted + F.coalesce(value, F.lit(0)) * count
     weights = count * (count + 1) / F.lit(2)
     predicted = F.when(count >= min_n, from_units(weighted, weights, digits))
     rows = rows.withColumn("predicted_kw", predicted).withColumn("predicted_kw", half_even("predicted_kw", 1))

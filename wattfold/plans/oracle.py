@@ -232,6 +232,10 @@ WITH {ANOMALY}, l AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY b
 SELECT count(anomaly_type) AS anomaly_count, count(*) FILTER (anomaly_type = 'high') AS high,
   count(*) FILTER (anomaly_type = 'low') AS low FROM l"""
 
+ORACLE["anomaly_map"] = f"""
+WITH {ANOMALY}, l AS (SELECT * FROM an QUALIFY row_number() OVER (PARTITION BY bid ORDER BY ts DESC, seq DESC) = 1)
+SELECT bid, anomaly_type AS type, kw AS current, {even('m', 1)} AS avg, {even('q', 2)} AS ratio FROM l WHERE anomaly_type IS NOT NULL"""
+
 ORACLE["wma_forecast"] = f"""
 WITH {READ}, w AS (SELECT bid, seq, kw, list(CASE WHEN kw <> 0 THEN {units('kw')} END) OVER
     (PARTITION BY bid ORDER BY ts, seq ROWS 3 PRECEDING) AS l FROM r),
@@ -536,7 +540,7 @@ ORACLE["daily_store"] = f"""
 WITH {READ} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, bid, seq, CASE WHEN CAST(ts AS DATE) = DATE '{DAY}' THEN kw * 2e0 ELSE kw END AS kw
 FROM r WHERE CAST(ts AS DATE) BETWEEN DATE '{RANGE[0]}' AND DATE '{RANGE[1]}'"""
 ORACLE["snapshot_quarantine"] = f"""
-WITH {READ}, h AS (SELECT date_trunc('hour', ts) AS hour, count(DISTINCT bid) AS n FROM r GROUP BY 1),
+WITH {READ}, h AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS hour, count(DISTINCT bid) AS n FROM r GROUP BY 1),
 k AS (SELECT *, hour(hour) + 24 * day(hour) AS number FROM h),
 p AS (SELECT *, CASE WHEN number % 5 = 0 THEN 'unreadable' WHEN number % 7 = 0 THEN 'no buildings'
   WHEN number % 11 = 0 THEN 'no time' END AS problem FROM k)

@@ -166,7 +166,7 @@ def daily_estimates(spark, sf):
 @query
 def meter_status(spark, sf):
     kinds = F.array(*[F.lit(m) for m in tables.METERS])
-    meters = tables.buildings(spark, sf).select("bid", F.explode(kinds).alias("meter"))
+    meters = tables.named_buildings(spark, sf).select("bid", F.explode(kinds).alias("meter"))
     now = latest.latest(tables.readings(spark, sf), by=["bid", "meter"])
     return latest.meter_status(meters, now, on=["bid", "meter"])
 
@@ -217,12 +217,12 @@ def alias_fallback(spark, sf):
 
 @query
 def offline_anti(spark, sf):
-    return latest.offline(tables.buildings(spark, sf), _current(spark, sf), on="bid").select("bid", "name")
+    return latest.offline(tables.named_buildings(spark, sf), _current(spark, sf), on="bid").select("bid", "name")
 
 
 @query
 def online_semi(spark, sf):
-    return latest.online(tables.buildings(spark, sf), _current(spark, sf), on="bid").select("bid", "name")
+    return latest.online(tables.named_buildings(spark, sf), _current(spark, sf), on="bid").select("bid", "name")
 
 
 @query
@@ -232,7 +232,7 @@ def silent_buildings(spark, sf):
 
 @query
 def registry_left_live(spark, sf):
-    return dimensions.registry_left_live(tables.buildings(spark, sf), _current(spark, sf)).select("bid", "name", "kw", "ts")
+    return dimensions.registry_left_live(tables.named_buildings(spark, sf), _current(spark, sf)).select("bid", "name", "kw", "ts")
 
 
 # --- ordered operators ----------------------------------------------------------------
@@ -297,7 +297,7 @@ def last_96_labels(spark, sf):
 
 @query
 def rank_by_kw(spark, sf):
-    rows = dimensions.registry_left_live(tables.buildings(spark, sf), _current(spark, sf)).select("bid", "name", "kw")
+    rows = dimensions.registry_left_live(tables.named_buildings(spark, sf), _current(spark, sf)).select("bid", "name", "kw")
     return hotkeys.global_rank(rows, order=[F.desc(F.coalesce("kw", F.lit(0.0))), F.col("bid")])
 
 
@@ -348,6 +348,16 @@ def anomaly_count(spark, sf):
     )
 
 
+@query
+def anomaly_map(spark, sf):
+    """The anomalies a snapshot shows: buildings whose latest reading is flagged."""
+    flagged = rolling.rolling_anomaly(tables.readings(spark, sf))
+    now = latest.latest(flagged.select("bid", "ts", "seq", "kw", "anomaly_type", "avg_kw", "ratio"), by=["bid"])
+    return now.filter(F.col("anomaly_type").isNotNull()).select(
+        "bid", F.col("anomaly_type").alias("type"), F.col("kw").alias("current"), F.col("avg_kw").alias("avg"), "ratio"
+    )
+
+
 @query
 def category_rollup(spark, sf):
     known = tables.buildings(spark, sf).filter("segment <> 'MACHINERY'")
@@ -423,7 +433,7 @@ def daily_summary_orders(spark, sf):
 def building_weekly(spark, sf):
     rows = tables.readings(spark, sf).withColumn("week", F.to_date(F.date_trunc("week", "ts")))
     out = rollups.building_weekly(rows, by=["week", "bid"])
-    return dimensions.with_names(out, tables.buildings(spark, sf))
+    return dimensions.with_names(out, tables.named_buildings(spark, sf))
 
 
 @query
@@ -700,9 +710,10 @@ def daily_store(spark, sf):
 
 
 def _snapshot_files(spark, sf):
-    """A snapshot document per hour of readings, in a file of its own; some cut short, some without buildings or time."""
+    """A snapshot document per six hours of readings, in a file of its own; some cut short, some without buildings or time."""
     rows = tables.readings(spark, sf)
-    hours = latest.latest(rows.withColumn("hour", F.date_trunc("hour", "ts")), by=["hour", "bid"])
+    slot = F.window("ts", "6 hours")["start"]
+    hours = latest.latest(rows.withColumn("hour", slot), by=["hour", "bid"])
     building = F.struct(F.col("bid").cast("string").alias("k"), F.struct("kw").alias("v"))
     docs = hours.filter("hour is not null").groupBy("hour").agg(F.map_from_entries(F.array_sort(F.collect_list(building))).alias("buildings"))
     number = F.hour("hour") + 24 * F.day("hour")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattfold.operators.hotkeys import global_rank
+
 REGISTRY_SCHEMA = "id STRING, name STRING, mac STRING, db STRING, meters ARRAY<STRING>"
 METER_SCHEMA = "meter STRING, ord INT, name STRING, voltage STRING"
 ATTRIBUTE_SCHEMA = """bid STRING, name STRING, department STRING, lat DOUBLE, lng DOUBLE, category STRING,
@@ -27,11 +29,17 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Registry rows with their ordinal; the order of rows of one id is their priority.
 
-    Files carry ``ordinal`` themselves where one id comes in several files.
+    Rows without an ``ordinal`` of their own get their place: files by name, lines in order of the file, however Spark
+    deals them out.
     """
-    return _read(spark, path, f"{REGISTRY_SCHEMA}, ordinal INT").withColumn(
-        "ordinal", F.coalesce(F.col("ordinal").cast("bigint"), F.monotonically_increasing_id())
+    rows = _read(spark, path, f"{REGISTRY_SCHEMA}, ordinal BIGINT").select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
     )
+    placed = global_rank(rows, order=[F.col("_file"), F.col("_block"), F.col("_at")], name="_place")
+    return placed.withColumn("ordinal", F.coalesce("ordinal", "_place")).drop("_file", "_block", "_at", "_place")
 
 
 def read_meters(spark: SparkSession, path: str) -> DataFrame:

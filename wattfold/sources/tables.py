@@ -16,15 +16,17 @@ METERS = ("error", "purchase", "signup", "view", "click")
 VOTES = {"click": "hot", "view": "ok", "purchase": "cold"}
 
 
-_schemas: dict[str, T.StructType] = {}
+_schemas: dict[str, tuple[int, T.StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Its schema is read from the files once per process, not per query."""
+    """A given table. Its schema is read from the files once, and again when the table has been written anew."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    if _schemas.get(path, (None,))[0] != changed:
+        _schemas[path] = (changed, spark.read.parquet(path).schema)
+    return spark.read.schema(_schemas[path][1]).parquet(path)
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +72,19 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_votes(table(spark, sf_dir, "events"))
 
 
+def named_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer as registry: bid, name, segment."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("bid"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("_nation")
+    )
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as building dimension: bid, name, segment, nation, category (region)."""
-    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    return (
-        customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-        .join(region, nation.n_regionkey == region.r_regionkey, "left")
-        .select(
-            F.col("c_custkey").alias("bid"),
-            F.col("c_name").alias("name"),
-            F.col("c_mktsegment").alias("segment"),
-            F.col("n_name").alias("nation"),
-            F.col("r_name").alias("category"),
-        )
+    nation, region = (table(spark, sf_dir, t) for t in ("nation", "region"))
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left")
+    return named_buildings(spark, sf_dir).join(places, F.col("_nation") == F.col("n_nationkey"), "left").select(
+        "bid", "name", "segment", F.col("n_name").alias("nation"), F.col("r_name").alias("category")
     )
 
 
