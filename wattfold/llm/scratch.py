@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wattfold.session import scratch_path
@@ -30,3 +32,11 @@ def written(frame: DataFrame, path: str, *parts: str) -> DataFrame:
     """The frame as a table at ``path``, read back: lineage ends, and a lost executor costs no more than a read."""
     frame.write.partitionBy(*parts).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def bucketed(frame: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """The frame as a table at ``path`` in ``buckets`` sorted files by ``key``: joins on the key don't shuffle it again."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    dealt = frame.repartition(buckets, key)
+    dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return frame.sparkSession.table(name)
