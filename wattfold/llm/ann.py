@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wattfold.llm.graph import stored
 
-TABLES, LINES, PROBES, PIECE, WIDTH, SEED = 2, 4, 16, 65_536, 2.0, 7
+TABLES, LINES, PROBES, PIECE, WIDTH, SEED = 2, 4, 24, 65_536, 2.0, 7
 
 
 def plan(dim: int, tables: int = TABLES, lines: int = LINES, width: float = WIDTH, seed: int = SEED) -> dict:
