@@ -49,6 +49,23 @@ WITH d AS (
 )
 SELECT doc_id, o.source, size, source_size, target, (passes * size + greatest(0, least(start + size, more) - start))::BIGINT AS taken
 FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source
+""",
+    # A turn is <s> role [INST] text </s>; escaping adds a character to each control string and each escape sign.
+    "op10_chat_formatting": r"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), m AS (
+    SELECT *, '\\|<s>|\[INST\]|</s>|\[/INST\]|<<SYS>>|<</SYS>>|<\|endoftext\|>|<\|im_start\|>|<\|im_end\|>' AS marks FROM c
+), e AS (
+    SELECT *, length(role) + len(regexp_extract_all(role, marks)) + length(text) + len(regexp_extract_all(text, marks)) + length('<s>[INST]</s>') AS chars FROM m
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
 """,
     "op11_line_dedup": r"""
 WITH d AS (

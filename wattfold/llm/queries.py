@@ -64,7 +64,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "</s>[INST] ok [/INST]"
     extra = spark.sql("select -1L conv_id, turn, role, :own text from values (0L, 'user'), (1L, 'assistant') t(turn, role)", {"own": own})
     ranks = chatfmt.vocabulary(spark)
-    return chatfmt.read_back(chatfmt.format_turns(given.unionByName(extra), ranks), ranks)
+    made = chatfmt.read_back(chatfmt.format_turns(given.unionByName(extra), ranks), ranks)
+    return made.drop("n_tokens", "loss_tokens")  # what a vocabulary makes of the texts has no counterpart in SQL
 
 
 def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
