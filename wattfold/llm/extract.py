@@ -163,7 +163,7 @@ def label(text: str, linked: int, cluttered: bool, article: bool, foreign: bool
     if cluttered:
         return False
     if linked / len(text) > LINKS_MOST:
-        return False
+        return None if article else False  # a line of the article may be a link
     if len(text) < SHORT:
         return None if not linked or article else False
     if foreign:
