@@ -30,6 +30,12 @@ SAMPLE, CELLS, CHUNK, NEAR, SHARP = 2000, 1 << 15, 1 << 20, 0.2, 4.0
 _LETTER, _OTHER = re.compile(r"[^\W\d_]"), re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character has the category of letters; signs for numbers such as fractions are none."""
+    found = _LETTER.search(text)
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, set(text))))
+
+
 def grams(text: str) -> np.ndarray:
     """How often each cell of hashed grams occurs in a whole text; long texts are counted in overlapping chunks."""
     points = np.frombuffer((" " + _OTHER.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -78,7 +84,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", bound: int =
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, name in zip(batch["text"], batch["lang"], strict=True):
-                if _LETTER.search(t):
+                if has_letter(t):
                     sums[name] = sums.get(name, 0) + grams(t)
         for name, s in sums.items():
             at = np.flatnonzero(s)
@@ -116,7 +122,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -
         names, words, odds = sent.value["names"], sent.value["code"], sent.value["odds"]
         lang, score, near = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
         for i, t in enumerate(texts):
-            if not names or not t or not _LETTER.search(t):
+            if not names or not t or not has_letter(t):
                 continue
             n = grams(t)
             at = np.flatnonzero(n)
