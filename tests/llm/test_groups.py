@@ -155,6 +155,25 @@ def test_neighbours_recall(spark, sf_dir):
     assert got[0] == [9000, 9001, 9002, 9003, 9004] or got[0][:5] == want[0]
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_neighbours_recall_of_the_query(spark, size):
+    path = Path("/root/testdata") / size
+    if not path.exists():
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in Q.op6_multiprobe_ann(spark, str(path)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        near = x @ x[i]
+        near[i] = -2
+        hits += len(got[ids[i]] & set(ids[np.argsort(-near)[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(got)
+
+
 def test_few_neighbours_are_scanned(spark):
     rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, -1.0]), (50, [1.0, 0.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -233,3 +252,10 @@ def test_pipeline_keeps_clean_rows(spark, sf_dir):
 
     bad = decontam.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert not taken & {r["doc_id"] for r in bad.collect()}
+
+
+def test_lines_of_the_article_that_are_links_stay():
+    page = "<nav><a href=x>Home of the site with a long menu entry</a></nav><article><p>" + "The text of the article is here and it is long. " * 6
+    page += "</p><ul><li><a href=y>A list entry of the article that is a link as a whole</a></li></ul><p><a href=z>One more</a></p></article><p><a href=q>Elsewhere</a></p>"
+    text = extract.main_text(page)
+    assert "A list entry of the article" in text and text.endswith("One more") and "Home" not in text

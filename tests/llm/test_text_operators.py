@@ -242,3 +242,25 @@ def test_decontamination_takes_whole_texts(spark, tables, monkeypatch):
     assert sorted(map(tuple, decontam.matches(docs, tables["benchmark"]).collect())) == sorted(map(tuple, small.collect()))
     assert decontam.contaminated(docs, tables["benchmark"].where("false")).count() == 0
     assert decontam.contaminated(docs.where("false"), tables["benchmark"]).count() == 0
+
+
+def test_long_runs_neither_recurse_nor_take_quadratic_time(spark):
+    """A host of very many labels, a run of a million letters, a secret of a million letters, dots and letters in turn."""
+    texts = ["a@" + "b." * 100_000 + "b", "x" * 1_000_000, "token=" + "aB3" * 300_000, "a." * 300_000 + "@x.org", "é" * 200_000 + "@", "9 " * 10_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    new = {r["doc_id"]: r["text"] for r in pii.replace(docs).collect()}
+    assert all(len(new[i]) == len(t) for i, t in enumerate(texts))
+    assert new[1] == texts[1] and new[2] != texts[2] and new[2].startswith("token=")
+
+
+def test_mail_of_any_letters_goes_whole(spark):
+    docs = spark.createDataFrame([(1, "write to josé.muñoz@correo.es, or иван@почта.ru; (-a.b@c-d.co.uk)")], "doc_id int, text string")
+    new = pii.replace(docs).first()["text"]
+    found = re.findall(r"[^\s(-]+@[^\s,;)]+", new)
+    assert len(found) == 3 and [len(x) for x in found] == [len("josé.muñoz@correo.es"), len("иван@почта.ru"), len("a.b@c-d.co.uk")]
+    assert not any(part in new for part in ("josé", "muñoz", "иван", "почта", "a.b@c")) and found[0].endswith(".es") and found[2].endswith(".uk")
+
+
+def test_signs_for_numbers_are_no_letters():
+    assert not any(map(langid.has_letter, ("", "½ ²", "Ⅷ", "㊀", "12 !?_", "٣")))
+    assert all(map(langid.has_letter, ("a", "½ é", "Ⅷ 字", "ª", "12ж")))
