@@ -8,6 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
@@ -93,6 +94,13 @@ def test_cut_buckets_end_at_radius_4(spark):
     assert [find(i) for i in range(len(fps))] == plain_components(fps, 4)
 
 
+def test_the_highest_bit_counts_as_one(spark):
+    fps = [5, 5 - (1 << 63), 4 - (1 << 63), 1 << 40]
+    for radius in (2, 4):
+        got = {(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(0, f) for f in fps], "plane int, fp long"), radius).collect()}
+        assert {x for pair in got for x in pair} == set(fps[: 3 if radius == 2 else 4])
+
+
 def plain_shingles(text):
     words = (text or "").split()
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -131,6 +139,29 @@ def test_copies_down_to_the_bound_are_found(spark, monkeypatch, tile):
     assert want <= got and len(got - want) <= 2, (len(want), len(got - want))
 
 
+def test_fingerprints_make_candidates(spark):
+    """Without any min-hash, copies within the radius of a fingerprint are found through the covering masks, and checked."""
+    rng = np.random.default_rng(8)
+    texts, word = [], lambda: f"w{rng.integers(1 << 40):x}"
+    for k in range(60):
+        words = [word() for _ in range(300)]
+        for cut in (2, 5 + k):  # 0.96, and 0.95 to 0.63
+            texts.append(" ".join(words[:-cut] + [word() for _ in range(cut)]))
+        texts.append(" ".join(words))
+    sets = [shingles.shingles(t, 5) for t in texts]
+    prints = [simhash.majority(h, shingles.PLANES) for h in sets]
+    near = [[min((a ^ b).bit_count() for a, b in zip(p, q, strict=True)) <= shingles.RADIUS for q in prints] for p in prints]
+    good = [[near[i][j] and shingles.similarity(sets[i], sets[j]) >= shingles.LEAST for j in range(len(texts))] for i in range(len(texts))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_row long, text string").repartition(2)
+    nodes = shingles.printed(rows, "text", 5).withColumn("_keys", F.array().cast("array<bigint>")).drop("text").cache()
+    place = {bytes(r["_set"]): r["_row"] for r in nodes.collect()}
+    found = {place[bytes(r["node"])]: place[bytes(r["root"])] for r in shingles.groups(nodes, rows, 2, 5).collect()}
+    found = [found.get(i, i) for i in range(len(texts))]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if good[i][j]]
+    assert len(pairs) > 50 and all(found[i] == found[j] for i, j in pairs)
+    assert all(i // 3 == r // 3 for i, r in enumerate(found))
+
+
 def plain_nearest(rows, k):
     good = [(i, np.array(v, dtype=float)) for i, v in rows if v and i is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}

@@ -1,10 +1,14 @@
 """Near-duplicate documents by the Jaccard similarity of their sets of word shingles.
 
-Candidates come from min-hashes: ``BANDS`` keys of ``ROWS`` min-hashes each, so a pair of similarity s has a key in common
-with probability 1 - (1 - s^ROWS)^BANDS (0.998 at 0.8). Every candidate pair that is not linked already is checked on
-the texts themselves: it is a link if at least ``LEAST`` of the shingles of both are shared. Links make groups.
-
-Texts with equal sets of shingles are one node from the start. Of a bucket (texts with a key in common), all are first
+Candidates come from SimHash through covering masks (``simhash``): ``PLANES`` fingerprints of a set of shingles, and no two
+texts within ``RADIUS`` bits in one of them are missed. That radius is too small for pairs near the bound (some 1 in 50 per
+fingerprint at 0.8), and masks grow as 2^radius, so min-hashes give candidates as well: ``BANDS`` keys of ``ROWS`` min-hashes
+each, so a pair of similarity s has a key in common with probability 1 - (1 - s^ROWS)^BANDS (0.998 at 0.8). Every candidate
+pair that is not linked already is checked on the texts themselves: it is a link if at least ``LEAST`` of the shingles of
+both are shared. Links make groups.
+
+Texts with equal sets of shingles are one node from the start. Of a bucket (texts with a key in common, or with
+fingerprints tied to each other by steps within the radius), all are first
 checked against the smallest one; buckets that still hold different groups are then compared whole, all against all, in tiles of
 texts. A bucket of copies thus costs one check per copy; one of n unlike texts is dealt as n * n / ``TILE`` rows.
 
@@ -23,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattfold.llm import simhash
 from wattfold.llm.graph import components, stored
 from wattfold.llm.scratch import bucketed, folder
 
 LEAST, BANDS, ROWS, SEED, CHUNK, TILE, HELD = 0.8, 20, 6, 42, 1 << 12, 256, 16
+#: Fingerprints of a set, and the bits in which those of a candidate pair may differ.
+PLANES, RADIUS = 2, 4
 #: Rows per bucket of the tables that hold texts, and the most buckets.
 BUCKET_ROWS, BUCKETS = 8192, 50_000
 
@@ -68,16 +75,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def printed(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """The input's columns, ``_set`` (digest of the set of shingles) and ``_keys``."""
-    place = docs.columns.index(text)
-    schema = T.StructType([*docs.schema, T.StructField("_set", T.BinaryType()), T.StructField("_keys", T.ArrayType(T.LongType()))])
+    """The input's columns, ``_set`` (digest of the set of shingles), ``_keys`` and ``_fps`` (none of a text without words)."""
+    place, longs = docs.columns.index(text), T.ArrayType(T.LongType())
+    schema = T.StructType([*docs.schema, T.StructField("_set", T.BinaryType()), T.StructField("_keys", longs), T.StructField("_fps", longs)])
     names = schema.names
 
+    def prints(hashes: np.ndarray) -> list[int]:
+        return np.array(simhash.majority(hashes, PLANES), dtype=np.uint64).view(np.int64).tolist() if len(hashes) else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, size) for t in batch.column(place).to_pylist()]
             digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests, pa.array(map(keys, sets), pa.list_(pa.int64()))], names)
+            made = (pa.array(map(f, sets), pa.list_(pa.int64())) for f in (keys, prints))
+            yield pa.RecordBatch.from_arrays([*batch.columns, digests, *made], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -171,10 +182,19 @@ def _batch(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
+def alike(nodes: DataFrame) -> DataFrame:
+    """(_set, band, key): per fingerprint a key for the sets that steps within the radius lead to, found by covering masks."""
+    each = nodes.select("_set", F.posexplode("_fps").alias("plane", "fp"))
+    tied = simhash.links(each.select("plane", "fp").distinct(), RADIUS)
+    hubs = components(tied.selectExpr("struct(plane, a fp) u", "struct(plane, b fp) v"))
+    placed = each.withColumn("node", F.struct("plane", "fp")).join(hubs, "node", "left")
+    return placed.select("_set", (F.col("plane") + BANDS).alias("band"), F.coalesce("root.fp", "fp").alias("key"))
+
+
 def groups(nodes: DataFrame, rows: DataFrame, buckets: int, size: int, least: float = LEAST) -> DataFrame:
-    """(node, root) of the sets that have a link, from nodes (_set, _keys, _row); ``rows`` (_row, text) lies in buckets by ``_row``."""
+    """(node, root) of the sets that have a link, from nodes (_set, _keys, _fps, _row); ``rows`` (_row, text) lies in buckets by ``_row``."""
     spark = nodes.sparkSession
-    every = nodes.select("_set", F.posexplode("_keys").alias("band", "key"))
+    every = nodes.select("_set", F.posexplode("_keys").alias("band", "key")).unionAll(alike(nodes))
     full = every.groupBy("band", "key").agg(F.min("_set").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = stored(every.join(full, ["band", "key"]), "buckets")  # texts that share a key only
     asked = nodes.select("_set", "_row").join(held.select("_set").distinct(), "_set")
@@ -199,7 +219,7 @@ def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     made = printed(plain, named[text], size).withColumn("_row", F.monotonically_increasing_id())
     buckets = min(BUCKETS, max(8, docs.count() // BUCKET_ROWS + 1))
     rows = bucketed(made, folder(spark, "documents") + "/all", "_row", buckets)
-    nodes = stored(rows.groupBy("_set").agg(F.first("_keys").alias("_keys"), F.min("_row").alias("_row")), "sets")
+    nodes = stored(rows.groupBy("_set").agg(F.first("_keys").alias("_keys"), F.first("_fps").alias("_fps"), F.min("_row").alias("_row")), "sets")
     texts = rows.select("_row", F.col(named[text]).alias("text"))
     roots = stored(groups(nodes, texts, buckets, size, least), "roots")
     # The smallest row of each set first (copies are added up on the way), then that of each group of sets.

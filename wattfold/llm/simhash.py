@@ -48,8 +48,17 @@ def _ones(h: np.ndarray) -> np.ndarray:
     return bits.reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
+def majority(h: np.ndarray, planes: int = 1) -> list[int]:
+    """Unsigned fingerprints of hashed shingles, one for each plane. Long arrays are taken in chunks."""
+    ones = np.zeros((planes, BITS), dtype=np.int64)
+    for at in range(0, len(h), CHUNK):
+        for p in range(planes):
+            ones[p] += _ones(_mix(h[at : at + CHUNK], p))
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
 def fingerprint(text: str | None, shingle: int = 3, planes: int = 1) -> list[int]:
-    """Unsigned fingerprints of a text, one for each plane. Long texts are hashed in chunks."""
+    """Unsigned fingerprints of a text, one for each plane."""
     words = (text or "").encode().lower().split()  # bytes: splits at 0x09-0x0D and 0x20, lowers A-Z
     if not words:
         return [0] * planes
@@ -57,14 +66,9 @@ def fingerprint(text: str | None, shingle: int = 3, planes: int = 1) -> list[int
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    begin, end = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones = np.zeros((planes, BITS), dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(begin[at : at + CHUNK], end[at : at + CHUNK], strict=True)], dtype=np.uint64)
-        for p in range(planes):
-            ones[p] += _ones(_mix(h, p))
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+    places = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in places), dtype=np.uint64, count=n), planes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, planes: int = 1, column: str = "fps") -> DataFrame:
@@ -98,6 +102,7 @@ def _signed(x: int) -> int:
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Ties each fingerprint of a bucket to the first one of its component within the bucket."""
+    fps = fps.view(np.uint64)  # of a negative number the bits of its absolute value would be counted
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
     open_, out = set(range(len(fps))), []
     while open_:
