@@ -787,15 +787,15 @@ def _event_stream(spark, sf):
 
 
 def _landed(spark, sf, landing=HALVES):
-    """The events as a stream of files that land out of order, one per micro-batch, and how late that makes their rows."""
+    """The events as a stream of parts that land out of order, one per micro-batch, and how late that makes their rows."""
     events = tables.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     width = ((last or 0) - (first or 0)) // len(landing) + 1
     chunk = F.coalesce(F.floor((F.unix_micros("ts") - (first or 0)) / width), F.lit(0))
-    path = scratch_path(spark, "landed")
+    path, files = scratch_path(spark, "landed"), max(1, events.rdd.getNumPartitions())
     for at in landing:
-        events.where(chunk == at).write.mode("append").parquet(path)
-    return streams.read_stream(spark, path, events.schema, files_per_trigger=1), f"{2 * width // 1_000_000 + 1} seconds"
+        events.where(chunk == at).repartition(files).write.mode("append").parquet(path)
+    return streams.read_stream(spark, path, events.schema, files_per_trigger=files), f"{2 * width // 1_000_000 + 1} seconds"
 
 
 def _landed_readings(spark, sf, landing=HALVES):

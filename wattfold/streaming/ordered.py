@@ -7,7 +7,9 @@ bounds the disorder and with it the state; a replay that meets older rows than t
 A stream without new rows has no progress of event time. ``clock`` rows, a second source, move it on: a replay ends with
 one (``Clock.strike``), and a live job may strike once a cycle, which is also what finds silent keys.
 
-Queues are RocksDB list state, appended to without being read; one timer per key waits for its oldest row.
+Keys are dealt to ``SLOTS`` slots by a hash. A slot is what Spark calls a key: its rows lie in RocksDB list state, as Arrow
+batches that are appended without being read, one timer waits for its oldest row, and the rows that are due are handed on
+for all keys of the slot at once. A task holds one slot at a time, so ``slots`` bounds its memory.
 """
 
 from __future__ import annotations
@@ -17,13 +19,18 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from wattfold.session import scratch_path
 
 CLOCK = "_clock"
+#: Slots of a queue, and rows of a batch in its state.
+SLOTS, PIECE = 256, 50_000
+_KINDS = {"BIGINT": "int64", "DOUBLE": "float64", "BOOLEAN": "bool", "STRING": "object"}
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -49,17 +56,61 @@ class Clock:
         return stream.withColumn(CLOCK, F.lit(False)).unionByName(ticks, allowMissingColumns=True)
 
 
+def pieces(frame: pd.DataFrame) -> list[tuple[bytes]]:
+    """The frame as values of a list state."""
+    made = []
+    for at in range(0, len(frame), PIECE):
+        batch, sink = pa.RecordBatch.from_pandas(frame.iloc[at : at + PIECE], preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        made.append((sink.getvalue().to_pybytes(),))
+    return made
+
+
+def piece(value: bytes) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(bytes(value))).read_all()
+
+
+def ends(frame: pd.DataFrame) -> np.ndarray:
+    """Marks the last row of each key of a sorted frame."""
+    none, key = frame["none"].to_numpy(), frame["key"].to_numpy()
+    return np.append((none[1:] != none[:-1]) | (key[1:] != key[:-1]), True)[: len(frame)]
+
+
+def from_end(frame: pd.DataFrame) -> np.ndarray:
+    """How many rows of the same key follow each row of a sorted frame."""
+    at, rows = np.flatnonzero(ends(frame)), np.arange(len(frame))
+    return at[np.searchsorted(at, rows)] - rows
+
+
 class Queue(StatefulProcessor):
-    """Holds rows until the watermark passes their time ``us`` (microseconds, the first of ``fields``)."""
+    """Holds rows until the watermark passes their time ``us`` (microseconds, the first of ``fields``).
+
+    Rows of a slot are told apart by ``key`` and by ``none``, which marks those without a key.
+    """
 
     def __init__(self, fields: dict[str, str]) -> None:
-        self.fields = fields
+        self.fields, self.kind = fields, "BIGINT"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ", ".join(f"{name} {kind}" for name, kind in self.fields.items()))
+        self.waiting = handle.getListState("waiting", "rows BINARY")
         self.alarm = handle.getValueState("alarm", "ms BIGINT")
 
+    def held(self, state, fields: dict[str, str]) -> pd.DataFrame:
+        """The rows of a list state."""
+        whole = {"none": "BOOLEAN", "key": self.kind} | fields
+        rows = [piece(value[0]).to_pandas() for value in state.get()] if state.exists() else []
+        if rows:
+            return pd.concat(rows, ignore_index=True)
+        return pd.DataFrame({c: pd.Series(dtype=_KINDS[kind]) for c, kind in whole.items()})
+
+    def hold(self, state, rows: pd.DataFrame) -> None:
+        if len(rows):
+            state.put(pieces(rows))
+        elif state.exists():
+            state.clear()
+
     def wake_at(self, us: int) -> None:
         """A timer at the first millisecond by which ``us`` is over, unless one goes off earlier."""
         ms = -(-us // 1000)
@@ -73,9 +124,10 @@ class Queue(StatefulProcessor):
             return
         first = None
         for frame in rows:
-            least = int(frame["us"].min())
-            first = least if first is None else min(first, least)
-            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in self.fields), strict=True)))
+            if len(frame):
+                least = int(frame["us"].min())
+                first = least if first is None else min(first, least)
+                self.waiting.appendList(pieces(frame[["none", "key", *self.fields]]))
         if first is not None:
             self.wake_at(first)
         yield from ()
@@ -83,19 +135,19 @@ class Queue(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         self.alarm.clear()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(r for r in rows if r[0] <= now)
-        left = [r for r in rows if r[0] > now]
-        if left:
-            if due:
-                self.waiting.put(left)
-            self.wake_at(min(r[0] for r in left))
-        elif rows:
-            self.waiting.clear()
-        yield from self.release(key, due, now)
-
-    def release(self, key: tuple, due: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        """What the sorted rows that are due become. Called without rows as well, when a timer of the key goes off."""
+        rows = self.held(self.waiting, self.fields)
+        over = rows["us"].to_numpy() <= now
+        due, left = rows[over], rows[~over]
+        if len(due):
+            self.hold(self.waiting, left)
+        if len(left):
+            self.wake_at(int(left["us"].min()))
+        for made in self.release(due.sort_values(["none", "key", *self.fields], ignore_index=True), now):
+            for at in range(0, len(made), PIECE):
+                yield made.iloc[at : at + PIECE]
+
+    def release(self, due: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        """What the rows that are due, sorted by key and time, become. Called without rows as well, when a timer goes off."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -110,46 +162,59 @@ class Readings(Queue):
     in the state ``past``. A key of the registry that never reports is silent from its first day on.
     """
 
+    #: The last time of a key, whether it is that of the registry (``bare``), and whether the silence after it has been told.
+    LAST = {"us": "BIGINT", "seq": "BIGINT", "bare": "BOOLEAN", "told": "BOOLEAN"}
+
     def __init__(self, lead: int, keep: int, pause: int) -> None:
         super().__init__({"us": "BIGINT", "seq": "BIGINT", "kw": "DOUBLE"})
         self.lead, self.keep, self.pause = lead, keep, pause
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.past = handle.getListState("past", "us BIGINT, seq BIGINT, kw DOUBLE")
-        self.last = handle.getValueState("last", "us BIGINT, seq BIGINT, told BOOLEAN")
+        self.past = handle.getListState("past", "rows BINARY")
+        self.last = handle.getListState("last", "rows BINARY")
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        since = int(initialState["us"].min())
-        self.last.update((since, None, False))
-        self.wake_at(since + self.pause)
-
-    def release(self, key: tuple, due: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        last = self.last.get()
-        past = list(self.past.get()) if self.past.exists() else []
-        rows = [(us, seq, kw, "reading", None) for us, seq, kw in due]
-        at, told = (last[0], last[2]) if last else (None, True)
-        seqs = [last[1] if last else None, *(r[1] for r in due)]
-        times = np.array([due[0][0] if at is None and due else at or 0, *(r[0] for r in due)], dtype=np.int64)
-        for i in np.flatnonzero(np.diff(times) > self.pause).tolist():
-            if i or not told:
-                rows.append((int(times[i]) + self.pause, seqs[i], None, "silent", int(times[i])))
-        if due:
-            told = False
-            self.past.put((past + due)[-self.keep :])
-        over = int(times[-1]) + self.pause
-        if not told and over <= now:
-            rows.append((over, seqs[-1], None, "silent", int(times[-1])))
-            told = True
-        if due or last:
-            self.last.update((int(times[-1]), seqs[-1], told))
-            if not told:
-                self.wake_at(over)
-        if rows:
-            rows = [(us, seq, kw, "lead", None) for us, seq, kw in past[len(past) - min(self.lead, len(past)) :]] + rows
-            made = pd.DataFrame(rows, columns=["us", "seq", "kw", "role", "since"]).astype({"seq": "Int64", "since": "Int64", "kw": "float64"})
-            made.insert(0, "key", [key[0]] * len(made))
-            yield made
+        known = pd.concat([self.held(self.last, self.LAST)[["none", "key", "us"]], initialState[["none", "key", "us"]]])
+        known = known.astype({"none": "bool", "us": "int64"}).groupby(["none", "key"], as_index=False)["us"].min()
+        self.hold(self.last, known.assign(seq=-1, bare=True, told=False))
+        self.wake_at(int(known["us"].min()) + self.pause)
+
+    def release(self, due: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        past, last = self.held(self.past, self.fields), self.held(self.last, self.LAST)
+        flags = {"bare": False, "told": False}
+        line = pd.concat([past.assign(part=0, **flags), last.assign(part=1, kw=np.nan), due.assign(part=2, **flags)], ignore_index=True)
+        line = line.sort_values(["none", "key", "part", "us", "seq", "kw"], ignore_index=True)
+        if not len(line):
+            return
+        group, part = np.cumsum(ends(line)), line["part"].to_numpy()  # of a key's rows all but the last have the same number
+        group = np.append(0, group[:-1])
+
+        shown = line[part > 0]  # what is known of the last reading, and the new ones
+        us, final = shown["us"].to_numpy(), ends(shown)
+        pause = np.where(final, us + self.pause <= now, np.append(us[1:], 0)[: len(us)] - us > self.pause)
+        pause &= ~shown["told"].to_numpy(dtype=bool)
+        state = shown.assign(told=shown["told"].to_numpy(dtype=bool) | pause)[final]
+        if len(due) or pause.any():
+            self.hold(self.last, state[["none", "key", *self.LAST]])
+        open_ = state["us"][~state["told"]]
+        if len(open_):
+            self.wake_at(int(open_.min()) + self.pause)
+
+        old, seen = line[part == 0], line[part != 1]
+        if len(due):
+            self.hold(self.past, seen[from_end(seen) < self.keep][["none", "key", *self.fields]])
+        told = np.zeros(group[-1] + 1, dtype=bool)  # keys of which something is handed on
+        told[group[part > 0][pause | (shown["part"].to_numpy() == 2)]] = True
+        leads = old[(from_end(old) < self.lead) & told[group[part == 0]]]
+        silent = shown[pause]
+        silences = silent.assign(us=silent["us"] + self.pause, seq=silent["seq"].astype("Int64").mask(silent["bare"]), kw=np.nan, since=silent["us"].astype("Int64"))
+        empty = pd.array([None], dtype="Int64")
+        made = [(leads.assign(since=empty.repeat(len(leads))), "lead"), (due.assign(since=empty.repeat(len(due))), "reading"), (silences, "silent")]
+        columns = ["key", "none", "us", "seq", "kw", "role", "since"]
+        for frame, role in made:
+            if len(frame):
+                yield frame.assign(role=role)[columns].astype({"seq": "Int64"})
 
 
 class Pauses(Queue):
@@ -161,37 +226,53 @@ class Pauses(Queue):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.free = handle.getValueState("free", "us BIGINT")
-
-    def release(self, key: tuple, due: list[tuple], now: int) -> Iterator[pd.DataFrame]:
-        free = self.free.get()
-        if due:
-            times = np.array([r[0] for r in due], dtype=np.int64)
-            marks = self.counted(times, self.pause, free[0] if free else np.iinfo(np.int64).min)
-            if marks.any():
-                free = (int(times[marks][-1]) + self.pause,)
-                self.free.update(free)
-            yield pd.DataFrame({"key": [key[0]] * len(due), "us": times, "seq": [r[1] for r in due], "accepted": marks})
-        if free:  # forgotten once no vote can fall into the pause any more
-            if free[0] <= now:
-                self.free.clear()
-            else:
-                self.wake_at(free[0])
-
-
-def in_order(stream: DataFrame, queue: Queue, columns: str, *, by: str, lateness: str, clock: Clock, initial: DataFrame | None = None) -> DataFrame:
-    """Runs ``queue`` per key over the stream (``by``, ts, seq, ...). Rows without a time have no place in event time."""
-    kind = stream.schema[by].dataType.simpleString()
+        self.free = handle.getListState("free", "rows BINARY")
+
+    def release(self, due: pd.DataFrame, now: int) -> Iterator[pd.DataFrame]:
+        held = self.held(self.free, {"us": "BIGINT"})
+        free = dict(zip(zip(held["none"].tolist(), held["key"].tolist(), strict=True), held["us"].tolist(), strict=True))
+        times, marks = due["us"].to_numpy(), np.zeros(len(due), dtype=bool)
+        final = ends(due)
+        stops, named = (np.flatnonzero(final) + 1).tolist(), due[final]
+        names = zip(named["none"].tolist(), named["key"].tolist(), strict=True)
+        for name, begin, end in zip(names, [0, *stops][: len(stops)], stops, strict=True):
+            run = self.counted(times[begin:end], self.pause, free.get(name, np.iinfo(np.int64).min))
+            if run.any():
+                marks[begin:end] = run
+                free[name] = int(times[begin:end][run][-1]) + self.pause
+        left = [(*name, us) for name, us in free.items() if us > now]  # forgotten once no vote can fall into the pause any more
+        if free:
+            self.hold(self.free, pd.DataFrame(left, columns=["none", "key", "us"]))
+        if left:
+            self.wake_at(min(us for *_, us in left))
+        if len(due):
+            yield due.assign(accepted=marks)[["key", "none", "us", "seq", "accepted"]]
+
+
+def in_order(
+    stream: DataFrame, queue: Queue, columns: str, *, by: str, lateness: str, clock: Clock, initial: DataFrame | None = None, slots: int = SLOTS
+) -> DataFrame:
+    """Runs ``queue`` over the stream (``by``, ts, seq, ...). Rows without a time have no place in event time."""
+    whole = isinstance(stream.schema[by].dataType, T.IntegralType)
+    kind, queue.kind = stream.schema[by].dataType.simpleString(), "BIGINT" if whole else "STRING"
+    blank = F.lit(0 if whole else "").cast(queue.kind)  # tasks read columns into pandas: nulls would make doubles of whole numbers
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("none", F.col("key").isNull()).withColumn("key", F.coalesce(F.col("key").cast(queue.kind), blank))
+        return rows.withColumn("slot", F.pmod(F.xxhash64("key"), F.lit(slots)).cast("int"))
+
     payload = [c for c in queue.fields if c not in ("us", "seq")]
-    rows = stream.where("ts is not null").select(F.col(by).alias("key"), "ts", F.coalesce("seq", F.lit(-1).cast("bigint")).alias("seq"), *payload)
-    timed = clock.beside(rows).withColumn("us", F.unix_micros("ts")).withWatermark("ts", lateness)
+    rows = stream.where("ts is not null").select(F.col(by).alias("key"), "ts", "seq", *payload)
+    timed = dealt(clock.beside(rows)).withColumns({"us": F.unix_micros("ts"), "seq": F.coalesce("seq", F.lit(-1).cast("bigint"))})
+    timed = timed.withWatermark("ts", lateness)
     start = None
     if initial is not None:
         known = initial.select(F.col(by).cast(kind).alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(False).alias(CLOCK))
-        start = known.groupBy("key", CLOCK)
-    made = timed.groupBy("key", CLOCK).transformWithStateInPandas(
-        queue, f"key {kind}, {columns}", "Append", "EventTime", **({"initialState": start} if start is not None else {})
+        start = dealt(known).groupBy("slot", CLOCK)
+    made = timed.groupBy("slot", CLOCK).transformWithStateInPandas(
+        queue, f"key {queue.kind}, none BOOLEAN, {columns}", "Append", "EventTime", **({"initialState": start} if start is not None else {})
     )
+    made = made.withColumn("key", F.when(~F.col("none"), F.col("key")).cast(kind)).drop("none")
     times = {"ts": F.timestamp_micros("us")} | ({"since": F.timestamp_micros("since")} if "since" in made.columns else {})
     return made.withColumns(times).drop("us").withColumnRenamed("key", by)
 

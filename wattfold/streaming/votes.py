@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattfold.operators.votes import PAUSE_MINUTES, VOTE_HOURS, comfort_status, counted, vote_tally
 from wattfold.session import scratch_path
-from wattfold.streaming.ordered import Clock, Pauses, in_order, run_landed
+from wattfold.streaming.ordered import SLOTS, Clock, Pauses, in_order, run_landed
 from wattfold.streaming.commits import BatchStore
 from wattfold.streaming.readings import END, LATENESS, cycle_writer
 
@@ -34,10 +34,12 @@ def drop_repeats(votes: DataFrame, *, by: str = "voter", minutes: float = PAUSE_
     return votes.withWatermark("ts", f"{int(minutes * 60)} seconds").dropDuplicatesWithinWatermark([by])
 
 
-def ordered_pauses(votes: DataFrame, clock: Clock, *, by: str = "voter", minutes: float = PAUSE_MINUTES, lateness: str = LATENESS) -> DataFrame:
+def ordered_pauses(
+    votes: DataFrame, clock: Clock, *, by: str = "voter", minutes: float = PAUSE_MINUTES, lateness: str = LATENESS, slots: int = SLOTS
+) -> DataFrame:
     """(by, ts, seq, accepted) in order of time: the batch operator's answer for votes that come in any order."""
     queue = Pauses(int(minutes * 60 * 1_000_000), counted)
-    return in_order(votes, queue, "us BIGINT, seq BIGINT, accepted BOOLEAN", by=by, lateness=lateness, clock=clock)
+    return in_order(votes, queue, "us BIGINT, seq BIGINT, accepted BOOLEAN", by=by, lateness=lateness, clock=clock, slots=slots)
 
 
 def replay_cooldown(votes: DataFrame, *, by: str = "voter", **options) -> DataFrame:
