@@ -229,6 +229,19 @@ def test_windows_match_brute_force(tables):
             assert {i for i, _, _ in known.search(made)} == want
 
 
+def test_normal_forms_and_grams_by_arrays():
+    rng, kept = np.random.default_rng(3), decontam._letters()
+    texts = [None, "", " ", "  a", "a  ", "!a!!b!", "İSTANBUL ß", "\ud800x", "中文,字 12½", "é-x", "..."]
+    texts += ["".join(map(chr, rng.integers(0, top, 300))) for top in (0x300, 0x110000) for _ in range(50)]
+    for t in texts:
+        assert decontam.normal_points(t, kept).tolist() == decontam._points(decontam.normal(t)).tolist()
+    for q in (1, 2, 3, 8, 11):
+        for n in (0, q - 1, q, 60):
+            points = rng.integers(0, 1 << 20, n).astype(np.uint64)
+            plain = [sum(int(x) * pow(0x9E3779B97F4A7C15, q - 1 - i) for i, x in enumerate(points[at : at + q])) % (1 << 64) for at in range(n - q + 1)]
+            assert decontam._grams(points, q).tolist() == plain
+
+
 def test_decontamination_takes_whole_texts(spark, tables, monkeypatch):
     monkeypatch.setattr(decontam, "CHUNK", 500)
     item = tables["benchmark"].orderBy("item_id").first()

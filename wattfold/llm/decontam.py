@@ -41,12 +41,34 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
+def _letters() -> np.ndarray:
+    """For every code point whether ``normal`` keeps it."""
+    kept = np.ones(0x110000, dtype=bool)
+    for run in _OTHER.finditer("".join(map(chr, range(len(kept))))):
+        kept[run.start() : run.end()] = False
+    return kept
+
+
+def normal_points(text: str | None, kept: np.ndarray) -> np.ndarray:
+    """The code points of the normal form."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    good = kept[points]
+    at = np.flatnonzero(good | np.append(False, good[:-1]))  # a run of others leaves its first place, as a space
+    if len(at) and not good[at[-1]]:
+        at = at[:-1]
+    return np.where(good[at], points[at], np.uint32(32)).astype(np.uint64)
+
+
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
-    """A hash of each q-gram: equal q-grams have equal hashes."""
+    """A hash of each q-gram: equal q-grams have equal hashes. Those of 1, 2, 4, ... characters are put together."""
     n = max(0, len(points) - q + 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for i in range(q):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : i + n]
+    h, done, part, size, factor = np.zeros(n, dtype=np.uint64), 0, points, 1, 0x9E3779B97F4A7C15
+    while n and done < q:
+        if q & size:
+            h = h * np.uint64(factor) + part[done : done + n] if done else part[:n]
+            done += size
+        part = part[:-size] * np.uint64(factor) + part[size:]
+        size, factor = 2 * size, factor * factor & (1 << 64) - 1
     return h
 
 
@@ -81,6 +103,7 @@ class Windows:
 
     def __init__(self, items: list[tuple], q: int, window: int, stride: int, least: int, budget: float):
         self.q, self.item, self.pattern, grams, owner, place = q, [], [], [], [], []
+        self.kept = _letters()
         for item, text in items:
             points = _points(text)
             if len(points) < max(least, q):
@@ -167,11 +190,18 @@ class Windows:
         return out
 
     def search(self, text: str) -> list[tuple]:
-        """(item, end, edits) of the windows found. Long texts are searched in pieces that overlap by two windows."""
+        """(item, end, edits) of the windows found in a normal form."""
+        return self._search(_points(text))
+
+    def found(self, text: str | None) -> list[tuple]:
+        """The same for any text."""
+        return self._search(normal_points(text, self.kept)) if self.pattern else []
+
+    def _search(self, points: np.ndarray) -> list[tuple]:
+        """Long texts are searched in pieces that overlap by two windows."""
         out = []
         if not self.pattern:
             return out
-        points = _points(text)
         for start in range(0, max(1, len(points)), CHUNK):
             piece = points[start : start + CHUNK + self.reach]
             bands = self._bands(piece)
@@ -217,7 +247,7 @@ def matches(
                 rows = []
                 for key, t in zip(batch["id"], batch["text"], strict=True):
                     of = {}
-                    for name, end, edits in sent.value.search(normal(t)):
+                    for name, end, edits in sent.value.found(t):
                         of.setdefault(name, []).append((edits, end))
                     rows += [(key, name, len(x), min(x)[0], max(e for _, e in x)) for name, x in of.items()]
                 yield pd.DataFrame(rows, columns=["id", "item", "windows", "edits", "ends_at"])
