@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from wattfold.llm import ann, extract, mixing, shingles, simhash  # noqa: E402
+from wattfold.llm import ann, extract, graph, mixing, shingles, simhash  # noqa: E402
 from wattfold.llm import queries as Q  # noqa: E402
 
 
@@ -172,6 +172,66 @@ def plain_nearest(rows, k):
     return out
 
 
+@pytest.mark.parametrize("kind", ["long", "binary", "struct<plane:int,fp:bigint>"])
+def test_components_take_two_shuffles_a_round(spark, monkeypatch, kind):
+    rng = np.random.default_rng(5)
+    edges = [tuple(map(int, e)) for e in rng.integers(0, 150, (90, 2))] + [(400 - i, 399 - i) for i in range(40)]
+    edges += [(900, 500 + i) for i in range(60)] * 2 + [(i, 600) for i in range(601, 660)] + [(7, 7)]  # hubs at either end, repeated edges
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    made, write = [], graph.stored
+
+    def stored(frame, name):
+        made.append(frame._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(frame, name)
+
+    monkeypatch.setattr(graph, "stored", stored)
+    node = {"long": lambda x: x, "binary": lambda x: x.to_bytes(2, "big"), "struct<plane:int,fp:bigint>": lambda x: (x % 2, x)}[kind]
+    got = [(r["node"], r["root"]) for r in graph.components(spark.createDataFrame([(node(a), node(b)) for a, b in edges], f"u {kind}, v {kind}")).collect()]
+    least = {}
+    for x in root:
+        least[find(x)] = min(least.get(find(x), node(x)), node(x))
+    assert {(node(x), least[find(x)]) for x in root} == {tuple(bytes(y) if kind == "binary" else tuple(y) if kind[0] == "s" else y for y in r) for r in got}
+    assert len(got) == len(root) and len(made) > 2 and max(made) <= 2
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_set_of_texts_is_held_at_a_time(spark, monkeypatch):
+    import weakref
+
+    alive, most, plain = weakref.WeakSet(), [0], shingles.shingles
+
+    class Held(np.ndarray):
+        __hash__ = object.__hash__
+
+    def counted(text, size):
+        made = plain(text, size).view(Held)
+        alive.add(made)
+        most[0] = max(most[0], len(alive))
+        return made
+
+    class Docs:
+        columns, schema = ["text"], spark.createDataFrame([], "text string").schema
+
+        def mapInArrow(self, run, schema):
+            import pyarrow as pa
+
+            return list(run([pa.RecordBatch.from_pydict({"text": [f"word {i} of many more words {i}" for i in range(50)] + [None]})]))
+
+    monkeypatch.setattr(shingles, "shingles", counted)
+    (batch,) = shingles.printed(Docs(), "text", 5)
+    assert batch.num_rows == 51 and batch.column(2).to_pylist()[-1] == [] and most[0] <= 3
+
+
 def test_neighbours_recall(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()]
     rows += [(9000 + i, rows[0][1]) for i in range(60)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattfold.session import scratch_path
@@ -20,23 +20,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.selectExpr("count(*)", "sum(cast(xxhash64(u, v) as decimal(20)))").first())
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v, of one type): root is the smallest node of its component.
 
-    Large star, then small star, until the edges stay as they are: the edges then tie each node to its root. Every round
-    is a partially aggregated minimum and one join, written to the shared folder; nothing is collected.
+    Large star, then small star, until the edges stay as they are: the edges then tie each node to its root, once. Each
+    star is one shuffle by ``u`` and a minimum over the sorted rows, which spill; a round is written to the shared folder
+    and nothing is collected. An edge may come several times within a round; the edges never get more.
     """
     now = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
-    while (state := _state(now)) != before:
+    while (state := _state(now)) != before and state[0]:
         before = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
-        large = both.where("v > u").join(least, "u").selectExpr("v u", "m v").where("u <> v").distinct()
-        down = large.selectExpr("greatest(u, v) u", "least(u, v) v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").selectExpr("v u", "m v").unionAll(least.selectExpr("u", "m v"))
-        now = stored(small.distinct(), "edges")
-    return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionAll(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+        large = _with_least(both).where("v > u").selectExpr("v u", "least(u, m) v")
+        small = _with_least(large.repartition("u").distinct())
+        now = stored(small.selectExpr("if(v = m, u, v) u", "m v"), "edges")
+    return now.selectExpr("u node", "v root").unionAll(now.selectExpr("v node", "v root").distinct())

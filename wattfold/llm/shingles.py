@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,10 +85,14 @@ def printed(docs: DataFrame, text: str, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column(place).to_pylist()]
-            digests = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-            made = (pa.array(map(f, sets), pa.list_(pa.int64())) for f in (keys, prints))
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests, *made], names)
+            digests, bands, fps = [], [], []
+            for text in batch.column(place):  # one text and its set at a time
+                hashes = shingles(text.as_py(), size)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                bands.append(keys(hashes))
+                fps.append(prints(hashes))
+            made = (pa.array(x, pa.list_(pa.int64())) for x in (bands, fps))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), *made], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -195,16 +199,21 @@ def groups(nodes: DataFrame, rows: DataFrame, buckets: int, size: int, least: fl
     """(node, root) of the sets that have a link, from nodes (_set, _keys, _fps, _row); ``rows`` (_row, text) lies in buckets by ``_row``."""
     spark = nodes.sparkSession
     every = nodes.select("_set", F.posexplode("_keys").alias("band", "key")).unionAll(alike(nodes))
-    full = every.groupBy("band", "key").agg(F.min("_set").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    held = stored(every.join(full, ["band", "key"]), "buckets")  # texts that share a key only
+    bucket = Window.partitionBy("band", "key")
+    full = every.withColumns({"lead": F.min("_set").over(bucket), "n": F.count("*").over(bucket)})
+    held = stored(full.where("n > 1").select("band", "key", "_set", "lead"), "buckets")  # texts that share a key only
     asked = nodes.select("_set", "_row").join(held.select("_set").distinct(), "_set")
     known = bucketed(rows.join(asked, "_row").select("_set", "text"), folder(spark, "texts") + "/all", "_set", buckets)
     links = checked(stored(held.where("_set <> lead").selectExpr("lead a", "_set b").distinct(), "pairs"), known, size, least)
-    placed = held.drop("lead").join(components(links.selectExpr("a u", "b v")), F.col("_set") == F.col("node"), "left")
+    tied = components(links.selectExpr("a u", "b v"))
+    placed = held.drop("lead").join(tied, F.col("_set") == F.col("node"), "left")
     placed = placed.select("band", "key", "_set", F.coalesce("root", "_set").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
-    rest = stored(placed.join(mixed.where("r0 <> r1 and n > 2").select("band", "key", "n"), ["band", "key"]), "open")  # a pair has been checked
-    return components(links.unionAll(tiles(rest, known, size, least)).selectExpr("a u", "b v"))
+    mixed = placed.withColumns({"r0": F.min("root").over(bucket), "r1": F.max("root").over(bucket), "n": F.count("*").over(bucket)})
+    rest = stored(mixed.where("r0 <> r1 and n > 2").select("band", "key", "n", "_set", "root"), "open")  # a pair has been checked
+    more = tiles(rest, known, size, least)
+    if more.isEmpty():
+        return tied
+    return components(tied.selectExpr("node u", "root v").unionAll(more.selectExpr("a u", "b v")))
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, least: float = LEAST) -> DataFrame:
