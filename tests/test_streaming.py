@@ -117,6 +117,21 @@ def test_readings_without_time_load_or_building(spark, tmp_path):
     assert [(r["bid"], r["seq"], r["predicted_kw"]) for r in got] == [(None, 0, None), (None, 3, 23.3)]
 
 
+def test_a_released_backlog_is_not_broadcast(spark, landed, monkeypatch):
+    """The last micro-batch reads a tick of the clock and hands on all readings: its size as Spark sees it says nothing."""
+    plans, judge = [], streams.judge
+
+    def seen(batch, **options):
+        made = judge(batch, **options)
+        plans.append((batch.count(), made._jdf.queryExecution().executedPlan().toString()))
+        return made
+
+    monkeypatch.setattr(streams, "judge", seen)
+    got = streams.replay_verdicts(source(spark, landed), lateness=WHOLE)
+    assert got.filter("kw is not null").count() == 902 <= plans[-1][0] and got.filter("kw is null").count() > 0
+    assert all("SortMergeJoin" in plan and "Broadcast" not in plan for _, plan in plans)
+
+
 def test_history_is_held_in_state(spark, landed, batch, tmp_path):
     marks = str(tmp_path / "marks")
     streams.replay_verdicts(source(spark, landed), lateness=WHOLE, keep=10, marks=marks)
