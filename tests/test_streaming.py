@@ -123,6 +123,7 @@ def test_a_released_backlog_is_not_broadcast(spark, landed, monkeypatch):
 
     def seen(batch, **options):
         made = judge(batch, **options)
+        assert batch.storageLevel.useDisk and not batch.storageLevel.useMemory
         plans.append((batch.count(), made._jdf.queryExecution().executedPlan().toString()))
         return made
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,7 +172,7 @@ def cycle_writer(run: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
+        rows = batch.persist(StorageLevel.DISK_ONLY)  # a released backlog may be as large as all that has landed
         try:
             run(rows, batch_id)
         finally:
